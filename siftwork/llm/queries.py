@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprint, language, neardup, packing
+from . import fingerprint, html, language, lines, mixing, neardup, neighbours, packing, toxicity, urls
 from ._common import table
 
 
@@ -16,6 +16,39 @@ def held_out(modulus: int, remainder: int) -> F.Column:
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(modulus)) == remainder
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: its lines, those that stay, links of its lines, and the class (doc_id, line) of each line in order."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    each = lines.line_classes(docs).withColumn("kept", lines.kept())
+    return each.groupBy("doc_id").agg(
+        F.count("*").alias("n_lines"), F.count_if("kept").alias("n_kept"), F.sum("links").alias("n_links"),
+        F.expr("transform(sort_array(collect_list(struct(nr, root))), x -> struct(x.root.doc_id, x.root.nr))").alias("classes"),
+    )
+
+
+#: The listed urls: fixed values.
+RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
+
+
+def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"), spark.createDataFrame(RULES, "rule string, verdict string"))
+
+
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.main_text(table(spark, sf_dir, "pages"))
+
+
+def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce(held_out(5, 0), F.lit(False)).alias("held_out"))
+    model = toxicity.letter_model(toxicity.pair_counts(docs))
+    sample = toxicity.sample(docs.where("NOT held_out"), table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, toxicity.learn(sample, model), model, ("doc_id", "held_out"))
+
+
 def op6_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), words=3, threshold=85)
 
@@ -30,15 +63,44 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs, model, ("doc_id", "held_out"))
 
 
+def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), every=20, k=20)
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_packing(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_line_dedup": op1_line_dedup,
+    "op2_url_filters": op2_url_filters,
+    "op3_html_extraction": op3_html_extraction,
+    "op4_source_mixing": op4_source_mixing,
+    "op5_toxicity": op5_toxicity,
     "op6_minhash_neardup": op6_minhash_neardup,
     "op7_document_fingerprints": op7_document_fingerprints,
     "op8_language_id": op8_language_id,
+    "op9_nearest_neighbours": op9_nearest_neighbours,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_url_filters": r"""
+        WITH parts AS (
+            SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substring(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
+        ), p AS (
+            SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                   regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+            FROM parts
+        ), rules(rule, h, p, verdict) AS (
+            VALUES ('net/', 'net', '/', 'block'), ('example.net/en/', 'example.net', '/en/', 'allow'),
+                   ('example.com/de/', 'example.com', '/de/', 'block'), ('org/fr/', 'org', '/fr/', 'allow')
+        ), best AS (
+            SELECT *, (SELECT max(printf('%05d', length(r.rule)) || r.rule) FROM rules r
+                       WHERE (p.host = r.h OR ends_with(p.host, '.' || r.h)) AND starts_with(p.path, r.p)) AS b
+            FROM p
+        )
+        SELECT page_id, host, path, substring(b, 6) AS rule,
+               coalesce((SELECT verdict FROM rules r WHERE r.rule = substring(b, 6)), 'allow') AS verdict
+        FROM best""",
+}
