@@ -156,7 +156,7 @@ def learn(rows: DataFrame, model: dict) -> dict[str, float]:
 
 def score(docs: DataFrame, weights: dict[str, float], model: dict, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """`keep` columns of `docs`, score and predicted of every text. Weights and model, of bounded size, are broadcast."""
-    schema = docs.select(*keep).schema.add("score", "double").add("predicted", "int")
+    schema = docs.select(*keep).schema.add("score", "double").add("predicted", "integer")
     held = docs.sparkSession.sparkContext.broadcast((weights, model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
