@@ -37,6 +37,8 @@ MOST_FEATURES = 20_000
 BASE = 0.03
 PREFIXES = (4, 5, 6)
 LONGEST = 32
+#: Distinct chunks that a task remembers before it starts anew.
+REMEMBERED = 200_000
 
 #: Letters that other characters stand for.
 LEET = {
@@ -169,7 +171,7 @@ def score(docs: DataFrame, weights: dict[str, float], model: dict, keep: tuple[s
         hits: dict[str, tuple[str, float]] = {}
         for batch in _common.slices(batches, "text"):
             out = []
-            if len(seen) > 1_000_000:
+            if len(seen) > REMEMBERED:
                 seen, hits = set(), {}
             for text in batch.column("text").to_pylist():
                 low = (text or "").lower()
