@@ -19,8 +19,9 @@ SURE = 0.4
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     _common.ship_code(spark)
     model = language.learn(docs, public_tokenizers.path("piece_bpe_32k.model"))
-    judged = language.identify(docs, model, tuple(docs.columns))
-    return judged.where((F.col("lang_pred") != language.UND) & (F.col("score") >= SURE)).select(*docs.columns)
+    named = _common.fresh(docs, "lang_pred"), _common.fresh(docs, "score")
+    judged = language.identify(docs, model, tuple(docs.columns), named)
+    return judged.where((F.col(named[0]) != language.UND) & (F.col(named[1]) >= SURE)).select(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +40,8 @@ def minhash_neardup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     # Rows that share a doc_id are one group as well.
     one = Window.partitionBy("doc_id").orderBy("text")
     lone = kept.join(again, "doc_id", "left_anti").select(*docs.columns)
-    first = kept.join(again, "doc_id", "left_semi").withColumn("_nth", F.row_number().over(one)).where("_nth = 1").select(*docs.columns)
+    nth = _common.fresh(docs, "nth")
+    first = kept.join(again, "doc_id", "left_semi").withColumn(nth, F.row_number().over(one)).where(F.col(nth) == 1).select(*docs.columns)
     return lone.unionByName(first)
 
 

@@ -225,10 +225,10 @@ def judge(texts: list[str | None], model: Model | None) -> tuple[list[str], list
     return names, scores
 
 
-def identify(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """`keep` columns of `docs`, lang_pred and score of each text. The model, of fixed size, is broadcast."""
+def identify(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc_id",), named: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """`keep` columns of `docs`, language and score of each text under the names `named`. The model, of fixed size, is broadcast."""
     docs = docs.select(*keep, "text") if "text" not in keep else docs.select(*keep)
-    schema = docs.select(*keep).schema.add("lang_pred", "string").add("score", "double")
+    schema = docs.select(*keep).schema.add(named[0], "string").add(named[1], "double")
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,7 +236,7 @@ def identify(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc
             names, scores = judge(batch.column("text").to_pylist(), held.value)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(c) for c in keep] + [pa.array(names, pa.string()), pa.array(scores, pa.float64())],
-                names=[*keep, "lang_pred", "score"],
+                names=[*keep, *named],
             )
 
     return docs.mapInArrow(run, schema)
