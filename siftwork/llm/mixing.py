@@ -29,6 +29,8 @@ BLOCK = 16
 #: Words in a shard, on average; a shard is ordered in one task.
 SHARD = 1 << 20
 SEED = 7
+#: Rounds in which rows that can take no more leave their share to the others.
+SATURATIONS = 3
 
 
 def sainte_lague(df: DataFrame, group: list[str], votes: str, seats: str, most: str) -> DataFrame:
@@ -38,16 +40,24 @@ def sainte_lague(df: DataFrame, group: list[str], votes: str, seats: str, most:
     rounding votes over the divisor votes / seats gives all but a few seats, and only those few quotients are ranked.
     """
     g = Window.partitionBy(*group)
-    with_sum = df.withColumn("_v", F.sum(votes).over(g))
-    ideal = F.when(F.col("_v") > 0, F.col(votes) * F.col(seats) / F.col("_v")).otherwise(0.0)
-    near = with_sum.withColumns({"_q": F.least(F.floor(ideal + 0.5), F.col(most)).cast("long"), "_n": F.count("*").over(g)})
+    near = df.withColumns({"_full": F.lit(False), "_n": F.count("*").over(g)})
+    # Rows whose share would pass what they can take are full; the others share the rest, a few times over.
+    for _ in range(SATURATIONS):
+        near = near.withColumns({
+            "_v": F.sum(F.when(~F.col("_full"), F.col(votes)).otherwise(0.0)).over(g),
+            "_left": F.col(seats) - F.sum(F.when(F.col("_full"), F.col(most)).otherwise(0)).over(g),
+        })
+        near = near.withColumn("_ideal", F.when(F.col("_v") > 0, F.col(votes) * F.col("_left") / F.col("_v")).otherwise(0.0))
+        near = near.withColumn("_full", F.col("_full") | (F.col("_ideal") >= F.col(most)))
+    near = near.withColumn("_q", F.when(F.col("_full"), F.col(most)).otherwise(F.least(F.floor(F.col("_ideal") + 0.5), F.col(most))).cast("long"))
+    near = near.withColumn("_v", F.sum(F.when(F.col("_q") < F.col(most), F.col(votes)).otherwise(0.0)).over(g))
     gap = near.withColumn("_gap", F.col(seats) - F.sum("_q").over(g))
     # To make up for a gap no row changes by more than its share of the gap and of a seat for each row, and one.
-    reach = F.ceil((F.abs("_gap") + F.col("_n")) * F.when(F.col("_v") > 0, F.col(votes) / F.col("_v")).otherwise(0.0)) + 1
+    reach = F.ceil((F.abs("_gap") + F.col("_n")) * F.when(F.col("_v") > 0, F.col(votes) / F.col("_v")).otherwise(0.0)) + 2
     reach = reach.cast("long")
     up = F.when(F.col("_q") < F.col(most), F.sequence(F.col("_q"), F.least(F.col("_q") + reach, F.col(most)) - 1)).otherwise(F.array().cast("array<bigint>"))
     down = F.when(F.col("_q") > 0, F.sequence(F.greatest(F.col("_q") - reach, F.lit(0)), F.col("_q") - 1)).otherwise(F.array().cast("array<bigint>"))
-    ks = F.when(F.col("_gap") > 0, up).when(F.col("_gap") < 0, down).otherwise(F.array().cast("array<bigint>"))
+    ks = F.when((F.col("_gap") > 0) & (F.col(votes) > 0), up).when(F.col("_gap") < 0, down).otherwise(F.array().cast("array<bigint>"))
     seat = gap.withColumn("_k", F.explode(ks)).withColumn("_quotient", F.col(votes) / (2 * F.col("_k") + 1))
     best = Window.partitionBy(*group).orderBy(
         F.when(F.col("_gap") > 0, -F.col("_quotient")).otherwise(F.col("_quotient")), "tie", F.when(F.col("_gap") > 0, F.col("_k")).otherwise(-F.col("_k"))
@@ -56,7 +66,7 @@ def sainte_lague(df: DataFrame, group: list[str], votes: str, seats: str, most:
     moved = moved.groupBy(*group, "tie").agg(F.sum(F.signum(F.col("_gap").cast("double"))).cast("long").alias("_more"))
     keys = [*group, "tie"]
     out = gap.join(moved, [gap[c].eqNullSafe(moved[c]) for c in keys], "left").select(gap["*"], F.coalesce("_more", F.lit(0)).alias("_more"))
-    return out.withColumn("quota", F.col("_q") + F.col("_more")).drop("_v", "_q", "_n", "_gap", "_more")
+    return out.withColumn("quota", F.col("_q") + F.col("_more")).drop("_v", "_q", "_n", "_gap", "_more", "_full", "_left", "_ideal")
 
 
 def targets(sources: DataFrame) -> DataFrame:
