@@ -88,7 +88,8 @@ class Page:
         """End the innermost open element of `tags`, unless one of `within` is nearer."""
         for k in range(len(self._open) - 1, -1, -1):
             if self._open[k][0] in tags:
-                self._flush()
+                if any(o[0] in BLOCK for o in self._open[k:]):
+                    self._flush()
                 while len(self._open) > k:
                     self._pop()
                 return

@@ -65,7 +65,7 @@ def pair_counts(docs: DataFrame) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SIZE * SIZE, dtype=np.int64)
         for batch in _common.slices(batches, "text"):
-            text = "\n".join(t for t in batch.column("text").to_pylist() if t).lower()
+            text = "\n".join(["", *[t for t in batch.column("text").to_pylist() if t], ""]).lower()
             code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
             c = _CLASS[np.where(code < len(_CLASS), code, 0)]
             total += np.bincount(c[:-1] * SIZE + c[1:], minlength=SIZE * SIZE) if len(c) > 1 else 0
