@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import schemas
 from ..functions.text import snippet_hash
 
 DRIFT = 5
@@ -78,3 +79,34 @@ def unexpired(entries: DataFrame, stamp: str = "ts", days: int = 30, now: Column
 def cache_stats(entries: DataFrame, stamp: str = "ts", days: int = 30, now: Column | None = None) -> DataFrame:
     old = F.col(stamp) < (now if now is not None else F.current_timestamp()) - F.make_dt_interval(F.lit(days))
     return entries.agg(F.count("*").alias("entries"), F.count_if(old).alias("expired"))
+
+
+def save(records: DataFrame, path: str) -> None:
+    """Write a baseline, comparison or cache as JSON lines, replacing what is there."""
+    records.write.mode("overwrite").json(path)
+
+
+def _at(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    at, store = _at(spark, path)
+    return store.exists(at)
+
+
+def delete(spark: SparkSession, path: str) -> bool:
+    at, store = _at(spark, path)
+    return store.delete(at, True)
+
+
+def load(spark: SparkSession, path: str, schema: str = schemas.BASELINE) -> DataFrame:
+    """What `save` wrote; empty without it."""
+    return spark.read.schema(schema).json(path) if exists(spark, path) else spark.createDataFrame([], schema)
+
+
+def load_document(spark: SparkSession, path: str) -> DataFrame:
+    """A baseline kept as one JSON document with its records under `findings`."""
+    whole = spark.read.option("multiLine", True).schema(f"created string, findings array<struct<{', '.join(x.strip().replace(' ', ':', 1) for x in schemas.BASELINE.split(','))}>>").json(path)
+    return whole.select(F.explode("findings").alias("f")).select("f.*")
