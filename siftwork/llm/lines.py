@@ -24,7 +24,7 @@ from . import _common
 TAU = 2
 LEAST = 32
 #: Letters that a line's signature counts, each modulo 16.
-LETTERS = "eaintrso"
+LETTERS = "aeinotrslhcdgmp"
 #: Ids are broadcast up to this many (8 MB), which is checked.
 MOST_BROADCAST = 1_000_000
 
@@ -47,15 +47,15 @@ def probes(tau: int = TAU) -> list[tuple[int, int, int]]:
 
 
 def signature(line: str) -> str:
-    """SQL for 8 letter counts modulo 16 in one int."""
-    count = lambda c: f"((octet_length({line}) - octet_length(replace({line}, '{c}', ''))) & 15)"
+    """SQL for the letter counts, four bits each, in one long that is not negative."""
+    count = lambda c: f"cast((octet_length({line}) - octet_length(replace({line}, '{c}', ''))) & 15 AS bigint)"
     return " | ".join(f"shiftleft({count(c)}, {4 * k})" for k, c in enumerate(LETTERS))
 
 
 def apart(a: str, b: str) -> str:
     """SQL for a lower bound on the sum of differences of the counts in two signatures: at most 2 * TAU for a pair."""
-    gap = lambda k: f"((shiftright({a}, {4 * k}) & 15) - (shiftright({b}, {4 * k}) & 15) & 15)"
-    return " + ".join(f"least({gap(k)}, 16 - {gap(k)})" for k in range(len(LETTERS)))
+    gap = lambda k: f"((shiftright({a}, {4 * k}) & 15L) - (shiftright({b}, {4 * k}) & 15L) & 15L)"
+    return " + ".join(f"least({gap(k)}, 16L - {gap(k)})" for k in range(len(LETTERS)))
 
 
 def all_lines(docs: DataFrame) -> DataFrame:
@@ -64,18 +64,28 @@ def all_lines(docs: DataFrame) -> DataFrame:
     return lines.withColumns({"h": F.xxhash64("line"), "h2": F.xxhash64("line", F.lit(1))})
 
 
-def entries(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Index (key, h, sig) and probe (key, h, sig) of the lines that are long enough."""
+def entries(lines: DataFrame) -> DataFrame:
+    """key, h, sig of every index entry and probe of the lines that are long enough.
+
+    The bits above the signature's tell an index entry (0), a probe for the line's own length (1) and for a shorter one (2).
+    """
     long_enough = lines.select("h", "line", F.length("line").alias("n")).where(F.col("n") >= LEAST)
-    long_enough = long_enough.select("h", "line", "n", F.expr(signature("line")).alias("sig"))
+    long_enough = long_enough.select("h", "line", "n", F.expr(signature("line")).alias("sig"), F.col("line").cast("binary").alias("raw"))
+    probe = probes()
+    own = TAU + 1 + sum(d == 0 for d, _, _ in probe)
 
-    def key(size: str, i: int, shift: int) -> str:
-        start, length = segment(i, size)
-        return f"xxhash64(substring(line, 1 + {start} + {shift}, {length}), {i}, {size})"
+    def keys(of: str) -> str:
+        out = []
+        for d, i, shift in [(0, i, 0) for i in range(TAU + 1)] + probe:
+            size = f"(n - {d})" if d else "n"
+            start, length = segment(i, size)
+            out.append(f"xxhash64(substring({of}, cast(1 + {start} + {shift} AS int), cast({length} AS int)), {i}, {size})")
+        return f"array({', '.join(out)})"
 
-    index = F.explode(F.array(*[F.expr(key("n", i, 0)) for i in range(TAU + 1)]))
-    probe = F.explode(F.array(*[F.expr(key(f"(n - {d})", i, s)) for d, i, s in probes()]))
-    return long_enough.select(index.alias("key"), "h", "sig"), long_enough.select(probe.alias("key"), "h", "sig")
+    # Bytes are found at once where each is a character; the hash is that of the same characters.
+    every = long_enough.select(F.posexplode(F.expr(f"if(octet_length(line) = n, {keys('raw')}, {keys('line')})")).alias("nr", "key"), "h", "sig")
+    kind = F.expr(f"shiftleft(CASE WHEN nr <= {TAU} THEN 0L WHEN nr < {own} THEN 1L ELSE 2L END, {4 * len(LETTERS)})")
+    return every.select("key", "h", F.col("sig").bitwiseOR(kind).alias("sig"))
 
 
 def once(lines: DataFrame, firsts: DataFrame) -> DataFrame:
@@ -88,9 +98,12 @@ def once(lines: DataFrame, firsts: DataFrame) -> DataFrame:
 
 def candidates(lines: DataFrame) -> DataFrame:
     """Pairs (a, b) of line hashes that share a segment where it may stand and pass the signature; `lines` are distinct."""
-    index, probe = entries(lines)
-    a, b = index.toDF("key", "a", "sa"), probe.toDF("key", "b", "sb")
-    met = a.join(b, "key").where("a <> b").where(f"{apart('sa', 'sb')} <= {2 * TAU}")
+    every = entries(lines)
+    a, b = every.toDF("key", "a", "sa"), every.toDF("key", "b", "sb")
+    # One condition on both sides: so the two sides stay the same plan, which is run and shuffled once.
+    kind = lambda sig: f"shiftright({sig}, {4 * len(LETTERS)})"
+    probed = f"{kind('sa')} = 0 AND CASE {kind('sb')} WHEN 1 THEN a < b WHEN 2 THEN a <> b ELSE false END"
+    met = a.join(b, "key").where(f"CASE WHEN {probed} THEN {apart('sa', 'sb')} <= {2 * TAU} ELSE false END")
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -179,14 +192,14 @@ def kept(root: str = "root") -> Column:
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """`docs` without the lines that repeat an earlier one; documents of which nothing is left go, others stay whole."""
-    drops = line_classes(docs).where(~kept()).groupBy("doc_id").agg(F.sort_array(F.collect_set("nr")).alias("_drops"))
-    drops = drops.withColumnRenamed("doc_id", "_id")
-    both = docs.join(drops, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left")
+    gone, key = _common.fresh(docs, "drops"), _common.fresh(docs, "drops_of")
+    drops = line_classes(docs).where(~kept()).groupBy("doc_id").agg(F.sort_array(F.collect_set("nr")).alias(gone))
+    drops = drops.withColumnRenamed("doc_id", key)
+    both = docs.join(drops, F.col("doc_id").cast("long").eqNullSafe(F.col(key)), "left")
     all_of = F.split("text", "\n")
-    rest = F.array_join(F.filter(F.transform(all_of, lambda x, i: F.when(~F.array_contains("_drops", i), x)), lambda x: x.isNotNull()), "\n")
-    both = both.where("_drops IS NULL OR size(_drops) < size(split(text, '\n'))")
-    text = F.when(F.col("_drops").isNull(), F.col("text")).otherwise(rest)
-    out = both.withColumn("text", text)
+    rest = F.array_join(F.filter(F.transform(all_of, lambda x, i: F.when(~F.array_contains(gone, i), x)), lambda x: x.isNotNull()), "\n")
+    both = both.where(F.col(gone).isNull() | (F.size(gone) < F.size(all_of)))
+    out = both.withColumn("text", F.when(F.col(gone).isNull(), F.col("text")).otherwise(rest))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_drops").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
+        out = out.withColumn("n_chars", F.when(F.col(gone).isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
     return out.select(*docs.columns)
