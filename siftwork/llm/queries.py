@@ -103,4 +103,24 @@ ORACLE_SQL: dict[str, str] = {
         SELECT page_id, host, path, substring(b, 6) AS rule,
                coalesce((SELECT verdict FROM rules r WHERE r.rule = substring(b, 6)), 'allow') AS verdict
         FROM best""",
+    "op6_minhash_neardup": r"""
+        WITH RECURSIVE words AS (
+            SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+        ), each AS (
+            SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, 2))) AS i FROM words WHERE len(w) > 0
+        ), shingles AS (
+            SELECT DISTINCT doc_id, array_to_string(w[i : least(i + 2, len(w))], ' ') AS s FROM each
+        ), sizes AS (
+            SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+        ), pairs AS (
+            SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL
+        ), links AS (
+            SELECT a, b FROM pairs JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * shared >= 85 * (x.n + y.n - shared)
+        ), reach AS (
+            SELECT doc_id, doc_id AS other FROM documents UNION SELECT reach.doc_id, links.b FROM reach JOIN links ON links.a = reach.other
+        ), component AS (
+            SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id
+        )
+        SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept
+        FROM documents d JOIN component c ON c.doc_id = d.doc_id LEFT JOIN sizes s ON s.doc_id = d.doc_id""",
 }
