@@ -43,7 +43,7 @@ REMEMBERED = 200_000
 #: Letters that other characters stand for.
 LEET = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g",
-    "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "<": "c", "€": "e", "£": "l", "¡": "i", "#": "h",
+    "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "<": "c", "€": "e", "£": "l", "¡": "i", "#": "h", "*": "aeiou",
 }
 SEPARATORS = " .-_*'~,:;/\\"
 #: Costs, as logarithms: a reading by LEET, a dropped repetition, a dropped separator, any other dropped character.
