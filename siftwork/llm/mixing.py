@@ -96,6 +96,11 @@ def targets(sources: DataFrame) -> DataFrame:
     return level.withColumn("target", target).select("source", "nth", "source_size", "weight", "capped", "target")
 
 
+def number(text: Column) -> Column:
+    """A number from 0 below 2**32 for a text, by MD5, which SQL engines share."""
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("long")
+
+
 def overlap(a: Column, b: Column, c: Column, d: Column) -> Column:
     """Length that the spans [a, b) and [c, d) share."""
     return F.greatest(F.least(b, d) - F.greatest(a, c), F.lit(0))
@@ -106,7 +111,7 @@ def mix(docs: DataFrame, keep: list[str] = ()) -> DataFrame:
 
     Without `keep`, only sizes and hashes move, not texts.
     """
-    tie = F.xxhash64(F.col("doc_id"), F.col("text"), F.lit(SEED))
+    tie = F.md5(F.concat_ws("|", F.lit(str(SEED)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit(""))).cast("binary"))
     sized = docs.select("doc_id", F.col("source").cast("string").alias("source"), _common.n_words("text").alias("size"), tie.alias("tie"), *[F.col(c).alias(f"_keep_{c}") for c in keep])
     bare = _common.stash(sized.drop(*[f"_keep_{c}" for c in keep]))
     if not keep:
@@ -114,7 +119,7 @@ def mix(docs: DataFrame, keep: list[str] = ()) -> DataFrame:
     words = bare.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     shards = max(1, -(-words // SHARD))
     # The shard depends on the row's hash alone, so that a hot source is dealt to all of them.
-    shard = F.pmod(F.xxhash64("tie"), F.lit(shards))
+    shard = F.pmod(number(F.col("tie")), F.lit(shards))
     per_shard = bare.groupBy("source", shard.alias("shard")).agg(F.sum("size").alias("words"))
     per_shard = _common.stash(per_shard)
     by_source = targets(per_shard.groupBy("source").agg(F.sum("words").alias("source_size")))
@@ -142,7 +147,8 @@ def mix(docs: DataFrame, keep: list[str] = ()) -> DataFrame:
     placed = dealt.withColumn("at", F.coalesce(F.sum("size").over(order), F.lit(0)))
     rounds = F.when(F.col("words") > 0, F.floor(F.col("take") / F.col("words"))).otherwise(0).cast("long")
     rest = F.col("take") - rounds * F.col("words")
-    first = F.when(F.col("words") > 0, F.pmod(F.xxhash64("source", "shard", F.lit(SEED)), F.greatest(F.col("words"), F.lit(1)))).otherwise(0)
+    seeded = number(F.concat_ws("|", F.lit(str(SEED)), F.coalesce("source", F.lit("")), F.col("shard").cast("string")))
+    first = F.when(F.col("words") > 0, F.pmod(seeded, F.greatest(F.col("words"), F.lit(1)))).otherwise(0)
     first = F.floor(first / BLOCK).cast("long") * BLOCK
     end = F.col("at") + F.col("size")
     part = overlap(F.col("at"), end, first, first + rest) + overlap(F.col("at"), end, F.lit(0), first + rest - F.col("words"))

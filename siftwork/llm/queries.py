@@ -85,6 +85,57 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op4_source_mixing": r"""
+        WITH sized AS (
+            SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+                   md5('7|' || coalesce(doc_id::VARCHAR, '') || '|' || coalesce(text, '')) AS tie
+            FROM documents
+        ), dealt AS (
+            SELECT *, ('0x' || substring(md5(tie), 1, 8))::BIGINT % (SELECT greatest(1, ceil(sum(size) / 1048576))::BIGINT FROM sized) AS shard FROM sized
+        ), sources AS (
+            SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source IS NULL, source) - 1 AS nth FROM sized GROUP BY source
+        ), weighed AS (
+            SELECT *, [3, 1, 2][(nth % 3) + 1] AS weight, 2 * source_size AS cap FROM sources
+        ), levels AS (
+            SELECT *, sum(source_size) OVER () * 150 / 100.0::DOUBLE AS total,
+                   coalesce(sum(cap) OVER before, 0)::DOUBLE AS spent_before, (sum(weight) OVER () - coalesce(sum(weight) OVER before, 0))::DOUBLE AS behind
+            FROM weighed WINDOW before AS (ORDER BY cap::DOUBLE / weight, nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+        ), capping AS (
+            SELECT *, spent_before + behind * (cap::DOUBLE / weight) <= total AS capped FROM levels
+        ), targets AS (
+            SELECT *, CASE WHEN capped THEN cap::DOUBLE
+                      ELSE (total - coalesce(sum(CASE WHEN capped THEN cap END) OVER (), 0)::DOUBLE) * weight / (sum(CASE WHEN NOT capped THEN weight END) OVER ())::DOUBLE END AS target
+            FROM capping
+        ), blocks AS (
+            SELECT round(sum(CASE WHEN capped THEN 0 ELSE target END) / 16)::BIGINT AS n FROM targets
+        ), quotients AS (
+            SELECT source, nth, unnest(range(0, (cap // 16)::BIGINT)) AS k, target FROM targets WHERE NOT capped
+        ), seats AS (
+            SELECT source, count(*) AS seats FROM (
+                SELECT source, row_number() OVER (ORDER BY target / (2 * k + 1) DESC, nth, k) AS r FROM quotients) WHERE r <= (SELECT n FROM blocks) GROUP BY source
+        ), shards AS (
+            SELECT d.source, shard, sum(size)::BIGINT AS words FROM dealt d GROUP BY d.source, shard
+        ), shard_quotients AS (
+            SELECT h.source, shard, seats, words, unnest(range(0, (2 * words // 16)::BIGINT)) AS k FROM shards h JOIN seats s ON s.source IS NOT DISTINCT FROM h.source
+        ), quotas AS (
+            SELECT source, shard, count(*) AS quota FROM (
+                SELECT *, row_number() OVER (PARTITION BY source ORDER BY words::DOUBLE / (2 * k + 1) DESC, shard, k) AS r FROM shard_quotients) WHERE r <= seats GROUP BY source, shard
+        ), takes AS (
+            SELECT h.source, h.shard, words, t.source_size, t.target,
+                   CASE WHEN capped THEN 2 * words ELSE least(coalesce(quota, 0) * 16, 2 * words) END AS take,
+                   CASE WHEN words > 0 THEN ('0x' || substring(md5('7|' || coalesce(h.source, '') || '|' || h.shard), 1, 8))::BIGINT % words // 16 * 16 ELSE 0 END AS first
+            FROM shards h JOIN targets t ON t.source IS NOT DISTINCT FROM h.source LEFT JOIN quotas q ON q.source IS NOT DISTINCT FROM h.source AND q.shard = h.shard
+        ), placed AS (
+            SELECT d.doc_id, d.size, t.*, CASE WHEN words > 0 THEN take // words ELSE 0 END AS rounds,
+                   coalesce(sum(d.size) OVER (PARTITION BY d.source, d.shard ORDER BY tie, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+            FROM dealt d JOIN takes t ON t.source IS NOT DISTINCT FROM d.source AND t.shard = d.shard
+        ), runs AS (
+            SELECT *, take - rounds * words AS rest FROM placed
+        )
+        SELECT doc_id, size::BIGINT AS size, source_size, target,
+               (rounds * size + greatest(least(start + size, first + rest) - greatest(start, first), 0)
+                + greatest(least(start + size, first + rest - words) - greatest(start, 0), 0))::BIGINT AS taken
+        FROM runs""",
     "op2_url_filters": r"""
         WITH parts AS (
             SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substring(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
