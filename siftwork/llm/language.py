@@ -182,7 +182,7 @@ def learn(rows: DataFrame, vocab: str) -> Model | None:
             names=["lang", "word", "n"],
         )
 
-    words = sample.mapInArrow(run, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    words = _common.stash(sample.mapInArrow(run, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")))
     counts: dict[str, dict[str, int]] = {lang: {} for lang in sizes}
     for lang in sorted(sizes):  # at most TRAIN_WORDS rows each
         for r in words.where(F.col("lang") == lang).orderBy(F.desc("n"), "word").limit(TRAIN_WORDS).collect():
