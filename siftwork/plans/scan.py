@@ -10,7 +10,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import compare, match, refine, secrets, suppress
+from ..operators import compare, match, modules, refine, secrets, suppress, syntax, taint
 from ..sources import files as source
 from ..sources import rules as catalog
 
@@ -46,14 +46,14 @@ def ruleset_hash(rules: list[dict[str, Any]]) -> str:
 
 def raw_findings(files: DataFrame, rules: list[dict[str, Any]]) -> DataFrame:
     """Findings of all phases before refinement. Context is joined to findings, not findings to every line."""
-    from ..operators import syntax, taint
-
     lines = source.lines(files)
     found = match.where(source.with_lines(match.findings(lines, rules), files)).drop("lines", "pattern_type")
     if any(p[0] in ("ast-query", "ast") for r in rules for p in r["patterns"]):
         found = found.unionByName(syntax.findings(files, rules), allowMissingColumns=True)
     if any(p[0] == "taint" for r in rules for p in r["patterns"]):
-        found = found.unionByName(taint.findings(files, rules), allowMissingColumns=True)
+        imports, exports = modules.imports(lines, files), modules.exports(lines, files)
+        seeds = modules.tainted_names(imports, files, modules.tainted_exports(exports, files))
+        found = found.unionByName(taint.findings(files, rules, seeds), allowMissingColumns=True)
     return found
 
 

@@ -161,3 +161,10 @@ def test_watch(spark):
     run()
     assert seen == [[("a.py", 2)], [("b.js", 1)]]
     assert source.read_files(spark, str(tmp_path / "in")).count() == 2
+
+
+def test_flows_cross_files(spark):
+    files = source.from_strings(spark, {"src/app.js": "import { input } from './lib'\neval(input)\n", "src/lib.js": "export const input = req.body.x\n", "src/other.js": "import { input } from 'lib'\neval(input)\n"})
+    rule = catalog.parse({"id": "flow", "confidence": "high", "severity": "high", "patterns": [{"type": "taint", "sources": ["req.body"], "sinks": ["eval"]}]})
+    found = scan.scan(files, [rule]).findings
+    assert [(f.file, f.line) for f in found.collect()] == [("src/app.js", 2)]
