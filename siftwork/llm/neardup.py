@@ -7,10 +7,13 @@ far below the threshold; exact Jaccard over full sets decides. Pairs are confirm
 most alike candidate and one at random first, then only candidates whose nodes are not connected yet, so that a group of copies costs
 about as many confirmations as it has members.
 
-Nodes whose sketch is mostly hot values (members of very large groups) meet as well: every hot value names a leader by
-hash and its nodes pair with it; then, per hot value, nodes outside the list's largest component meet all the others of
-the list. No list is cut or dropped. A link at the threshold is missed only if all retained values miss the
-intersection, which has a chance below 1e-5 for each pair at worst (1e-9 without hot values).
+Nodes whose sketch is mostly hot values (members of very large groups) meet through leaders: every hot value names one
+for each range of sizes, and a node is described by its difference from the leader's full set. Nodes within the
+threshold of their leader are linked to it. A node that is not can reach another node of that leader only if their
+differences overlap by a known number, so it meets those that share an element of a prefix of the differences, rare
+elements first, with room for that overlap behind it: an exact filter without pairs of a large group's members. No list is cut or dropped. A link at the
+threshold is missed only if all retained values miss the intersection, which has a chance below 1e-5 for each pair at
+worst (1e-9 without hot values).
 
 Defined results: null and empty texts have no shingles and link with nothing; a text of fewer words than a shingle is
 one shingle; repeated rows and equal texts are one node; a doc_id with several texts joins their components; rows with a
@@ -25,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _common
@@ -36,6 +39,8 @@ RETAINED = 12
 HOT = 40
 #: Pairs whose estimate is this far below the threshold go: over six standard deviations of the estimate.
 MARGIN = 0.28
+#: Rounds of confirmation between the first and the last.
+ROUNDS = 1
 #: Ids are broadcast up to this many (8 MB), which is checked.
 MOST_BROADCAST = 1_000_000
 
@@ -113,7 +118,7 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
     """doc_id, k (the set's own hash), n (its size), sketch (its least hashes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _common.slices(batches, "text"):
+        for batch in _common.slices(batches, "text", 1 << 20):
             keys, sizes, least = [], [], []
             for s in shingle_sets(batch.column("text"), words):
                 keys.append(int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True))
@@ -134,19 +139,14 @@ def estimate(a: str, b: str) -> F.Column:
     )
 
 
-def _confirm(pairs: DataFrame, docs: DataFrame, ids: DataFrame, words: int, threshold: int) -> DataFrame:
-    """Those of `pairs` (ka, kb) with 100 * intersection >= threshold * union over full sets.
-
-    `ids` has a document for each node; only the texts that are needed are read on and move.
-    """
-    spark = pairs.sparkSession
-    need = pairs.select(F.col("ka").alias("k")).union(pairs.select("kb")).distinct().join(ids, "k").select("k", "id")
+def _full_sets(need: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """(k, s) of the nodes `need` (k, id): the full sets as bytes. Only the texts that are needed are read on and move."""
     need = _common.stash(need)
     known = F.broadcast(need) if need.count() <= MOST_BROADCAST else need
     texts = docs.join(known, docs["doc_id"] == known["id"]).select("k", "text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _common.slices(batches, "text"):
+        for batch in _common.slices(batches, "text", 1 << 20):
             found = list(shingle_sets(batch.column("text"), words))
             keys = [int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True) for s in found]
             same = [a == b for a, b in zip(keys, batch.column("k").to_pylist())]  # a doc_id may have other texts
@@ -155,9 +155,15 @@ def _confirm(pairs: DataFrame, docs: DataFrame, ids: DataFrame, words: int, thre
             )
 
     full = _common.stash(texts.mapInArrow(sets, "k long, s binary").dropDuplicates(["k"]))
-    both = (
-        pairs.join(full.toDF("ka", "sa"), "ka").join(full.toDF("kb", "sb"), "kb").select("ka", "kb", "sa", "sb")
-    )
+    _common.unstash(need)
+    return full
+
+
+def _confirm(pairs: DataFrame, docs: DataFrame, ids: DataFrame, words: int, threshold: int) -> DataFrame:
+    """Those of `pairs` (ka, kb) with 100 * intersection >= threshold * union over full sets; `ids` has (k, id) of nodes."""
+    need = pairs.select(F.col("ka").alias("k")).union(pairs.select("kb")).distinct().join(ids, "k").select("k", "id")
+    full = _full_sets(need, docs, words)
+    both = pairs.join(full.toDF("ka", "sa"), "ka").join(full.toDF("kb", "sb"), "kb").select("ka", "kb", "sa", "sb")
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -170,16 +176,105 @@ def _confirm(pairs: DataFrame, docs: DataFrame, ids: DataFrame, words: int, thre
 
     out = _common.stash(both.mapInArrow(decide, "ka long, kb long"))
     _common.unstash(full)
-    _common.unstash(need)
     return out
 
 
+def _span(size: str, threshold: int) -> F.Column:
+    """The range of a size: sizes within the threshold of each other are in one range or in neighbouring ones."""
+    return (F.floor(F.log(size) / F.log(F.lit(100 / threshold))) if threshold < 100 else F.col(size)).cast("long")
+
+
+def _differences(mostly: DataFrame, docs: DataFrame, words: int, threshold: int) -> DataFrame:
+    """(o, range, k, v, size, osize, linked, d): nodes by leader, with the elements in which they differ from it.
+
+    Sizes within the threshold of each other share a range or neighbouring ones, so a node is in its own and the next.
+    `v` counts the node's values that name the leader.
+    """
+    span = _span("n", threshold)
+    rows = mostly.withColumn("range", F.explode(F.array(span, span + 1))).select("k", "id", "range", F.explode("hot").alias("v"))
+    leaders = rows.groupBy("v", "range").agg(F.min_by("k", F.xxhash64("k")).alias("o"))
+    own = _common.stash(rows.join(leaders, ["v", "range"]).groupBy("k", "id", "o", "range").agg(F.count("*").alias("v")))
+    full = _full_sets(own.select("k", "id").distinct(), docs, words)
+    both = own.select("k", "o", "range", "v").join(full, "k").join(full.toDF("o", "so"), "o").select("o", "range", "k", "v", "s", "so")
+
+    def differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, leads, links, parts = [], [], [], []
+            for s, so in zip(batch.column("s"), batch.column("so")):
+                x, y = (np.frombuffer(v.as_buffer(), dtype=_U) for v in (s, so))
+                more, less = np.setdiff1d(x, y, assume_unique=True), np.setdiff1d(y, x, assume_unique=True)
+                shared = len(x) - len(more)
+                sizes.append(len(x))
+                leads.append(len(y))
+                links.append(100 * shared >= threshold * (len(x) + len(y) - shared))
+                parts.append(np.concatenate([more, mix(less)]).view(np.int64))  # what is lacking counts as other elements
+            ends = np.cumsum([0] + [len(d) for d in parts]).astype(np.int32)
+            d = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64)))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("o"), batch.column("range"), batch.column("k"), batch.column("v"), pa.array(sizes, pa.int64()), pa.array(leads, pa.int64()), pa.array(links, pa.bool_()), d],
+                names=["o", "range", "k", "v", "size", "osize", "linked", "d"],
+            )
+
+    return both.mapInArrow(differ, "o long, range long, k long, v long, size long, osize long, linked boolean, d array<long>")
+
+
+def _strays(found: DataFrame, roots: DataFrame, threshold: int) -> DataFrame:
+    """Pairs in different components under one leader, one of them not linked to it, whose differences may overlap enough.
+
+    Within the threshold, symmetric differences are at most c times both sizes, and sizes at most 1 / theta apart; so
+    differences overlap by at least (da + db - c * (size a + size b)) / 2, and prefixes that are longer by one than what
+    may miss the overlap meet. Elements are ordered by how many nodes have them, so those of one node alone, which meet
+    nothing, fill most prefixes.
+
+    A partner shares nearly all of a node's values, and so its leaders: leaders of half of a node's values are enough to
+    meet it, and the nearest ones are taken. Where those are linked to the node, it has met its partners already.
+    """
+    theta = threshold / 100
+    c = (1 - theta) / (1 + theta)
+    found = found.withColumn("nd", F.size("d"))
+    nearest = Window.partitionBy("k", "range").orderBy("nd", "o").rowsBetween(Window.unboundedPreceding, -1)
+    chosen = found.drop("d").withColumn("before", F.coalesce(F.sum("v").over(nearest), F.lit(0)))
+    chosen = _common.stash(chosen.where(F.col("before") < RETAINED / 2).where("NOT linked").select("k", "o", "range", F.lit(True).alias("stray")))
+    taken = found.join(chosen.select("o", "range").distinct(), ["o", "range"], "left_semi").join(chosen, ["k", "o", "range"], "left")
+    taken = taken.join(roots.select(F.col("id").alias("k"), F.col("root").alias("r")), "k", "left").withColumn("r", F.coalesce("r", "k"))
+    # Nodes of one leader lie together; dealt anew, tasks open about as many elements each.
+    rows = taken.repartition("k", "o").select("o", "range", "k", "r", "size", "osize", F.coalesce("stray", F.lit(False)).alias("stray"), "nd", F.explode("d").alias("x"))
+    ranked = rows.withColumn("df", F.count("*").over(Window.partitionBy("o", "range", "x")))
+    ranked = ranked.withColumn("place", F.row_number().over(Window.partitionBy("o", "range", "k").orderBy("df", "x")))
+    least = F.greatest(F.lit(1), F.ceil(F.col("nd") - F.col("size") * (1 - theta) / theta - 1e-9))
+    to_stray = F.floor((F.col("nd") + c * (F.col("osize") - F.col("size"))) / 2 - 1e-9) + 1
+    ranked = ranked.withColumns({"most": F.col("nd") - least + 1, "partner": F.col("place") <= F.col("nd") - F.greatest(least, to_stray) + 1})
+    ranked = _common.stash(ranked.where("df > 1 AND place <= most AND (stray OR partner)").drop("df", "osize", "most"))
+    # A node's prefixes, in order, travel with their elements: so a pair meets at its first common element alone.
+    own = F.struct("place", "x")
+    prefixes = _common.stash(ranked.groupBy("o", "range", "k", "r", "size", "nd").agg(
+        F.sort_array(F.collect_list(F.when(F.col("stray"), own))).alias("a"), F.sort_array(F.collect_list(F.when(F.col("partner"), own))).alias("b")
+    ))
+    side = lambda e: prefixes.select(
+        "o", "range", F.col("k").alias(f"k{e}"), F.col("r").alias(f"r{e}"), F.col("size").alias(f"n{e}"), F.col("nd").alias(f"d{e}"),
+        F.transform(e, lambda m: m["x"]).alias(f"q{e}"), F.explode(e).alias("m"),
+    ).select("*", F.col("m.place").alias(f"p{e}"), F.col("m.x").alias("x")).drop("m")
+    near = F.expr(f"100 * least(na, nb) >= {threshold} * greatest(na, nb)")
+    # A pair meets in the larger of its ranges only.
+    one = F.col("range") == F.greatest(_span("na", threshold), _span("nb", threshold))
+    # The first common element leaves room for the overlap that the pair needs.
+    room = F.expr(f"1 + least(da - pa, db - pb) >= (da + db - {c} * (na + nb)) / 2 - 1e-9")
+    first = F.col("x") == F.get(F.array_intersect("qa", "qb"), F.lit(0))
+    met = side("a").join(side("b"), ["o", "range", "x"]).where("ra <> rb").where(near & room & one & first)
+    return met.select(F.least("ka", "kb").alias("ka"), F.greatest("ka", "kb").alias("kb")).distinct()
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    """Each pair once for either node, `k`."""
+    return pairs.withColumn("k", F.explode(F.array("ka", "kb")))
+
+
 def _labelled(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    """`pairs` with the components ra and rb of their nodes."""
+    """Those of `pairs` whose nodes are in different components."""
     own = roots.select("id", "root")
     return (
         pairs.join(own.toDF("ka", "ra"), "ka", "left").join(own.toDF("kb", "rb"), "kb", "left")
-        .withColumns({"ra": F.coalesce("ra", "ka"), "rb": F.coalesce("rb", "kb")})
+        .where(F.coalesce("ra", "ka") != F.coalesce("rb", "kb")).select("ka", "kb")
     )
 
 
@@ -208,12 +303,6 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: int = 80) -> Dat
     kept = marked.select("k", "n", F.explode(F.expr(f"slice(array_except(sketch, hot), 1, {RETAINED})")).alias("v"))
     a, b = kept.toDF("ka", "na", "v"), kept.toDF("kb", "nb", "v")
     pairs = a.join(b, "v").where(F.col("ka") < F.col("kb")).where(alike).select("ka", "kb").distinct()
-    mostly = marked.where("2 * size(hot) > size(sketch)").select("k", "n", "sketch", F.expr(f"slice(hot, 1, {RETAINED})").alias("hot"))
-    if not hot.isEmpty():
-        member = marked.where("2 * size(hot) > size(sketch)").select("k", F.explode("hot").alias("v"))
-        leader = member.groupBy("v").agg(F.min_by("k", F.xxhash64("k", "v")).alias("lead"))
-        led = member.join(leader, "v").select(F.least("k", "lead").alias("ka"), F.greatest("k", "lead").alias("kb"))
-        pairs = pairs.union(led.where("ka <> kb").distinct()).distinct()
     s = nodes.select("k", "n", "sketch")
     judged = (
         pairs.join(s.toDF("ka", "na", "sa"), "ka").join(s.toDF("kb", "nb", "sb"), "kb")
@@ -221,22 +310,40 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: int = 80) -> Dat
     )
     judged = _common.stash(judged)
 
-    # First each node with its most alike and one at random, then what is not connected yet.
-    ends = judged.select(F.col("ka").alias("k"), "ka", "kb", "est").union(judged.select(F.col("kb").alias("k"), "ka", "kb", "est"))
-    best = ends.groupBy("k").agg(
+    # First each node with its most alike and one at random, and members of very large groups with their leaders.
+    best = _ends(judged).groupBy("k").agg(
         F.expr("array(max_by(struct(ka, kb), struct(est, xxhash64(ka, kb))), min_by(struct(ka, kb), xxhash64(ka, kb)))").alias("p")
     )
     best = best.select(F.explode("p").alias("p")).select("p.ka", "p.kb").distinct()
-    first = _confirm(best, docs, ids, words, threshold)
-    roots = _common.stash(_common.components(first.toDF("a", "b")))
-    rest = _labelled(judged.select("ka", "kb"), roots).where("ra <> rb").select("ka", "kb")
+    links = _confirm(best, docs, ids, words, threshold)
+    differ = None
     if not hot.isEmpty():
-        rest = rest.union(_strays(mostly, roots, low, alike)).distinct()
-    second = _confirm(_common.stash(rest), docs, ids, words, threshold)
+        mostly = marked.where("2 * size(hot) > size(sketch)").select("k", "id", "n", F.expr(f"slice(hot, 1, {RETAINED})").alias("hot"))
+        differ = _common.stash(_differences(mostly, docs, words, threshold))
+        links = links.union(differ.where("linked AND k <> o").select(F.col("k").alias("ka"), F.col("o").alias("kb")))
+    roots = _common.stash(_common.components(links.toDF("a", "b")))
+    rest = _labelled(judged.select("ka", "kb"), roots)
+    if differ is not None:
+        rest = rest.union(_strays(differ, roots, threshold)).distinct()
+    rest = _common.stash(rest)
+
+    # Then round by round one at random of what is not connected yet, and at last all that is left: a group's links are
+    # not confirmed once it hangs together.
+    for turn in range(ROUNDS + 1):
+        if rest.isEmpty():
+            break
+        last = turn == ROUNDS or rest.count() <= 2 * _ends(rest).select("k").distinct().count()
+        some = rest if last else _ends(rest).groupBy("k").agg(F.expr(f"min_by(struct(ka, kb), xxhash64(ka, kb, {turn}))").alias("p")).select("p.ka", "p.kb").distinct()
+        some = _common.stash(some)
+        links = links.union(_confirm(some, docs, ids, words, threshold))
+        if last:
+            break
+        roots = _common.stash(_common.components(links.toDF("a", "b")))
+        rest = _common.stash(_labelled(rest.join(some, ["ka", "kb"], "left_anti"), roots))
 
     # Components of documents: nodes by their least doc_id, and doc_ids with several texts.
     id_of = lambda c, to: ids.toDF(c, to)
-    links = first.union(second).join(id_of("ka", "a"), "ka").join(id_of("kb", "b"), "kb").select("a", "b")
+    links = links.join(id_of("ka", "a"), "ka").join(id_of("kb", "b"), "kb").select("a", "b")
     members = found.where("doc_id IS NOT NULL").join(ids, "k", "left").select("doc_id", "n", F.coalesce("id", "doc_id").alias("node"))
     twice = members.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select("doc_id")
     links = links.union(members.join(twice, "doc_id").where("node <> doc_id").select("doc_id", "node"))
@@ -248,13 +355,3 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: int = 80) -> Dat
     return out.union(lone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def _strays(mostly: DataFrame, roots: DataFrame, low: float, alike: F.Column) -> DataFrame:
-    """Pairs that share a hot value in different components: those outside a list's largest component with all of it."""
-    own = mostly.join(roots.toDF("k", "r"), "k", "left").withColumn("r", F.coalesce("r", "k"))
-    rows = own.select("k", "n", "sketch", "r", F.explode("hot").alias("v"))
-    counts = rows.groupBy("v", "r").agg(F.count("*").alias("c"))
-    major = counts.groupBy("v").agg(F.max_by("r", F.struct("c", "r")).alias("major"))
-    minor = rows.join(major, "v").where("r <> major").select("v", F.col("k").alias("ka"), F.col("n").alias("na"), F.col("sketch").alias("sa"), F.col("r").alias("ra"))
-    every = rows.select("v", F.col("k").alias("kb"), F.col("n").alias("nb"), F.col("sketch").alias("sb"), F.col("r").alias("rb"))
-    met = minor.join(every, "v").where("ra <> rb").where(alike).where(estimate("sa", "sb") >= low)
-    return met.select(F.least("ka", "kb").alias("ka"), F.greatest("ka", "kb").alias("kb")).distinct()
