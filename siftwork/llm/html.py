@@ -30,6 +30,8 @@ from . import _common
 DEEPEST = 256
 #: A subtree is a template if it is on so many pages of its host and so large a share of them; in an article, or not.
 IN_ARTICLE, ELSEWHERE = (10, 0.5), (5, 0.2)
+#: Hashes of templates that are broadcast (8 MB), which is checked.
+MOST_BROADCAST = 1_000_000
 
 TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S
@@ -208,7 +210,10 @@ def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of each page (page_id, url, html)."""
     pages = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
     pages = pages.withColumn("host", F.coalesce("host", F.lit("")))
-    known = pages.select("page_id", "url", "html", "host").join(templates(pages.select("host", "html")), "host", "left").select("page_id", "url", "html", "hashes")
+    found = _common.stash(templates(pages.select("host", "html")))
+    # Pages move only if there are more templates than can be sent to every executor.
+    few = found.agg(F.coalesce(F.sum(F.size("hashes") + 8), F.lit(0))).first()[0] <= MOST_BROADCAST
+    known = pages.join(F.broadcast(found) if few else found, "host", "left").select("page_id", "url", "html", "hashes")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _common.slices(batches, "html"):
