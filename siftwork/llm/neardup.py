@@ -9,9 +9,10 @@ about as many confirmations as it has members.
 
 Nodes whose sketch is mostly hot values (members of very large groups) meet through leaders: every hot value names one
 for each range of sizes, and a node is described by its difference from the leader's full set. Nodes within the
-threshold of their leader are linked to it. A node that is not can reach another node of that leader only if their
-differences overlap by a known number, so it meets those that share an element of a prefix of the differences, rare
-elements first, with room for that overlap behind it: an exact filter without pairs of a large group's members. No list is cut or dropped. A link at the
+threshold of their leader are linked to it. A node that is not can, under each such leader, reach another node only if
+their differences overlap by a known number, so it meets those that share an element of a prefix of the differences, rare
+elements first, with room for that overlap behind it: an exact filter without pairs of a large group's members. No list
+or leader is cut or dropped. A link at the
 threshold is missed only if all retained values miss the intersection, which has a chance below 1e-5 for each pair at
 worst (1e-9 without hot values).
 
@@ -185,17 +186,16 @@ def _span(size: str, threshold: int) -> F.Column:
 
 
 def _differences(mostly: DataFrame, docs: DataFrame, words: int, threshold: int) -> DataFrame:
-    """(o, range, k, v, size, osize, linked, d): nodes by leader, with the elements in which they differ from it.
+    """(o, range, k, size, osize, linked, d): nodes by leader, with the elements in which they differ from it.
 
     Sizes within the threshold of each other share a range or neighbouring ones, so a node is in its own and the next.
-    `v` counts the node's values that name the leader.
     """
     span = _span("n", threshold)
     rows = mostly.withColumn("range", F.explode(F.array(span, span + 1))).select("k", "id", "range", F.explode("hot").alias("v"))
     leaders = rows.groupBy("v", "range").agg(F.min_by("k", F.xxhash64("k")).alias("o"))
-    own = _common.stash(rows.join(leaders, ["v", "range"]).groupBy("k", "id", "o", "range").agg(F.count("*").alias("v")))
+    own = _common.stash(rows.join(leaders, ["v", "range"]).select("k", "id", "o", "range").distinct())
     full = _full_sets(own.select("k", "id").distinct(), docs, words)
-    both = own.select("k", "o", "range", "v").join(full, "k").join(full.toDF("o", "so"), "o").select("o", "range", "k", "v", "s", "so")
+    both = own.select("k", "o", "range").join(full, "k").join(full.toDF("o", "so"), "o").select("o", "range", "k", "s", "so")
 
     def differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -211,11 +211,11 @@ def _differences(mostly: DataFrame, docs: DataFrame, words: int, threshold: int)
             ends = np.cumsum([0] + [len(d) for d in parts]).astype(np.int32)
             d = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("o"), batch.column("range"), batch.column("k"), batch.column("v"), pa.array(sizes, pa.int64()), pa.array(leads, pa.int64()), pa.array(links, pa.bool_()), d],
-                names=["o", "range", "k", "v", "size", "osize", "linked", "d"],
+                [batch.column("o"), batch.column("range"), batch.column("k"), pa.array(sizes, pa.int64()), pa.array(leads, pa.int64()), pa.array(links, pa.bool_()), d],
+                names=["o", "range", "k", "size", "osize", "linked", "d"],
             )
 
-    return both.mapInArrow(differ, "o long, range long, k long, v long, size long, osize long, linked boolean, d array<long>")
+    return both.mapInArrow(differ, "o long, range long, k long, size long, osize long, linked boolean, d array<long>")
 
 
 def _strays(found: DataFrame, roots: DataFrame, threshold: int) -> DataFrame:
@@ -226,19 +226,17 @@ def _strays(found: DataFrame, roots: DataFrame, threshold: int) -> DataFrame:
     may miss the overlap meet. Elements are ordered by how many nodes have them, so those of one node alone, which meet
     nothing, fill most prefixes.
 
-    A partner shares nearly all of a node's values, and so its leaders: leaders of half of a node's values are enough to
-    meet it, and the nearest ones are taken. Where those are linked to the node, it has met its partners already.
+    A node is stray under every leader that it is not linked to. Two nodes of one leader that are both linked to it are
+    connected, so every other pair has a stray: nodes of two cores that meet only through each other are found as well.
     """
     theta = threshold / 100
     c = (1 - theta) / (1 + theta)
     found = found.withColumn("nd", F.size("d"))
-    nearest = Window.partitionBy("k", "range").orderBy("nd", "o").rowsBetween(Window.unboundedPreceding, -1)
-    chosen = found.drop("d").withColumn("before", F.coalesce(F.sum("v").over(nearest), F.lit(0)))
-    chosen = _common.stash(chosen.where(F.col("before") < RETAINED / 2).where("NOT linked").select("k", "o", "range", F.lit(True).alias("stray")))
-    taken = found.join(chosen.select("o", "range").distinct(), ["o", "range"], "left_semi").join(chosen, ["k", "o", "range"], "left")
+    strays = _common.stash(found.where("NOT linked").select("o", "range").distinct())
+    taken = found.join(strays, ["o", "range"], "left_semi").withColumn("stray", ~F.col("linked"))
     taken = taken.join(roots.select(F.col("id").alias("k"), F.col("root").alias("r")), "k", "left").withColumn("r", F.coalesce("r", "k"))
     # Nodes of one leader lie together; dealt anew, tasks open about as many elements each.
-    rows = taken.repartition("k", "o").select("o", "range", "k", "r", "size", "osize", F.coalesce("stray", F.lit(False)).alias("stray"), "nd", F.explode("d").alias("x"))
+    rows = taken.repartition("k", "o").select("o", "range", "k", "r", "size", "osize", "stray", "nd", F.explode("d").alias("x"))
     ranked = rows.withColumn("df", F.count("*").over(Window.partitionBy("o", "range", "x")))
     ranked = ranked.withColumn("place", F.row_number().over(Window.partitionBy("o", "range", "k").orderBy("df", "x")))
     least = F.greatest(F.lit(1), F.ceil(F.col("nd") - F.col("size") * (1 - theta) / theta - 1e-9))

@@ -62,6 +62,26 @@ def test_equals_brute_force(spark, corpus, words, threshold):
     assert found == want
 
 
+def test_bridge_of_two_cores(spark):
+    """Two cores of a very large group hang together by one pair, each of which is linked to a leader of its own core."""
+    words = [f"w{k}" for k in range(360)]
+    least = dict(zip(words, (int(s[0]) for s in neardup.shingle_sets(pa.array(words), 1))))
+    words.sort(key=least.get)
+    # The least hashes are those that the bridge shares with one core alone, the next those of all.
+    x3, y1, every = words[:6], words[6:12], words[12:100]
+    rest = iter(words[100:])
+    take = lambda n: [next(rest) for _ in range(n)]
+    x3, y1, x1, x2, y2, y3, every = x3 + take(14), y1 + take(14), take(20), take(20), take(20), take(20), every + take(140)
+    extra = sorted((f"extra{k}" for k in range(400)), key=lambda w: int(next(neardup.shingle_sets(pa.array([w]), 1))[0]))[-120:]
+    rows = [[*every, *x1, *x2, *x3, e] for e in extra[:60]] + [[*every, *y1, *y2, *y3, e] for e in extra[60:]]
+    rows += [[*every, *y1, *x2, *x3], [*every, *y1, *y2, *x3]]
+    rows = [(k, " ".join(r)) for k, r in enumerate(rows)]
+    want = brute(rows, 1, 80)
+    assert {c for _, c in want.values()} == {0} and {c for _, c in brute(rows[:-1], 1, 80).values()} == {0, 60}
+    found = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 1, 80).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == want
+
+
 def test_odd_rows(spark, odd):
     rows = neardup.near_duplicates(odd, 3, 85).collect()
     assert len(rows) == odd.count()
