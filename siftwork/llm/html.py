@@ -9,7 +9,7 @@ recurring, as articles are copied and quoted.
 Counting pre-aggregates in each task; a host's templates are bounded in number by their least share of its pages.
 
 Defined results: null or empty pages have an empty text; a null url has the empty host; repeated rows count as pages
-each; very deep nesting is cut to `DEEPEST` open elements, text kept; an empty table gives an empty result; other
+each; elements may nest to any depth; an empty table gives an empty result; other
 columns are ignored.
 """
 
@@ -27,9 +27,10 @@ from pyspark.sql import functions as F
 
 from . import _common
 
-DEEPEST = 256
 #: A subtree is a template if it is on so many pages of its host and so large a share of them; in an article, or not.
 IN_ARTICLE, ELSEWHERE = (10, 0.5), (5, 0.2)
+#: An element with more items than this stands in its parent by their hash, so that deep nests are not read again and again.
+MOST_ITEMS = 16
 #: Hashes of templates that are broadcast (8 MB), which is checked.
 MOST_BROADCAST = 1_000_000
 
@@ -55,15 +56,19 @@ SPLIT = re.compile(r"[\s_\-:]+|(?<=[a-z])(?=[A-Z])")
 
 
 class Page:
-    """blocks: (text, in main, numbers of its hashed elements); trees: hash and in main of each hashed element."""
+    """blocks: (text, in main, number of the innermost hashed element or -1); trees: hash and in main of each hashed
+    element; parents: number of the hashed element around each, or -1."""
 
     def __init__(self, source: str):
-        self.blocks: list[tuple[str, bool, tuple[int, ...]]] = []
+        self.blocks: list[tuple[str, bool, int]] = []
         self.trees: list[tuple[int, bool]] = []
+        self.parents: list[int] = []
         self.has_main = False
         self._parts: list[str] = []
         # Open elements: tag, whether it skips, number of its tree or -1, items at its start.
         self._open: list[tuple[str, bool, int, int]] = []
+        self._places: dict[str, list[int]] = {}  # of the open elements, by tag
+        self._tree = -1  # the innermost open one
         self._items: list[str] = []
         self._skips = self._mains = 0
         self._parse(source)
@@ -73,30 +78,34 @@ class Page:
             text = " ".join("".join(self._parts).split())
             self._parts = []
             if text:
-                self.blocks.append((text, self._mains > 0, tuple(o[2] for o in self._open if o[2] >= 0)))
+                self.blocks.append((text, self._mains > 0, self._tree))
                 self._items.append(text)
 
     def _pop(self) -> None:
         tag, skips, tree, start = self._open.pop()
+        self._places[tag].pop()
         self._skips -= skips
         self._mains -= tag in MAIN
+        if len(self._items) - start > MOST_ITEMS:
+            own = "\0".join(self._items[start:])
+            self._items[start:] = ["#" + blake2b(own.encode("utf-8", "replace"), digest_size=16).hexdigest()]
         if tree >= 0:
             name, main = self.trees[tree]
             own = "\0".join([str(name), *self._items[start:]])
             self.trees[tree] = (int.from_bytes(blake2b(own.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True), main)
+            self._tree = self.parents[tree]
         self._items.append(">")
 
     def _close(self, tags: set[str], within: set[str]) -> None:
         """End the innermost open element of `tags`, unless one of `within` is nearer."""
-        for k in range(len(self._open) - 1, -1, -1):
-            if self._open[k][0] in tags:
-                if any(o[0] in BLOCK for o in self._open[k:]):
-                    self._flush()
-                while len(self._open) > k:
-                    self._pop()
-                return
-            if self._open[k][0] in within:
-                return
+        last = lambda names: max((self._places[t][-1] for t in names if self._places.get(t)), default=-1)
+        k = last(tags)
+        if k < 0 or last(within) > k:
+            return
+        if any(o[0] in BLOCK for o in self._open[k:]):
+            self._flush()
+        while len(self._open) > k:
+            self._pop()
 
     def _start(self, tag: str, attrs: str) -> None:
         if tag in CLOSES_P:
@@ -121,7 +130,10 @@ class Page:
         if not self._skips and (tag in CONTAINER or tag in LEAF and not self._mains):
             tree = len(self.trees)
             self.trees.append((f"{tag}.{mark}", self._mains > 0))
+            self.parents.append(self._tree)
+            self._tree = tree
         self._items.append("<" + tag)
+        self._places.setdefault(tag, []).append(len(self._open))
         self._open.append((tag, bad, tree, len(self._items)))
 
     def _text(self, text: str) -> None:
@@ -154,7 +166,7 @@ class Page:
             elif tag in RAW:
                 close = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(source, at)
                 at = close.end() if close else len(source)
-            elif tag not in VOID and not attrs.endswith("/") and len(self._open) < DEEPEST:
+            elif tag not in VOID and not attrs.endswith("/"):
                 self._start(tag, attrs)
         self._flush()
         while self._open:
@@ -165,8 +177,13 @@ class Page:
         return {t for t in self.trees if t[1] or not self.has_main}
 
     def text(self, templates: set[int] = frozenset()) -> str:
-        gone = {k for k, (h, _) in enumerate(self.trees) if h in templates} if templates else set()
-        kept = [t for t, main, trees in self.blocks if (main or not self.has_main) and gone.isdisjoint(trees)]
+        gone = [False]  # of each element and, last, of none
+        if templates:
+            for (h, _), parent in zip(self.trees, self.parents):  # parents come first
+                gone.insert(-1, h in templates or parent >= 0 and gone[parent])
+        else:
+            gone *= len(self.trees) + 1
+        kept = [t for t, main, tree in self.blocks if (main or not self.has_main) and not gone[tree]]
         return "\n".join(kept)
 
 

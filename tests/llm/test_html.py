@@ -19,6 +19,19 @@ def test_odd_sources():
     assert html.Page("<p>a</p><![CDATA[b]]>").text() == "a\nb"
 
 
+def test_deep_nests():
+    for n in (300, 20_000):
+        for tag in ("div", "b"):
+            nest = f"<{tag}>" * n + "in" + f"</{tag}>" * n
+            assert html.Page(f"<article><p>a</p>{nest}<p>z</p></article>after").text().split() == ["a", "in", "z"]
+            # What is deep inside is skipped as elsewhere, and ends that fit nothing end nothing.
+            deep = html.Page("<article><p>a</p>" + f"<{tag}>" * n + "<nav>menu</nav><form>form</form><p>in</p>" + "</i>" * n + "<p>z</p>")
+            assert deep.text().split() == ["a", "in", "z"]
+    # A template around a deep nest takes all of it along.
+    page = html.Page("<div>" + "<div>" * 300 + "in" + "</div>" * 301 + "<p>z</p>")
+    assert page.text({page.trees[0][0]}) == "z"
+
+
 def test_templates_go_and_copied_articles_stay(spark):
     rows = [(k, f"http://h.com/{k}", f"<body><div><p>Welcome to our place</p></div><div><p>Own text {k}</p></div></body>") for k in range(30)]
     rows += [(100 + k, f"http://g.com/{k}", "<article><p>Copied on every page</p></article>") for k in range(30)]
