@@ -9,7 +9,9 @@ from __future__ import annotations
 
 import ast
 import re
+import sys
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -29,9 +31,26 @@ class Node:
     children: list[tuple[str, Node]] = field(default_factory=list)
 
     def all(self) -> Iterator[Node]:
-        yield self
-        for _, c in self.children:
-            yield from c.all()
+        todo = [self]
+        while todo:
+            n = todo.pop()
+            yield n
+            todo.extend(c for _, c in reversed(n.children))
+
+
+#: Frames of Python that reading a file may take; they lie on the heap.
+DEEPEST = 200_000
+
+
+@contextmanager
+def deep() -> Iterator[None]:
+    """Let trees be read and walked to a depth of DEEPEST frames."""
+    before = sys.getrecursionlimit()
+    sys.setrecursionlimit(max(before, DEEPEST))
+    try:
+        yield
+    finally:
+        sys.setrecursionlimit(before)
 
 
 # ---- Python ----
@@ -49,7 +68,7 @@ _PY_FIELDS = {("Call", "func"): "function", ("Attribute", "value"): "object", ("
 def _python(source: str) -> Node | None:
     try:
         tree = ast.parse(source)
-    except (SyntaxError, ValueError, RecursionError):
+    except (SyntaxError, ValueError, RecursionError, MemoryError):
         return None
     raw = source.encode("utf-8", "surrogatepass")
     starts = [0]
@@ -344,13 +363,14 @@ class _Reader:
 
 def parse(source: str, language: str) -> Node | None:
     """The tree of a text, or None if its language is unknown or it can't be read."""
-    if language == "python":
-        return _python(source)
-    if language in ("javascript", "typescript", "go", "java"):
-        try:
-            return _Reader(source, language).program()
-        except RecursionError:
-            return None
+    try:
+        with deep():
+            if language == "python":
+                return _python(source)
+            if language in ("javascript", "typescript", "go", "java"):
+                return _Reader(source, language).program()
+    except RecursionError:
+        pass
     return None
 
 

@@ -6,7 +6,7 @@ summary: which of its parameters reach a sink, and whether it gives back what ca
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from typing import Any
 
 import pyarrow as pa
@@ -14,16 +14,97 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.files import described
-from .syntax import OUT, Node, as_findings, parse, text_of
+from .syntax import OUT, Node, as_findings, deep, parse, text_of
 
-# Defaults for rules that name no sources or sinks, by language.
+# Defaults for rules that name no sources or sinks, by language: sources, sinks, sanitizers. Those of
+# scanners of this kind, whole, and after them a few names of our own.
 DEFAULTS: dict[str, tuple[list[str], list[str], list[str]]] = {
-    "javascript": (["req.body", "req.params", "req.query", "req.headers"], ["eval", "exec", "innerHTML", ".query", ".execute"], ["escape", "sanitize", "encodeURIComponent", "parseInt"]),
-    "typescript": (["req.body", "req.params", "req.query", "req.headers"], ["eval", "exec", "innerHTML", ".query", ".execute"], ["escape", "sanitize", "encodeURIComponent", "parseInt"]),
-    "python": (["request.args", "request.form", "request.json", "input", "sys.argv"], ["eval", "exec", "os.system", "subprocess", ".execute"], ["escape", "shlex.quote", "int"]),
-    "go": (["r.FormValue", "r.URL.Query", "os.Args"], ["exec.Command", ".Query", ".Exec"], ["html.EscapeString", "strconv.Atoi"]),
-    "java": (["getParameter", "getHeader"], ["executeQuery", "exec", "println"], ["encode", "escape"]),
-}
+    "javascript": (
+        ["req.body", "req.params", "req.query", "req.headers", "req.cookies", "req.files", "process.argv", "window.location", "document.URL"],
+        [".query(", ".execute(", "eval(", "Function(", "setTimeout(", "setInterval(", ".innerHTML", ".outerHTML", "document.write", "document.writeln", "child_process.exec", "child_process.execSync", "child_process.spawn", "cp.exec", "cp.execSync", "cp.spawn", "fetch(", "exec"],
+        ["DOMPurify.sanitize", "escapeHtml", "htmlspecialchars", "encodeURIComponent", "he.encode", "validator.escape", "escape", "sanitize", "parseInt"],
+    ),
+    "typescript": (
+        ["req.body", "req.params", "req.query", "req.headers", "process.argv"],
+        [".query", "eval", ".innerHTML", ".exec", "document.write"],
+        ["DOMPurify.sanitize", "escapeHtml", "escape", "sanitize", "encodeURIComponent", "parseInt"],
+    ),
+    "python": (
+        ["request.args", "request.form", "request.json", "request.data", "request.headers", "request.cookies", "request.files", "sys.argv", "input", "input()"],
+        [".execute", ".executemany", "eval", "exec", "os.system", "subprocess.call", "subprocess.run", "subprocess.Popen", "render_template_string", "pickle.loads", "subprocess"],
+        ["bleach.clean", "html.escape", "urllib.parse.quote", "sqlalchemy.text", "escape", "shlex.quote", "int"],
+    ),
+    "go": (
+        ["r.Body", "r.URL.Query", "r.FormValue", "r.PostFormValue", "r.Header.Get", "os.Args", "req.Body"],
+        [".Query", ".Exec", ".QueryRow", ".QueryContext", ".ExecContext", "exec.Command", "os/exec.Command", "template.Parse", "template.Execute"],
+        ["html.EscapeString", "url.QueryEscape", "strconv.Quote", "strconv.Atoi"],
+    ),
+    "java": (
+        ["request.getParameter", "req.getParameter", "request.getHeader", "request.getInputStream", "System.getenv", "args[", "getParameter", "getHeader"],
+        [".execute", ".executeQuery", ".executeUpdate", "Runtime.getRuntime().exec", "new ProcessBuilder", "readObject", ".eval(", "exec", "println"],
+        ["PreparedStatement", "ESAPI.encoder", "org.owasp.encoder", "encode", "escape"],
+    ),
+    "csharp": (
+        ["Request.QueryString", "Request.Form", "Request.Params", "Request.Headers", "Request.Cookies", "Environment.GetEnvironmentVariable", "args["],
+        [".Execute", ".ExecuteNonQuery", ".ExecuteReader", "Process.Start", "new Process", "Assembly.Load", ".Deserialize"],
+        ["HttpUtility.HtmlEncode", "WebUtility.HtmlEncode", "AntiXssEncoder", "SqlParameter"],
+    ),
+    "php": (
+        ["$_GET", "$_POST", "$_REQUEST", "$_COOKIE", "$_FILES", "$_SERVER", "$argv"],
+        ["mysql_query", "mysqli_query", "->query", "->exec", "->prepare", "eval(", "exec(", "system(", "shell_exec(", "passthru(", "proc_open(", "file_get_contents(", "fopen(", "include(", "require(", "echo ", "print ", "header(", "unserialize("],
+        ["htmlspecialchars", "htmlentities", "strip_tags", "mysqli_real_escape_string", "PDO::quote", "escapeshellarg", "escapeshellcmd", "filter_input"],
+    ),
+    "rust": (
+        ["std::io::stdin", "std::env::args", "std::env::var", "req.body", "req.params", "req.query"],
+        ["Command::new", "std::fs::read", "std::fs::write", "File::open", "sqlx::query", "sql_query", "reqwest::get"],
+        [" ammonia::clean", " pulldown_cmark"],
+    ),
+    "kotlin": (
+        ["intent.getStringExtra", "intent.getData", "request.getParameter", "req.getParameter", "args["],
+        [".execute", ".executeQuery", "Runtime.getRuntime().exec", "new ProcessBuilder", "readObject", ".eval("],
+        ["PreparedStatement", "org.owasp.encoder", "HtmlCompat"],
+    ),
+    "c": (
+        ["argv[", "getenv(", "fgets(", "scanf(", "read(", "recv(", "recvfrom("],
+        ["system(", "popen(", "exec(", "sprintf(", "strcpy(", "strcat(", "memcpy(", "gets(", "fopen(", "open("],
+        ["strncpy", "strncat", "snprintf", "strlcpy", "strlcat"],
+    ),
+    "cpp": (
+        ["argv[", "std::getenv(", "std::cin", "getenv(", "recv(", "recvfrom("],
+        ["system(", "popen(", "exec(", "sprintf(", "strcpy(", "strcat(", "memcpy(", "std::system(", "std::process::system("],
+        ["std::string", "strncpy", "snprintf", "strlcpy"],
+    ),
+    "bash": (
+        ["$1", "$2", "$@", "read ", "cat ", "curl ", "wget ", "env", "getopts"],
+        ["eval", "exec", "system", "source", ".", "mysql", "psql", "rm -rf", "chmod", "chown", "tee"],
+        ["quoted", "printf '%q'", "sed 's/[^a-zA-Z0-9]//g'", "tr -d"],
+    ),
+    "dart": (
+        ["stdin", "args", "TextEditingController", "queryParameters", "headers", "uri.pathSegments", "MethodChannel"],
+        ["eval", "execute", "rawQuery", "innerHtml", "loadUrl", "open", "File(", "http.get", "http.post", "Process.run", "Process.start"],
+        ["HtmlEscape", "Uri.encodeComponent", "Uri.encodeFull", "RegExp.escape", "validator", "int.parse", "double.parse"],
+    ),
+    "elixir": (
+        ["params", "conn.params", "conn.query_string", "System.get_env", "IO.gets", "File.read!", "recv"],
+        ["Ecto.Adapters.SQL.query", "unsafe_fragment", "Code.eval_string", "Code.load_file", "System.cmd", ":os.cmd", "send_resp", "render", "File.write!", "File.rm!", "spawn"],
+        ["HtmlEntities.encode", "URI.encode", "Regex.escape", "String.trim", "Integer.parse", "Float.parse", "Phoenix.HTML"],
+    ),
+    "lua": (
+        ["arg", "io.read", "os.getenv", "socket.receive", "ngx.var", "ngx.req.get_uri_args", "ngx.req.get_post_args", "request"],
+        ["os.execute", "io.popen", "loadstring", "load", "loadfile", "dofile", "require", "io.open", "socket.http.request", "luasql", "ngx.redirect"],
+        ["ngx.escape_uri", "string.gsub", "string.match", "tonumber", "tostring", "ngx.quote_sql_str"],
+    ),
+    "scala": (
+        ["request.queryString", "request.body", "params", "args", "scala.io.StdIn", "System.getenv", "request.headers", "request.path"],
+        ["sql", "DB.withConnection", "raw", "slick.jdbc", "Runtime.exec", "ProcessBuilder", "Process", "scala.tools.nsc", "ObjectInputStream", "new File", "WS.url", "render"],
+        ["HtmlFormat.escape", "UriEncoding.encodePath", "StringEscapeUtils", "play.api.libs.json.Json", "scala.xml.Utility.escape"],
+    ),
+    "solidity": (
+        ["msg.data", "msg.sender", "msg.value", "tx.origin", "block.timestamp", "block.number", "block.coinbase", "block.difficulty"],
+        ["call.value", "delegatecall", "selfdestruct", "send(", "transfer(", "call{value:", "address.call", "assembly", "create", "create2"],
+        ["require", "assert", "revert", "check", "SafeMath", "OpenZeppelin", "onlyOwner", "nonReentrant"],
+    ),
+}
 FIRST_ARGUMENT = (".query", ".execute", ".run")
 _CALLS = {"call", "call_expression", "method_invocation"}
 _ASSIGNS = {"assignment", "assignment_expression", "assignment_statement", "variable_declarator", "short_var_declaration", "augmented_assignment"}
@@ -82,23 +163,30 @@ class Flow:
             return self.text(n) in self.tainted
         if n.kind in _MEMBERS:
             text = self.text(n)
-            return any(s in text for s in self.sources) or text in self.tainted or any(self.is_tainted(c) for _, c in n.children[:1])
+            return any(s in text for s in self.sources) or text in self.tainted or self._any(c for _, c in n.children[:1])
         if n.kind in _CALLS:
             function = child(n, "function")
             name = self.text(function) if function else ""
             if any(s in name for s in self.sources):
                 return True
             own = self.summaries.get(name)
-            if own and any(k in own[1] and self.is_tainted(a) for k, a in enumerate(self._args(n))):
+            if own and self._any(a for k, a in enumerate(self._args(n)) if k in own[1]):
                 return True
             if name and any(s in name or name in s for s in self.sanitizers):
                 return False
             if function and function.kind in _MEMBERS and self.is_tainted(function):
                 return True
-            return not own and any(self.is_tainted(a) for a in self._args(n))
+            return not own and self._any(self._args(n))
         if n.kind in ("comparison_operator", "boolean_operator") or any(c.kind == "comparison" for _, c in n.children):
             return False
-        return any(self.is_tainted(c) for _, c in n.children)
+        return self._any(c for _, c in n.children)
+
+    def _any(self, nodes: Iterable[Node]) -> bool:
+        # A loop: deep trees may not go through calls in C.
+        for c in nodes:
+            if self.is_tainted(c):
+                return True
+        return False
 
     def _walk(self, n: Node, report: bool) -> None:
         if n.kind in _ASSIGNS:
@@ -134,7 +222,8 @@ def analyse(source: str, language: str, sources: list[str], sinks: list[str], sa
         return []
     raw = source.encode("utf-8", "surrogatepass")
     default = DEFAULTS.get(language, ([], [], []))
-    flow = Flow(tree, raw, sources or default[0], sinks or default[1], sanitizers or ([] if sources and sinks else default[2]), seeds)
+    with deep():
+        flow = Flow(tree, raw, sources or default[0], sinks or default[1], sanitizers or ([] if sources and sinks else default[2]), seeds)
     out = []
     for n in sorted({(n.start, n.end) for n in flow.found}):
         before = raw[: n[0]]

@@ -163,6 +163,34 @@ def test_watch(spark):
     assert source.read_files(spark, str(tmp_path / "in")).count() == 2
 
 
+@pytest.mark.parametrize(
+    ("language", "code"),
+    [("javascript", f"const a = {s};\n{k};") for s in ("req.cookies.x", "req.files.x", "process.argv[2]", "window.location.hash", "document.URL") for k in ("Function(a)", "setTimeout(a)", "x.outerHTML = a", "document.write(a)", "fetch(a)")]
+    + [("python", f"a = request.{s}\n{k}(a)") for s in ("data", "cookies", "files") for k in ("c.executemany", "render_template_string", "pickle.loads")]
+    + [("go", "a := r.Header.Get(\"x\")\ndb.QueryRow(a)"), ("java", "class E { void f() { String n = System.getenv(\"n\");\n s.executeUpdate(n); } }")],
+)
+def test_flows_of_whole_tables(language, code):
+    assert [n for n, _, _ in taint.analyse(code, language, [], [], [])] == [2]
+
+
+def test_tables_of_every_language():
+    assert set(taint.DEFAULTS) >= set("javascript typescript python go java csharp php rust kotlin c cpp bash dart elixir lua scala solidity".split())
+    assert all(all(x) for x in taint.DEFAULTS.values())
+
+
+@pytest.mark.parametrize(
+    ("language", "code"),
+    [
+        ("javascript", "const a = " + "(" * 3000 + "req.body.x" + ")" * 3000 + ";\neval(a);"),
+        ("javascript", "const a = 'b'" + " + 'b'" * 3000 + " + req.body.x;\neval(a);"),
+        ("python", "a = 'b'" + " + 'b'" * 1500 + " + input()\neval(a)"),
+        ("python", "a = input()\neval('b'" + " + 'b'" * 1500 + " + a)"),
+    ],
+)
+def test_deep_files_are_read(language, code):
+    assert [n for n, _, _ in taint.analyse(code, language, [], [], [])] == [2]
+
+
 def test_flows_cross_files(spark):
     files = source.from_strings(spark, {"src/app.js": "import { input } from './lib'\neval(input)\n", "src/lib.js": "export const input = req.body.x\n", "src/other.js": "import { input } from 'lib'\neval(input)\n"})
     rule = catalog.parse({"id": "flow", "confidence": "high", "severity": "high", "patterns": [{"type": "taint", "sources": ["req.body"], "sinks": ["eval"]}]})
