@@ -1,7 +1,7 @@
 """Toxicity by noisy-channel deobfuscation and a lexicon learned from labels.
 
 Words that look disguised (leetspeak, letters set apart, repeated letters) are restored first: each character opens a
-few readings (itself, letters it stands for, nothing if it repeats or separates), and a Viterbi search over that lattice
+few readings (itself, letters it stands for, nothing if it repeats or separates, a word's end if it separates), and a Viterbi search over that lattice
 finds the likeliest reading under a letter-pair model counted over every document. Plain and restored words and their
 beginnings are then looked up among features whose labels in the training sample are nearly all toxic; a score joins the
 probabilities of a text's words as independent causes.
@@ -51,7 +51,9 @@ READ, REPEAT, SEPARATE, DROP = -0.7, -0.5, -0.3, -6.0
 
 TRIM = ".,;:!?\"'()[]{}<>*_-«»“”‘’…#%&=/\\"
 DISGUISED = re.compile(r"[^\W\d_].*[\d@$!|+(<€£¡#*_.\-].*[^\W\d_]|(.)\1\1|[\d@$!|+(<€£¡#].*[^\W\d_]{2}|[^\W\d_]{2}.*[\d@$!|+(<€£¡#]")
-SPACED = re.compile(r"(?<![^\s])[^\s][ .\-_*](?:[^\s][ .\-_*]){1,30}[^\s](?![^\s.,;:!?])")
+#: Punctuation that may join words.
+JOINTS = re.compile(r"[.,;:?\"'()\[\]{}=&%~/\\…–—_-]+")
+SPACED = re.compile(r"(?<![^\s])[^\s][ .\-_*](?:[^\s][ .\-_*])+[^\s](?![^\s.,;:!?])")
 _CLASS = np.zeros(0x180, dtype=np.int64)
 _LETTERS = "abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿœ"
 for _i, _c in enumerate(_LETTERS):
@@ -85,51 +87,73 @@ def letter_model(counts: np.ndarray) -> dict[str, dict[str, float]]:
     return {a: dict(zip(names, row)) for a, row in zip(names, p.tolist())}
 
 
-def restore(word: str, model: dict[str, dict[str, float]]) -> str:
-    """The likeliest reading of `word` (lower case)."""
-    states: dict[str, tuple[float, str]] = {"": (0.0, "")}
-    for c in word[: 4 * LONGEST]:
-        following: dict[str, tuple[float, str]] = {}
+def restore(word: str, model: dict[str, dict[str, float]], edges: bool = False) -> str:
+    """The likeliest reading of `word` (lower case); with `edges`, separators may also be a space between two words."""
+    # What was read so far is a chain of (before, letter), so long runs cost no more for a character than short ones.
+    states: dict[str, tuple[float, tuple | None]] = {"": (0.0, None)}
+    for c in word:
+        following: dict[str, tuple[float, tuple | None]] = {}
 
-        def put(last: str, score: float, text: str) -> None:
+        def put(last: str, score: float, text: tuple | None) -> None:
             if last not in following or score > following[last][0]:
                 following[last] = (score, text)
 
         for last, (score, text) in states.items():
             if c in model:
-                put(c, score + model[last][c], text + c)
+                put(c, score + model[last][c], (text, c))
                 if c == last:
                     put(last, score + REPEAT, text)
             else:
                 for r in LEET.get(c, ""):
-                    put(r, score + READ + model[last][r], text + r)
+                    put(r, score + READ + model[last][r], (text, r))
                     if r == last:
                         put(last, score + REPEAT, text)
                 put(last, score + (SEPARATE if c in SEPARATORS else DROP), text)
+                if edges and last and c in SEPARATORS:
+                    put("", score + SEPARATE + model[last][""], (text, " "))
         states = following
-    return max((score + model[last][""], text) for last, (score, text) in states.items())[1]
+    text = max(((score + (model[last][""] if last else 0.0), last, text) for last, (score, text) in states.items()), key=lambda x: x[:2])[2]
+    out = []
+    while text:
+        text, c = text
+        out.append(c)
+    return "".join(reversed(out))
 
 
 def features(word: str) -> list[str]:
     """A word and its beginnings; a beginning ends in a hyphen."""
-    return [word, *[word[:n] + "-" for n in PREFIXES if len(word) > n]] if 3 <= len(word) <= LONGEST else []
+    return [word, *[word[:n] + "-" for n in PREFIXES if len(word) > n]] if len(word) >= 3 else []
 
 
 def readings(chunk: str, model: dict) -> list[str]:
-    """The words a chunk of lower-case text may be."""
+    """The words a chunk of lower-case text may be: one, or several that punctuation joins."""
     plain = chunk.strip(TRIM)
     out = [plain]
     if not plain.isalpha() or DISGUISED.search(plain):
-        if len(chunk) <= 2 * LONGEST and DISGUISED.search(chunk):
-            out.append(restore(chunk.strip('.,;:?"'), model))
+        # The pattern looks back and forth, so long chunks are read without it.
+        if len(chunk) > 2 * LONGEST or DISGUISED.search(chunk):
+            own = chunk.strip('.,;:?"')
+            out.append(restore(own, model))
             # A run of equal letters may stand for one of them even where pairs are common.
             out.append(re.sub(r"(.)\1+", r"\1", out[-1]))
+            apart = restore(own, model, True).split()
+            if len(apart) > 1:
+                out += apart
+        parts = [x for x in JOINTS.split(plain) if x]
+        if len(parts) > 1:
+            out += [w for x in parts for w in readings(x, model)]
     return out
 
 
 def spaced(text: str, model: dict) -> list[str]:
-    """Words whose letters are set apart."""
-    return [restore(m.group(), model) for m in SPACED.finditer(text)]
+    """Words whose letters are set apart: each run as one word, and as several where it reads better so."""
+    out = []
+    for m in SPACED.finditer(text):
+        out.append(restore(m.group(), model))
+        apart = restore(m.group(), model, True).split()
+        if len(apart) > 1:
+            out += apart
+    return out
 
 
 def learn(rows: DataFrame, model: dict) -> dict[str, float]:

@@ -28,6 +28,17 @@ def test_viterbi_restores(spark):
     assert toxicity.readings("plain", m) == ["plain"]
 
 
+def test_words_that_are_joined_or_long(spark):
+    m = model(spark)
+    assert "stupid" in toxicity.spaced("you are a s t u p i d one", m)
+    assert "idiot" in toxicity.spaced("t h e i d i o t", m) + toxicity.spaced("r e a d a n i d i o t", m)
+    assert "idiot" in toxicity.readings("hello,idiot/you", m) and "idiot" in toxicity.readings("river;1d1ot", m)
+    assert "idiot" in toxicity.readings("river," * 20 + "1d1ot", m)
+    assert toxicity.restore("r.i.v.e." * 40, m) == "rive" * 40
+    assert len(toxicity.spaced("t h e " * 40 + "x", m)[0]) > 100
+    assert toxicity.features("idiot" * 10)[1:] == ["idio-", "idiot-", "idioti-"]
+
+
 def test_learns_and_scores(spark, odd, none):
     m = model(spark)
     rng = random.Random(3)
