@@ -17,13 +17,11 @@ def held_out(modulus: int, remainder: int) -> F.Column:
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document: its lines, those that stay, links of its lines, and the class (doc_id, line) of each line in order."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    each = lines.line_classes(docs).withColumn("kept", lines.kept())
-    return each.groupBy("doc_id").agg(
-        F.count("*").alias("n_lines"), F.count_if("kept").alias("n_kept"), F.sum("links").alias("n_links"),
-        F.expr("transform(sort_array(collect_list(struct(nr, root))), x -> struct(x.root.doc_id, x.root.nr))").alias("classes"),
-    )
+    """Per row: its lines, those that stay, links of its lines, and the class (doc_id, line) of each line in order.
+
+    A null text has no lines and no classes.
+    """
+    return lines.summary(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 #: The listed urls: fixed values.

@@ -38,11 +38,15 @@ def test_bit_parallel_distance(spark):
 @pytest.fixture(scope="module")
 def texts():
     rng = random.Random(4)
-    base = ["".join(rng.choices("abcdé ", k=rng.randint(28, 60))).strip() for _ in range(60)]
+    base = ["".join(rng.choices("abcdé ", k=rng.randint(14, 60))).strip() for _ in range(60)]
     pool = base + [mutate(rng, rng.choice(base), rng.randint(1, 4), "abcé") for _ in range(120)] + ["short", "short", "", "  "]
     return [(k, "\n".join(rng.choice(pool) for _ in range(rng.randint(1, 5)))) for k in range(120)]
 
 
+def limit(size):
+    return max((tau for least, tau in lines.TAUS if size >= least), default=0)
+
+
 def brute(texts):
     """Root (doc, line) of every line that is not blank, and number of links."""
     first = {}
@@ -61,7 +65,7 @@ def brute(texts):
 
     for i, a in enumerate(every):
         for b in every[:i]:
-            if min(len(a), len(b)) >= lines.LEAST and abs(len(a) - len(b)) <= lines.TAU and distance(a, b) <= lines.TAU:
+            if distance(a, b) <= limit(min(len(a), len(b))):
                 links[a] += 1
                 links[b] += 1
                 x, y = sorted((find(a), find(b)), key=first.get)
@@ -98,5 +102,28 @@ def test_odd_rows(spark, odd):
     assert {r.doc_id: r.text for r in rows}[3] is None and {r.doc_id: r.text for r in rows}[4] == ""
 
 
+def test_summary_has_a_row_for_each_row(spark, texts):
+    want = brute(texts)
+    rows = [*texts, (0, texts[5][1]), (0, texts[5][1]), (200, None), (None, "a line without an id, first"), (None, "another line without an id")]
+    out = lines.summary(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(out) == len(rows)
+    by_id = {r.doc_id: r for r in out}
+    for doc, text in texts[1:]:
+        own = text.split("\n")
+        assert (by_id[doc].n_lines, by_id[doc].n_links) == (len(own), sum(want[x][1] for x in own if x.strip(" ")))
+    assert (by_id[200].n_lines, by_id[200].n_kept, by_id[200].classes) == (0, 0, [])
+    assert [(r.n_lines, r.n_kept, r.n_links) for r in out if r.doc_id is None] == [(1, 1, 0), (1, 1, 0)]
+    again = [r for r in out if r.doc_id == 0]
+    assert len(again) == 3 and len({str(r) for r in again}) == 2
+
+
+def test_rows_of_one_id_keep_their_own_lines(spark):
+    rows = [(0, "shared line here"), (1, "a line of its own"), (1, "shared line here"), (None, "x one"), (None, "y two\nshared line here"), (None, None)]
+    out = lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.text or "") for r in out) == [
+        (False, 1, "a line of its own"), (True, 0, ""), (True, 0, "x one"), (True, 0, "y two\nshared line here")
+    ]
+
+
 def test_empty(spark, none):
-    assert lines.dedup_lines(none).collect() == [] and lines.line_classes(none).collect() == []
+    assert lines.dedup_lines(none).collect() == [] and lines.line_classes(none).collect() == [] and lines.summary(none).collect() == []
