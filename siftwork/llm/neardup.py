@@ -258,10 +258,24 @@ def _strays(found: DataFrame, roots: DataFrame, threshold: int) -> DataFrame:
     # The first common element leaves room for the overlap that the pair needs.
     room = F.expr(f"1 + least(da - pa, db - pb) >= (da + db - {c} * (na + nb)) / 2 - 1e-9")
     first = F.col("x") == F.get(F.array_intersect("qa", "qb"), F.lit(0))
-    met = side("a").join(side("b"), ["o", "range", "x"]).where("ra <> rb").where(near & room & one & first)
+    # Few rows, but each with a prefix to compare: as many tasks as there are partitions, whatever their bytes.
+    tasks = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = lambda e: side(e).repartition(tasks, "o", "range", "x")
+    met = dealt("a").join(dealt("b"), ["o", "range", "x"]).where("ra <> rb").where(near & room & one & first)
     return met.select(F.least("ka", "kb").alias("ka"), F.greatest("ka", "kb").alias("kb")).distinct()
 
 
+def _leads(differ: DataFrame) -> DataFrame:
+    """Links (ka, kb) that hang nodes together with the leaders they are linked to.
+
+    A node is linked to the least of its leaders (it has 2 * RETAINED at most), and that one to the node's others; the
+    links between leaders are told once each, so there are about as many links as nodes.
+    """
+    own = differ.where("linked AND k <> o").groupBy("k").agg(F.sort_array(F.collect_set("o")).alias("os"))
+    chain = own.select(F.get("os", F.lit(0)).alias("ka"), F.explode(F.expr("slice(os, 2, size(os))")).alias("kb")).distinct()
+    return own.select(F.col("k").alias("ka"), F.get("os", F.lit(0)).alias("kb")).union(chain)
+
+
 def _ends(pairs: DataFrame) -> DataFrame:
     """Each pair once for either node, `k`."""
     return pairs.withColumn("k", F.explode(F.array("ka", "kb")))
@@ -318,13 +332,17 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: int = 80) -> Dat
     if not hot.isEmpty():
         mostly = marked.where("2 * size(hot) > size(sketch)").select("k", "id", "n", F.expr(f"slice(hot, 1, {RETAINED})").alias("hot"))
         differ = _common.stash(_differences(mostly, docs, words, threshold))
-        links = links.union(differ.where("linked AND k <> o").select(F.col("k").alias("ka"), F.col("o").alias("kb")))
+        links = links.union(_leads(differ))
     roots = _common.stash(_common.components(links.toDF("a", "b")))
     rest = _labelled(judged.select("ka", "kb"), roots)
     if differ is not None:
         rest = rest.union(_strays(differ, roots, threshold)).distinct()
     rest = _common.stash(rest)
 
+    # What hangs together is from here on a star around its root: later rounds add their links to that.
+    star = lambda: roots.where("id <> root").select(F.col("id").alias("ka"), F.col("root").alias("kb"))
+    links = star()
+
     # Then round by round one at random of what is not connected yet, and at last all that is left: a group's links are
     # not confirmed once it hangs together.
     for turn in range(ROUNDS + 1):
@@ -337,6 +355,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: int = 80) -> Dat
         if last:
             break
         roots = _common.stash(_common.components(links.toDF("a", "b")))
+        links = star()
         rest = _common.stash(_labelled(rest.join(some, ["ka", "kb"], "left_anti"), roots))
 
     # Components of documents: nodes by their least doc_id, and doc_ids with several texts.
