@@ -11,10 +11,10 @@ Nodes whose sketch is mostly hot values (members of very large groups) meet thro
 for each range of sizes, and a node is described by its difference from the leader's full set. Nodes within the
 threshold of their leader are linked to it. A node that is not can, under each such leader, reach another node only if
 their differences overlap by a known number, so it meets those that share an element of a prefix of the differences, rare
-elements first, with room for that overlap behind it: an exact filter without pairs of a large group's members. No list
-or leader is cut or dropped. A link at the
-threshold is missed only if all retained values miss the intersection, which has a chance below 1e-5 for each pair at
-worst (1e-9 without hot values).
+elements first, with room for that overlap behind it: an exact filter without pairs of a large group's members. First
+each is compared with one node for each element of its prefix only, so that the families of such a group hang together
+before what is left meets. No list or leader is cut or dropped. A link at the threshold is missed only if all retained
+values miss the intersection, which has a chance below 1e-5 for each pair at worst (1e-9 without hot values).
 
 Defined results: null and empty texts have no shingles and link with nothing; a text of fewer words than a shingle is
 one shingle; repeated rows and equal texts are one node; a doc_id with several texts joins their components; rows with a
@@ -42,6 +42,10 @@ HOT = 40
 MARGIN = 0.28
 #: Rounds of confirmation between the first and the last.
 ROUNDS = 1
+#: Turns of stars around the elements of prefixes.
+TURNS = 2
+#: Words of 64 bits of a bitmap of a difference.
+WORDS = 16
 #: Ids are broadcast up to this many (8 MB), which is checked.
 MOST_BROADCAST = 1_000_000
 
@@ -186,8 +190,9 @@ def _span(size: str, threshold: int) -> F.Column:
 
 
 def _differences(mostly: DataFrame, docs: DataFrame, words: int, threshold: int) -> DataFrame:
-    """(o, range, k, size, osize, linked, d): nodes by leader, with the elements in which they differ from it.
+    """(o, range, k, size, osize, linked, d, bits): nodes by leader, with the elements in which they differ from it.
 
+    `bits` is a bitmap of d: two bitmaps differ in no more bits than the differences do in elements.
     Sizes within the threshold of each other share a range or neighbouring ones, so a node is in its own and the next.
     """
     span = _span("n", threshold)
@@ -199,7 +204,7 @@ def _differences(mostly: DataFrame, docs: DataFrame, words: int, threshold: int)
 
     def differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, leads, links, parts = [], [], [], []
+            sizes, leads, links, parts, maps = [], [], [], [], []
             for s, so in zip(batch.column("s"), batch.column("so")):
                 x, y = (np.frombuffer(v.as_buffer(), dtype=_U) for v in (s, so))
                 more, less = np.setdiff1d(x, y, assume_unique=True), np.setdiff1d(y, x, assume_unique=True)
@@ -207,19 +212,24 @@ def _differences(mostly: DataFrame, docs: DataFrame, words: int, threshold: int)
                 sizes.append(len(x))
                 leads.append(len(y))
                 links.append(100 * shared >= threshold * (len(x) + len(y) - shared))
-                parts.append(np.concatenate([more, mix(less)]).view(np.int64))  # what is lacking counts as other elements
+                own = np.concatenate([more, mix(less)])  # what is lacking counts as other elements
+                parts.append(own.view(np.int64))
+                marks = np.zeros(64 * WORDS, dtype=bool)
+                marks[own % _U(64 * WORDS)] = True
+                maps.append(np.packbits(marks).view(np.int64))
             ends = np.cumsum([0] + [len(d) for d in parts]).astype(np.int32)
             d = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64)))
+            bits = pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate(maps) if maps else np.zeros(0, np.int64)), WORDS).cast(pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("o"), batch.column("range"), batch.column("k"), pa.array(sizes, pa.int64()), pa.array(leads, pa.int64()), pa.array(links, pa.bool_()), d],
-                names=["o", "range", "k", "size", "osize", "linked", "d"],
+                [batch.column("o"), batch.column("range"), batch.column("k"), pa.array(sizes, pa.int64()), pa.array(leads, pa.int64()), pa.array(links, pa.bool_()), d, bits],
+                names=["o", "range", "k", "size", "osize", "linked", "d", "bits"],
             )
 
-    return both.mapInArrow(differ, "o long, range long, k long, size long, osize long, linked boolean, d array<long>")
+    return both.mapInArrow(differ, "o long, range long, k long, size long, osize long, linked boolean, d array<long>, bits array<long>")
 
 
-def _strays(found: DataFrame, roots: DataFrame, threshold: int) -> DataFrame:
-    """Pairs in different components under one leader, one of them not linked to it, whose differences may overlap enough.
+def _prefixes(found: DataFrame, threshold: int) -> DataFrame:
+    """A row for each element of a node's prefix, under each leader that some node is not linked to.
 
     Within the threshold, symmetric differences are at most c times both sizes, and sizes at most 1 / theta apart; so
     differences overlap by at least (da + db - c * (size a + size b)) / 2, and prefixes that are longer by one than what
@@ -234,34 +244,67 @@ def _strays(found: DataFrame, roots: DataFrame, threshold: int) -> DataFrame:
     found = found.withColumn("nd", F.size("d"))
     strays = _common.stash(found.where("NOT linked").select("o", "range").distinct())
     taken = found.join(strays, ["o", "range"], "left_semi").withColumn("stray", ~F.col("linked"))
-    taken = taken.join(roots.select(F.col("id").alias("k"), F.col("root").alias("r")), "k", "left").withColumn("r", F.coalesce("r", "k"))
     # Nodes of one leader lie together; dealt anew, tasks open about as many elements each.
-    rows = taken.repartition("k", "o").select("o", "range", "k", "r", "size", "osize", "stray", "nd", F.explode("d").alias("x"))
+    rows = taken.repartition("k", "o").select("o", "range", "k", "size", "osize", "stray", "nd", "bits", F.explode("d").alias("x"))
     ranked = rows.withColumn("df", F.count("*").over(Window.partitionBy("o", "range", "x")))
     ranked = ranked.withColumn("place", F.row_number().over(Window.partitionBy("o", "range", "k").orderBy("df", "x")))
     least = F.greatest(F.lit(1), F.ceil(F.col("nd") - F.col("size") * (1 - theta) / theta - 1e-9))
     to_stray = F.floor((F.col("nd") + c * (F.col("osize") - F.col("size"))) / 2 - 1e-9) + 1
     ranked = ranked.withColumns({"most": F.col("nd") - least + 1, "partner": F.col("place") <= F.col("nd") - F.greatest(least, to_stray) + 1})
-    ranked = _common.stash(ranked.where("df > 1 AND place <= most AND (stray OR partner)").drop("df", "osize", "most"))
+    return _common.stash(ranked.where("df > 1 AND place <= most AND (stray OR partner)").drop("df", "osize", "most"))
+
+
+def _with_roots(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    return rows.join(roots.select(F.col("id").alias("k"), F.col("root").alias("r")), "k", "left").withColumn("r", F.coalesce("r", "k"))
+
+
+def _apart(a: str, b: str, sizes: str, threshold: int) -> tuple[F.Column, F.Column]:
+    """Bits in which two bitmaps differ, and whether they are few enough for the sizes."""
+    bits = F.expr(" + ".join(f"bit_count({a.format(w)} ^ {b.format(w)})" for w in range(WORDS)))
+    return bits, bits <= (100 - threshold) / (100 + threshold) * F.expr(sizes) + 1e-9
+
+
+def _stars(prefixes: DataFrame, roots: DataFrame, threshold: int, turn: int) -> DataFrame:
+    """Pairs of a node and the nodes that stand for the elements of its prefix: the least alike by bitmap, and one at random.
+
+    The first step to hang a family within a very large group together: as many comparisons as prefixes have elements.
+    """
+    rows = _with_roots(prefixes, roots)
+    centre = rows.where("stray").groupBy("o", "range", "x").agg(F.min_by(F.struct("k", "r", "size", "bits"), F.xxhash64("k", F.lit(turn))).alias("c"))
+    differ, close = _apart("bits[{}]", "c.bits[{}]", "size + c.size", threshold)
+    near = F.expr(f"r <> c.r AND 100 * least(size, c.size) >= {threshold} * greatest(size, c.size)")
+    met = rows.join(centre, ["o", "range", "x"]).where(near & close).select("k", F.least("k", "c.k").alias("ka"), F.greatest("k", "c.k").alias("kb"), differ.alias("differ"))
+    best = met.groupBy("k").agg(F.min(F.struct("differ", "ka", "kb")).alias("p"), F.min(F.struct(F.xxhash64("ka", "kb").alias("differ"), "ka", "kb")).alias("q"))
+    return best.select(F.explode(F.array(F.struct("p.ka", "p.kb"), F.struct("q.ka", "q.kb"))).alias("p")).select("p.ka", "p.kb").distinct()
+
+
+def _strays(prefixes: DataFrame, roots: DataFrame, threshold: int) -> DataFrame:
+    """Pairs in different components under one leader, one of them not linked to it, whose differences may overlap enough.
+
+    What meets must also have bitmaps that differ in few enough bits, so that little more than the links themselves comes
+    out of the join.
+    """
+    c = (100 - threshold) / (100 + threshold)
     # A node's prefixes, in order, travel with their elements: so a pair meets at its first common element alone.
     own = F.struct("place", "x")
-    prefixes = _common.stash(ranked.groupBy("o", "range", "k", "r", "size", "nd").agg(
-        F.sort_array(F.collect_list(F.when(F.col("stray"), own))).alias("a"), F.sort_array(F.collect_list(F.when(F.col("partner"), own))).alias("b")
+    prefixes = _common.stash(_with_roots(prefixes, roots).groupBy("o", "range", "k", "r", "size", "nd").agg(
+        F.first("bits").alias("bits"), F.sort_array(F.collect_list(F.when(F.col("stray"), own))).alias("a"), F.sort_array(F.collect_list(F.when(F.col("partner"), own))).alias("b")
     ))
     side = lambda e: prefixes.select(
         "o", "range", F.col("k").alias(f"k{e}"), F.col("r").alias(f"r{e}"), F.col("size").alias(f"n{e}"), F.col("nd").alias(f"d{e}"),
-        F.transform(e, lambda m: m["x"]).alias(f"q{e}"), F.explode(e).alias("m"),
+        *[F.get("bits", F.lit(w)).alias(f"w{e}{w}") for w in range(WORDS)], F.transform(e, lambda m: m["x"]).alias(f"q{e}"), F.explode(e).alias("m"),
     ).select("*", F.col("m.place").alias(f"p{e}"), F.col("m.x").alias("x")).drop("m")
     near = F.expr(f"100 * least(na, nb) >= {threshold} * greatest(na, nb)")
     # A pair meets in the larger of its ranges only.
     one = F.col("range") == F.greatest(_span("na", threshold), _span("nb", threshold))
     # The first common element leaves room for the overlap that the pair needs.
     room = F.expr(f"1 + least(da - pa, db - pb) >= (da + db - {c} * (na + nb)) / 2 - 1e-9")
+    _, close = _apart("wa{}", "wb{}", "na + nb", threshold)
     first = F.col("x") == F.get(F.array_intersect("qa", "qb"), F.lit(0))
     # Few rows, but each with a prefix to compare: as many tasks as there are partitions, whatever their bytes.
-    tasks = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = int(prefixes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = lambda e: side(e).repartition(tasks, "o", "range", "x")
-    met = dealt("a").join(dealt("b"), ["o", "range", "x"]).where("ra <> rb").where(near & room & one & first)
+    met = dealt("a").join(dealt("b"), ["o", "range", "x"]).where("ra <> rb").where(near & room & one & close & first)
     return met.select(F.least("ka", "kb").alias("ka"), F.greatest("ka", "kb").alias("kb")).distinct()
 
 
@@ -334,14 +377,20 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: int = 80) -> Dat
         differ = _common.stash(_differences(mostly, docs, words, threshold))
         links = links.union(_leads(differ))
     roots = _common.stash(_common.components(links.toDF("a", "b")))
-    rest = _labelled(judged.select("ka", "kb"), roots)
-    if differ is not None:
-        rest = rest.union(_strays(differ, roots, threshold)).distinct()
-    rest = _common.stash(rest)
-
     # What hangs together is from here on a star around its root: later rounds add their links to that.
     star = lambda: roots.where("id <> root").select(F.col("id").alias("ka"), F.col("root").alias("kb"))
+    rest = judged.select("ka", "kb")
+    if differ is not None:
+        prefixes = _prefixes(differ, threshold)
+        for turn in range(TURNS):
+            some = _common.stash(_stars(prefixes, roots, threshold, turn))
+            if some.isEmpty():
+                break
+            links = star().union(_confirm(some, docs, ids, words, threshold))
+            roots = _common.stash(_common.components(links.toDF("a", "b")))
+        rest = rest.union(_strays(prefixes, roots, threshold)).distinct()
     links = star()
+    rest = _common.stash(_labelled(rest, roots))
 
     # Then round by round one at random of what is not connected yet, and at last all that is left: a group's links are
     # not confirmed once it hangs together.
