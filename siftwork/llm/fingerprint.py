@@ -20,7 +20,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,7 +33,8 @@ BASE = 911382323
 GRID, SKETCH, SPAN = 16, 24, 24
 #: Rows of a bucket on average: one sorted run of documents.
 BUCKET = 4096
-#: Buckets at most, which is what the driver holds of the ids.
+#: Buckets at most, which is what the driver holds of the ids. A bucket is sorted on disk and streamed, so larger ones take
+#: longer, not more memory.
 MOST_BUCKETS = 100_000
 
 _U = np.uint64
@@ -169,7 +169,8 @@ def fingerprints(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
     Documents are dealt by ranges of doc_id to buckets, each sorted and streamed through once. What follows a bucket's
-    last row is the first of the next bucket: rows with a bucket's least id go to the bucket before as well.
+    last row is the first of the next bucket: of the rows with a bucket's least id, each batch's least text goes to the
+    bucket before as well.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     ids = docs.select("doc_id")
@@ -181,26 +182,39 @@ def fingerprints(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
         cuts = sorted(set(ids.agg(F.percentile_approx("doc_id", at, max(10_000, 4 * n))).first()[0] or []))
     cuts_of = np.array(cuts, dtype=np.int64)
 
-    def place(s: pd.Series) -> np.ndarray:
-        return np.where(s.isna(), len(cuts_of) + 1, np.searchsorted(cuts_of, s.fillna(0).astype(np.int64), side="right"))
-
-    @F.pandas_udf("int")
-    def bucket_of(s: pd.Series) -> pd.Series:
-        return pd.Series(place(s))
-
-    least = ids.groupBy(bucket_of("doc_id").alias("b")).agg(F.min("doc_id").alias("m")).orderBy("b").collect()
-    before = {r["m"]: least[k - 1]["b"] for k, r in enumerate(least)}  # the first bucket's go to the last
-
-    @F.pandas_udf("array<struct<b: int, ahead: boolean>>")
-    def deals(s: pd.Series) -> pd.Series:
-        own = place(s)
-        out = []
-        for b, i in zip(own, s):
-            also = before.get(None if pd.isna(i) else int(i))
-            out.append([{"b": int(b), "ahead": False}] + ([] if also is None else [{"b": int(also), "ahead": True}]))
-        return pd.Series(out)
-
-    dealt = docs.select(F.explode(deals("doc_id")).alias("d"), "doc_id", "text").select("d.b", "d.ahead", "doc_id", "text")
+    def place(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each row: its bucket, its id (0 if it has none), and whether it has none. Ids stay whole numbers."""
+        column = batch.column("doc_id")
+        null = column.is_null().to_numpy(zero_copy_only=False)
+        own = column.fill_null(0).to_numpy()
+        return np.where(null, len(cuts_of) + 1, np.searchsorted(cuts_of, own, side="right")).astype(np.int32), own, null
+
+    def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(place(batch)[0]), batch.column("doc_id")], names=["b", "m"])
+
+    least = ids.mapInArrow(buckets, "b int, m long").groupBy("b").agg(F.min("m").alias("m")).orderBy("b").collect()
+    # The least id of a bucket goes to the one before as well, the first bucket's to the last.
+    ahead_of = {r["m"]: least[k - 1]["b"] for k, r in enumerate(least)}
+    heads = np.array(sorted(m for m in ahead_of if m is not None), dtype=np.int64)
+
+    def deals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own, i, null = place(batch)
+            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.zeros(len(own), dtype=bool)), *batch.columns], names=["b", "ahead", "doc_id", "text"])
+            is_head = np.isin(i, heads) & ~null | (null if None in ahead_of else False)
+            first: dict[int | None, int] = {}  # of each least id the least text of the batch is enough
+            texts = batch.column("text")
+            for k in np.flatnonzero(is_head):
+                key = None if null[k] else int(i[k])
+                if key not in first or texts[k].as_py() < texts[first[key]].as_py():
+                    first[key] = int(k)
+            if first:
+                also = batch.take(pa.array(list(first.values()), pa.int64()))
+                to = pa.array([ahead_of[key] for key in first], pa.int32())
+                yield pa.RecordBatch.from_arrays([to, pa.array(np.ones(len(first), dtype=bool)), *also.columns], names=["b", "ahead", "doc_id", "text"])
+
+    dealt = docs.mapInArrow(deals, "b int, ahead boolean, doc_id long, text string")
     ordered = dealt.repartition("b").sortWithinPartitions("b", "ahead", F.asc_nulls_last("doc_id"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -55,3 +55,44 @@ def test_many_rows_of_one_id_and_single_rows(spark, none):
     one = fp.fingerprints(df.where("doc_id = 9")).collect()
     assert len(one) == 1 and one[0].near_next == 1
     assert fp.fingerprints(none).collect() == []
+
+
+def test_large_ids_beside_null_ids(spark):
+    """Ids above 2**53 stay whole numbers where a batch holds a null id."""
+    rows = [((1 << 60) + 3 * k, f"text {k} of this table") for k in range(40)] + [(None, "no id"), (None, "none either")]
+    got = fp.fingerprints(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 4).collect()
+    order = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+    want = [(i, hashlib.sha256(fp.edited(t, order[(k + 1) % len(order)][1]).encode()).hexdigest()) for k, (i, t) in enumerate(order)]
+    assert sorted(((r.doc_id or 0, r.edited_sha256) for r in got)) == sorted((i or 0, h) for i, h in want)
+
+
+def brute_likeness(a, b):
+    """As the fingerprints tell it, from the texts: grid cover of common prefix and suffix, or least span hashes."""
+    if a == b:
+        return 1.0
+    if not a or not b:
+        return 0.0
+    x, y = fp.fingerprint(a), fp.fingerprint(b)
+    step = max(x.step, y.step)
+    prefix = suffix = 0
+    while prefix + step <= min(len(a), len(b)) and a[: prefix + step] == b[: prefix + step]:
+        prefix += step
+    while suffix + step <= min(len(a), len(b)) and a[len(a) - suffix - step :] == b[len(b) - suffix - step :]:
+        suffix += step
+    union = sorted({*x.spans.tolist(), *y.spans.tolist()})[: max(len(x.spans), len(y.spans))]
+    both = {*x.spans.tolist()} & {*y.spans.tolist()} & {*union}
+    return min(max((prefix + suffix) / max(len(a), len(b)), len(both) / len(union)), 0.999)
+
+
+def test_likeness_of_the_rows_against_texts(spark):
+    rng = random.Random(8)
+    base = [" ".join(f"w{rng.randint(0, 60)}" for _ in range(rng.randint(1, 120))) for _ in range(30)]
+    rows = []
+    for k in range(120):
+        t = rng.choice(base)
+        rows.append((k, t if rng.random() < 0.3 else t[: rng.randint(0, len(t))] + rng.choice(base)[rng.randint(0, 20) :]))
+    got = {r.doc_id: r for r in fp.fingerprints(spark.createDataFrame(rows, "doc_id long, text string"), 16).collect()}
+    for k, (i, t) in enumerate(rows):
+        following = rows[(k + 1) % len(rows)][1]
+        assert got[i].near_next == pytest.approx(brute_likeness(t, following))
+        assert got[i].near_edited == pytest.approx(brute_likeness(t, fp.edited(t, following)))
