@@ -2,7 +2,7 @@
 
 A source's target is its weight's share of the mix, at most `CAP` times its own size, the excess going to the others by
 weight. Targets are cut to blocks of `BLOCK` words, and blocks are allotted to sources by highest quotients
-v / (2 k + 1), then a source's blocks to its shards (documents dealt by hash) in the same way, never more than a shard
+v / (2 k + 1), exactly, then a source's blocks to its shards (documents dealt by hash) in the same way, never more than a shard
 can give. In a shard, documents stand in a seeded order, and its quota is a run of blocks from a seeded start, taken
 around in a circle: whole rounds take every document, the last one those that the run covers. Capped sources take every
 document CAP times.
@@ -29,44 +29,59 @@ BLOCK = 16
 #: Words in a shard, on average; a shard is ordered in one task.
 SHARD = 1 << 20
 SEED = 7
-#: Rounds in which rows that can take no more leave their share to the others.
-SATURATIONS = 3
+#: Lines that are tried at a time, quotients that are ranked, and turns to close in (a turn narrows by SECTIONS, and two
+#: numbers are at most 2**64 apart).
+SECTIONS, FEW, MOST_TURNS = 16, 1000, 40
+
+
+def seats_above(votes: str, most: str, line: str) -> str:
+    """SQL for the number of quotients votes / (2 k + 1) that are at least `line`, `most` at most."""
+    return f"if({votes} > 0 AND coalesce({line}, 0) > 0, least({most}, cast(floor(({votes} / {line} + 1) / 2) AS bigint)), 0L)"
 
 
 def sainte_lague(df: DataFrame, group: list[str], votes: str, seats: str, most: str) -> DataFrame:
     """`df` with `quota`: the `seats` of each group allotted to its rows by the highest quotients of `votes`.
 
-    A row gets at most `most` seats. Rows of a group need a column `tie` to break ties. Quotients are not enumerated:
-    rounding votes over the divisor votes / seats gives all but a few seats, and only those few quotients are ranked.
+    A row gets at most `most` seats; a group's rows need a column `tie` to break ties. Quotients are not enumerated: the
+    line that parts those that win from the others is closed in on from both sides, a sum over a group's rows for each of
+    SECTIONS lines at a time, until few quotients are left between (`FEW`, or only equal ones), and only those are ranked.
     """
-    g = Window.partitionBy(*group)
-    near = df.withColumns({"_full": F.lit(False), "_n": F.count("*").over(g)})
-    # Rows whose share would pass what they can take are full; the others share the rest, a few times over.
-    for _ in range(SATURATIONS):
-        near = near.withColumns({
-            "_v": F.sum(F.when(~F.col("_full"), F.col(votes)).otherwise(0.0)).over(g),
-            "_left": F.col(seats) - F.sum(F.when(F.col("_full"), F.col(most)).otherwise(0)).over(g),
-        })
-        near = near.withColumn("_ideal", F.when(F.col("_v") > 0, F.col(votes) * F.col("_left") / F.col("_v")).otherwise(0.0))
-        near = near.withColumn("_full", F.col("_full") | (F.col("_ideal") >= F.col(most)))
-    near = near.withColumn("_q", F.when(F.col("_full"), F.col(most)).otherwise(F.least(F.floor(F.col("_ideal") + 0.5), F.col(most))).cast("long"))
-    near = near.withColumn("_v", F.sum(F.when(F.col("_q") < F.col(most), F.col(votes)).otherwise(0.0)).over(g))
-    gap = near.withColumn("_gap", F.col(seats) - F.sum("_q").over(g))
-    # To make up for a gap no row changes by more than its share of the gap and of a seat for each row, and one.
-    reach = F.ceil((F.abs("_gap") + F.col("_n")) * F.when(F.col("_v") > 0, F.col(votes) / F.col("_v")).otherwise(0.0)) + 2
-    reach = reach.cast("long")
-    up = F.when(F.col("_q") < F.col(most), F.sequence(F.col("_q"), F.least(F.col("_q") + reach, F.col(most)) - 1)).otherwise(F.array().cast("array<bigint>"))
-    down = F.when(F.col("_q") > 0, F.sequence(F.greatest(F.col("_q") - reach, F.lit(0)), F.col("_q") - 1)).otherwise(F.array().cast("array<bigint>"))
-    ks = F.when((F.col("_gap") > 0) & (F.col(votes) > 0), up).when(F.col("_gap") < 0, down).otherwise(F.array().cast("array<bigint>"))
-    seat = gap.withColumn("_k", F.explode(ks)).withColumn("_quotient", F.col(votes) / (2 * F.col("_k") + 1))
-    best = Window.partitionBy(*group).orderBy(
-        F.when(F.col("_gap") > 0, -F.col("_quotient")).otherwise(F.col("_quotient")), "tie", F.when(F.col("_gap") > 0, F.col("_k")).otherwise(-F.col("_k"))
-    )
-    moved = seat.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= F.abs("_gap"))
-    moved = moved.groupBy(*group, "tie").agg(F.sum(F.signum(F.col("_gap").cast("double"))).cast("long").alias("_more"))
-    keys = [*group, "tie"]
-    out = gap.join(moved, [gap[c].eqNullSafe(moved[c]) for c in keys], "left").select(gap["*"], F.coalesce("_more", F.lit(0)).alias("_more"))
-    return out.withColumn("quota", F.col("_q") + F.col("_more")).drop("_v", "_q", "_n", "_gap", "_more", "_full", "_left", "_ideal")
+    rows = _common.stash(df)
+    named = [f"_g{k}" for k in range(len(group))]
+    same = lambda a, b: [a[g].eqNullSafe(b[n]) for g, n in zip(group, named)]
+    wins = F.col(votes) > 0
+    # At `low` no fewer quotients pass than there are seats, at `high` no more.
+    state = rows.groupBy(*group).agg(
+        F.max(F.greatest(F.col(seats), F.lit(0))).alias("_seats"), F.sum(F.when(wins, F.col(most)).otherwise(0)).alias("_from_low"),
+        F.min(F.when(wins & (F.col(most) > 0), F.col(votes) / (2 * F.col(most) - 1))).alias("_low"), (2 * F.max(F.when(wins, F.col(votes)))).alias("_high"),
+    ).withColumnsRenamed(dict(zip(group, named))).withColumn("_from_high", F.lit(0).cast("long"))
+    state = state.withColumn("_seats", F.least("_seats", "_from_low"))
+    for _ in range(MOST_TURNS):
+        state = _common.stash(state)
+        # Lines at equal ratios, or at equal distances once they are near; none where no number lies between.
+        line = lambda k: F.expr(f"if(_high > 2 * _low, _low * pow(_high / _low, {k / SECTIONS}D), _low + (_high - _low) * {k / SECTIONS}D)")
+        lines = F.filter(F.array(*map(line, range(1, SECTIONS))), lambda t: (t > F.col("_low")) & (t < F.col("_high")))
+        open_ = state.where(f"_from_low - _from_high > {FEW} AND _from_high < _seats").withColumn("_t", lines)
+        open_ = _common.stash(open_.where("size(_t) > 0"))
+        if open_.isEmpty():
+            break
+        passed = [F.sum(F.expr(seats_above(votes, most, f"get(_t, {k})"))) for k in range(SECTIONS - 1)]
+        sums = rows.join(open_, same(rows, open_)).groupBy(*named).agg(F.array(*passed).alias("_c"))
+        met = open_.join(sums.withColumnsRenamed({n: f"_c{n}" for n in named}), [open_[n].eqNullSafe(F.col(f"_c{n}")) for n in named])
+        tried = F.zip_with("_t", "_c", lambda t, c: F.struct(t.alias("t"), c.alias("c")))
+        met = met.withColumns({"_b": F.array_max(F.filter(tried, lambda x: x["t"].isNotNull() & (x["c"] >= F.col("_seats")))), "_a": F.array_min(F.filter(tried, lambda x: x["t"].isNotNull() & (x["c"] <= F.col("_seats"))))})
+        met = met.select(*named, "_seats", F.coalesce("_b.c", "_from_low").alias("_from_low"), F.coalesce("_b.t", "_low").alias("_low"), F.coalesce("_a.t", "_high").alias("_high"), F.coalesce("_a.c", "_from_high").alias("_from_high"))
+        done = state.join(open_.select(*[F.col(n).alias(f"_o{n}") for n in named]), [state[n].eqNullSafe(F.col(f"_o{n}")) for n in named], "left_anti")
+        state = done.unionByName(met)
+    else:
+        raise RuntimeError("apportionment did not close in")
+    both = rows.join(state, same(rows, state)).withColumns({"_base": F.expr(seats_above(votes, most, "_high")), "_top": F.expr(seats_above(votes, most, "_low"))})
+    left = both.where("_from_high < _seats AND _top > _base").withColumn("_k", F.explode(F.expr("sequence(_base, _top - 1)")))
+    best = Window.partitionBy(*group).orderBy(F.desc(F.col(votes) / (2 * F.col("_k") + 1)), "tie", "_k")
+    won = left.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= F.col("_seats") - F.col("_from_high"))
+    won = won.groupBy(*group, "tie").agg(F.count("*").alias("_more")).withColumnsRenamed({**dict(zip(group, [f"_w{n}" for n in named])), "tie": "_wtie"})
+    out = both.join(won, [both[g].eqNullSafe(won[f"_w{n}"]) for g, n in zip(group, named)] + [both["tie"].eqNullSafe(won["_wtie"])], "left")
+    return out.select(*[both[c] for c in df.columns], (F.col("_base") + F.coalesce("_more", F.lit(0))).alias("quota"))
 
 
 def targets(sources: DataFrame) -> DataFrame:

@@ -77,6 +77,22 @@ def test_sainte_lague_gives_highest_quotients(spark):
         assert got == {k: sum(1 for _, s, _ in ranked if s == k) for k in range(12)}
 
 
+@pytest.mark.parametrize("few", [0, 1000])
+def test_sainte_lague_is_exact_for_uneven_votes(spark, monkeypatch, few):
+    """Votes that differ by powers of ten, equal votes, limits that most rows reach."""
+    monkeypatch.setattr(mixing, "FEW", few)
+    rng = random.Random(11)
+    cases = [([10.0**k for k in range(12)], [5] * 12, 50), ([10.0**k for k in range(8)], [5] * 8, 30), ([7.0] * 40, [3] * 40, 61), ([1.0, 1e15, 3.0, 0.0], [2, 9, 2, 9], 12), ([2.0, 4.0], [0, 0], 5)]
+    cases += [([10.0 ** rng.uniform(-3, 9) for _ in range(15)], [rng.randint(0, 12) for _ in range(15)], rng.randint(0, 120)) for _ in range(8)]
+    rows = [(str(g) if g else None, k, v, seats, m) for g, (votes, most, seats) in enumerate(cases) for k, (v, m) in enumerate(zip(votes, most))]
+    got = {}
+    for r in mixing.sainte_lague(spark.createDataFrame(rows, "g string, tie int, votes double, seats long, most long"), ["g"], "votes", "seats", "most").collect():
+        got.setdefault(int(r.g or 0), {})[r.tie] = r.quota
+    for g, (votes, most, seats) in enumerate(cases):
+        ranked = sorted(((-v / (2 * q + 1), k, q) for k, v in enumerate(votes) if v > 0 for q in range(most[k])))[:seats]
+        assert got[g] == {k: sum(1 for _, s, _ in ranked if s == k) for k in range(len(votes))}, g
+
+
 def test_mixed_rows(spark, odd):
     out = mixing.mixed(odd)
     assert out.columns == odd.columns
