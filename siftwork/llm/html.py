@@ -1,15 +1,18 @@
-"""Main text of web pages: semantic elements first, then site templates.
+"""Main text of web pages: site templates, with semantic elements as what is known beforehand.
 
-Every page is parsed into blocks of text, each with the elements it stands in. Elements that are navigation, headers,
-footers, asides, forms, scripts and the like, or say so in class, id or role, go. Where a page has an article (or main)
-element, only that counts. Element subtrees that may still be boilerplate are hashed and counted for each host; those
-that recur on many of its pages are deleted. Paragraphs and headings inside an article are never deleted for
-recurring, as articles are copied and quoted.
+Every page is parsed into blocks of text, each with the elements it stands in. Every container and leaf is hashed with
+all that is in it, and Spark counts for each host on how many pages such a subtree is; subtrees that recur on many of
+them are deleted, inside articles too. Copies of a page count once (by a hash of the text that they have without
+templates), so that copied articles don't become templates.
+
+Beforehand go elements that are navigation, footers, asides, forms, scripts and the like by tag or role, that are hidden,
+or whose class or id says nothing but such a thing ("ad", "share-buttons"; not "share-price" or "has-sidebar"). Where a
+page has an article (or main) element, only that counts, whatever the class of what stands around it.
 
 Counting pre-aggregates in each task; a host's templates are bounded in number by their least share of its pages.
 
-Defined results: null or empty pages have an empty text; a null url has the empty host; repeated rows count as pages
-each; elements may nest to any depth; an empty table gives an empty result; other
+Defined results: null or empty pages have an empty text; a null url has the empty host; repeated rows count as one page;
+elements may nest to any depth and pages be of any length; an empty table gives an empty result; other
 columns are ignored.
 """
 
@@ -17,7 +20,6 @@ from __future__ import annotations
 
 import html as entities
 import re
-from collections import Counter
 from collections.abc import Iterator
 from hashlib import blake2b
 
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 
 from . import _common
 
-#: A subtree is a template if it is on so many pages of its host and so large a share of them; in an article, or not.
+#: A subtree is a template if it is on so many different pages of its host and so large a share of them; in an article, or not.
 IN_ARTICLE, ELSEWHERE = (10, 0.5), (5, 0.2)
 #: An element with more items than this stands in its parent by their hash, so that deep nests are not read again and again.
 MOST_ITEMS = 16
@@ -37,7 +39,7 @@ MOST_BROADCAST = 1_000_000
 TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S
 )
-ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role|style|aria-hidden)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "template", "xmp", "noembed", "noframes"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 SKIP = {"head", "nav", "footer", "aside", "form", "button", "select", "svg", "canvas", "object", "audio", "video", "dialog", "menu", "datalist", "math"} | RAW
@@ -45,14 +47,28 @@ BLOCK = set("address article aside blockquote body center dd details dialog dir
 CONTAINER = set("div section aside ul ol dl table form figure header blockquote".split())
 LEAF = set("p h1 h2 h3 h4 h5 h6 li dt dd pre".split())
 MAIN = {"article", "main"}
-#: Words in class, id or role that mark what is not main text.
-BAD = set("ad ads advert advertisement adverts advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr masthead menu modal nav navbar navigation newsletter notice notices notification paywall popup pagination pager promo promotion related reply replies share sharing sidebar skip social sponsor sponsored subscribe toolbar widget complementary contentinfo".split())
+#: Words that mark what is not main text, where a class or an id holds nothing else but them and PLAIN words.
+BAD = set("ad ads advert advertisement adverts advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr masthead menu modal nav navbar navigation newsletter notice notices notification paywall popup pagination pager promo promotion related reply replies share sharing sidebar skip social sponsor sponsored subscribe toolbar widget".split())
 #: As these do outside an article only.
-BAD_OUTSIDE = {"header", "head", "top", "bottom", "search"}
+BAD_OUTSIDE = {"header", "search"}
+PLAIN = set("area articles bar block bottom box button buttons col column container content desktop fixed floating form global group holder icon icons inner item items left link links list main message mobile news outer overlay page pane panel post posts primary right row secondary section sign signup site slot sticky stories text thread title toggle top unit up us wrap wrapper zone".split())
+ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alertdialog", "menu", "menubar", "toolbar", "form"}
+QUOTED = re.compile(r"\"[^\"]*\"|'[^']*'")
+HIDDEN = re.compile(r"(?:^|\s)hidden(?=[\s=/]|$)", re.I)
+UNSEEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.I)
 CLOSES_P = BLOCK - {"body", "html", "option", "optgroup", "tr", "tbody", "thead", "tfoot", "caption", "legend"}
 #: What a start tag ends if it is open: only up to the nearest of the second set.
 IMPLIED = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
-SPLIT = re.compile(r"[\s_\-:]+|(?<=[a-z])(?=[A-Z])")
+SPLIT = re.compile(r"[_\-:]+|(?<=[a-z])(?=[A-Z])|(?<=[A-Za-z])(?=\d)")
+
+
+def says(names: str, words: set[str]) -> bool:
+    """Whether one of the `names` (of a class or id) holds one of `words` and, but for PLAIN words and numbers, nothing else."""
+    for name in names.split():
+        parts = [w.lower() for w in SPLIT.split(name) if w]
+        if any(w in words for w in parts) and all(w in words or w in BAD or w in PLAIN or w.isdigit() for w in parts):
+            return True
+    return False
 
 
 class Page:
@@ -65,12 +81,13 @@ class Page:
         self.parents: list[int] = []
         self.has_main = False
         self._parts: list[str] = []
-        # Open elements: tag, whether it skips, number of its tree or -1, items at its start.
-        self._open: list[tuple[str, bool, int, int]] = []
+        # Open elements: tag, whether it is left out, number of its tree or -1, items at its start, whether it is main, and
+        # how many elements left out were open around it if it counts in spite of them.
+        self._open: list[tuple[str, bool, int, int, bool, int]] = []
         self._places: dict[str, list[int]] = {}  # of the open elements, by tag
         self._tree = -1  # the innermost open one
         self._items: list[str] = []
-        self._skips = self._mains = 0
+        self._skips = self._mains = self._sure = 0
         self._parse(source)
 
     def _flush(self) -> None:
@@ -82,10 +99,10 @@ class Page:
                 self._items.append(text)
 
     def _pop(self) -> None:
-        tag, skips, tree, start = self._open.pop()
+        tag, skips, tree, start, main, around = self._open.pop()
         self._places[tag].pop()
-        self._skips -= skips
-        self._mains -= tag in MAIN
+        self._skips += around - skips
+        self._mains -= main
         if len(self._items) - start > MOST_ITEMS:
             own = "\0".join(self._items[start:])
             self._items[start:] = ["#" + blake2b(own.encode("utf-8", "replace"), digest_size=16).hexdigest()]
@@ -112,29 +129,41 @@ class Page:
             self._close({"p"}, {"button", "table", "td", "th", "article", "section", "div", "li", "blockquote", "main", "body"})
         if tag in IMPLIED:
             self._close(*IMPLIED[tag])
-        bad = tag in SKIP or tag == "header" and not self._mains
-        mark = ""
-        if attrs and tag not in ("html", "body", *MAIN):
+        # By tag, role or style an element is surely left out; by its names unless the first article is in it.
+        sure = tag in SKIP or tag == "header" and not self._mains
+        named, mark = False, ""
+        if attrs and tag not in ("html", "body"):
             for name, *value in ATTRIBUTE.findall(attrs):
-                text = "".join(value)
-                if name.lower() in ("class", "id", "role"):
+                name, text = name.lower(), "".join(value)
+                if name in ("class", "id"):
+                    mark += text
+                    named = named or says(text, BAD) or not self._mains and says(text, BAD_OUTSIDE)
+                elif name == "role":
                     mark += text
-                    words = {w.lower() for w in SPLIT.split(text)}
-                    bad = bad or bool(words & BAD) or not self._mains and bool(words & BAD_OUTSIDE)
+                    sure = sure or text.strip().lower() in ROLES
+                elif name == "style":
+                    sure = sure or bool(UNSEEN.search(text))
                 else:
-                    bad = bad or name.lower() == "aria-hidden" and text == "true"
-        self._skips += bad
-        self._mains += tag in MAIN and not self._skips
-        self.has_main = self.has_main or self._mains > 0
+                    sure = sure or text == "true"
+            if "hidden" in attrs.lower():
+                sure = sure or bool(HIDDEN.search(QUOTED.sub('""', attrs)))
+        first = tag in MAIN and not self.has_main and not sure and not self._sure
+        bad = sure or named and not first
+        around = self._skips if first else 0
+        self._skips += bad - around
+        self._sure += sure
+        main = tag in MAIN and not self._skips
+        self._mains += main
+        self.has_main = self.has_main or main
         tree = -1
-        if not self._skips and (tag in CONTAINER or tag in LEAF and not self._mains):
+        if not self._skips and (tag in CONTAINER or tag in LEAF):
             tree = len(self.trees)
             self.trees.append((f"{tag}.{mark}", self._mains > 0))
             self.parents.append(self._tree)
             self._tree = tree
         self._items.append("<" + tag)
         self._places.setdefault(tag, []).append(len(self._open))
-        self._open.append((tag, bad, tree, len(self._items)))
+        self._open.append((tag, bad, tree, len(self._items), main, around))
 
     def _text(self, text: str) -> None:
         if text and not self._skips:
@@ -198,25 +227,19 @@ def templates(pages: DataFrame) -> DataFrame:
     """(host, hashes): of each host, the subtrees that recur on enough of its pages. `pages` has host and html."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(seen: Counter) -> pa.RecordBatch:
-            keys = list(seen)
-            return pa.RecordBatch.from_arrays(
-                [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int64()), pa.array([k[2] for k in keys], pa.bool_()), pa.array(seen.values(), pa.int64())],
-                names=["host", "h", "main", "n"],
+        for batch in _common.slices(batches, "html"):
+            texts, trees = [], []
+            for source in batch.column("html").to_pylist():
+                page = Page(source or "")
+                texts.append(int.from_bytes(blake2b(page.text().encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True))
+                trees.append([{"h": 0, "main": False}, *({"h": h, "main": main} for h, main in page.candidates())])  # 0: the page itself
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("host"), pa.array(texts, pa.int64()), pa.array(trees, pa.list_(pa.struct([("h", pa.int64()), ("main", pa.bool_())])))], names=["host", "page", "trees"]
             )
 
-        seen: Counter = Counter()
-        for batch in _common.slices(batches, "html"):
-            for host, source in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()):
-                seen[host, 0, False] += 1  # the page itself
-                seen.update((host, h, main) for h, main in Page(source or "").candidates())
-            if len(seen) > 200_000:
-                yield out(seen)
-                seen = Counter()
-        yield out(seen)
-
-    counts = pages.mapInArrow(run, "host string, h long, main boolean, n long").groupBy("host", "h", "main").agg(F.sum("n").alias("n"))
-    counts = _common.stash(counts.where("h = 0 OR n >= 5"))
+    each = pages.mapInArrow(run, "host string, page long, trees array<struct<h: long, main: boolean>>").dropDuplicates(["host", "page"])
+    counts = each.select("host", F.inline("trees")).groupBy("host", "h", "main").agg(F.count("*").alias("n"))
+    counts = _common.stash(counts.where(F.expr(f"h = 0 OR n >= {min(IN_ARTICLE[0], ELSEWHERE[0])}")))
     total = counts.where("h = 0").select("host", F.col("n").alias("pages"))
     least = F.when(F.col("main"), F.greatest(F.lit(IN_ARTICLE[0]), IN_ARTICLE[1] * F.col("pages"))).otherwise(F.greatest(F.lit(ELSEWHERE[0]), ELSEWHERE[1] * F.col("pages")))
     found = counts.where("h <> 0").join(total, "host").where(F.col("n") >= least)

@@ -46,5 +46,52 @@ def test_templates_go_and_copied_articles_stay(spark):
     assert got[300] == ("", 0) and got[301] == ("", 0)
 
 
+def test_names_say_what_they_mean():
+    wrap = lambda attrs, tag="div": html.Page(f"<body><{tag} {attrs}><article><p>In</p></article></{tag}></body>").text()
+    assert wrap("class='content has-sidebar'") == wrap("class='sidebar'") == wrap("id=comments") == "In"
+    inside = lambda attrs: html.Page(f"<article><p>a</p><div {attrs}>b</div></article>").text()
+    for kept in ("class='cookie-recipe'", "id='share-price'", "class='recommended'", "style='display: block'", "title='hidden'", "data-id='ads'", "class='adventure shared'"):
+        assert inside(kept) == "a\nb", kept
+    for gone in ("class=ad", "class='x ad-slot-2'", "id='shareButtons'", "class='comment-list'", "hidden", "style='color:red;display:none'", "aria-hidden='true'", "role='navigation'", "class='cookie-notice'"):
+        assert inside(gone) == "a", gone
+    assert html.Page("<article><p>a</p><p hidden>b</p></article>").text() == "a"
+
+
+def test_readers_articles_are_not_main():
+    page = "<article><p>Main</p></article><div id='comments'><article class='comment'><p>A reader</p></article></div><article class=comment><p>Another</p></article>"
+    assert html.Page(page).text() == "Main"
+
+
+def test_recurring_subtrees_with_neutral_names(spark):
+    """Boilerplate in neutral elements inside articles goes by counting alone; counts are held against counting by hand."""
+    rows = []
+    for k in range(40):
+        promo = "<div class='c17'><p>Join us today</p><p>It is free</p></div>" if k % 4 else ""
+        tail = "<p>All rights are ours</p>"
+        some = "<p>Seen on some</p>" if k % 8 == 0 else ""
+        rows.append((k, f"http://site.org/{k}", f"<article><h1>Title {k}</h1>{promo}<p>Own text {k}</p>{some}{tail}</article>"))
+    rows += [(100 + k, "http://site.org/copy", rows[3][2]) for k in range(100)]  # copies of one page count once
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    parsed = {r[2]: html.Page(r[2]) for r in rows}
+    assert len({p.text() for p in parsed.values()}) == 40
+    seen = {}
+    for page in parsed.values():
+        for h, _ in page.candidates():
+            seen[h] = seen.get(h, 0) + 1
+    want = {h for h, n in seen.items() if n >= max(html.IN_ARTICLE[0], html.IN_ARTICLE[1] * 40)}
+    found = {h for r in html.templates(df.selectExpr("'site.org' AS host", "html")).collect() for h in r.hashes}
+    assert found == want and want
+    got = {r.page_id: r.text for r in html.main_text(df).collect()}
+    for k in range(40):
+        assert got[k] == f"Title {k}\nOwn text {k}" + ("\nSeen on some" if k % 8 == 0 else "")
+    assert got[100] == "Title 3\nOwn text 3"
+
+
+def test_long_pages():
+    long = "<p>" + "word &amp; " * 300_000 + "</p>" + "<p>x</p>" * 20_000
+    text = html.Page(f"<article>{long}</article>").text()
+    assert len(text) == len("word & " * 300_000) - 1 + 2 * 20_000
+
+
 def test_empty(spark):
     assert html.main_text(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
