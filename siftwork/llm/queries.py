@@ -42,7 +42,7 @@ def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce(held_out(5, 0), F.lit(False)).alias("held_out"))
-    model = toxicity.letter_model(toxicity.pair_counts(docs))
+    model = toxicity.letter_model(toxicity.triple_counts(docs))
     sample = toxicity.sample(docs.where("NOT held_out"), table(spark, sf_dir, "labels"))
     return toxicity.score(docs, toxicity.learn(sample, model), model, ("doc_id", "held_out"))
 

@@ -8,14 +8,45 @@ WORDS = ["the house is old", "we walk along the river", "they read a good book",
 
 def model(spark):
     df = spark.createDataFrame([(w,) for w in WORDS * 40], "text string")
-    return toxicity.letter_model(toxicity.pair_counts(df))
+    return toxicity.letter_model(toxicity.triple_counts(df))
 
 
-def test_pair_counts(spark):
-    counts = toxicity.pair_counts(spark.createDataFrame([("Ab é",), (None,), ("b",)], "text string").coalesce(1))
-    name = " " + toxicity._LETTERS
-    at = lambda a, b: counts[0 if a == " " else name.index(a), 0 if b == " " else name.index(b)]
-    assert at("a", "b") == 1 and at("b", " ") == 2 and at(" ", "é") == 1
+def test_triple_counts(spark):
+    counts = toxicity.triple_counts(spark.createDataFrame([("Ab é",), (None,), ("b",)], "text string").coalesce(1))
+    at = lambda a, b, c: counts[tuple(toxicity.NUMBER.get(x, 0) for x in (a, b, c))]
+    assert at(" ", " ", "a") == 1 and at(" ", "a", "b") == 1 and at("a", "b", " ") == 1 and at(" ", " ", "b") == 1 and at(" ", "b", " ") == 1
+    probabilities = np.exp(np.array(toxicity.letter_model(counts)))
+    assert np.allclose(probabilities.sum(axis=2), 1)
+
+
+def every_reading(word, model):
+    """All readings of a word with their scores, by trying every way through the lattice."""
+    found = {}
+
+    def go(k, a, b, score, text):
+        if k == len(word):
+            end = score + (model[a][b][0] if b else 0.0)
+            found[text] = max(found.get(text, -1e9), end)
+            return
+        c = word[k]
+        own = toxicity.NUMBER.get(c)
+        letters = [own] if own else [toxicity.NUMBER[r] for r in toxicity.LEET.get(c, "")]
+        for r in letters:
+            go(k + 1, b, r, score + (0.0 if own or c == toxicity.MASK else toxicity.READ) + model[a][b][r], text + toxicity._LETTERS[r - 1])
+        if b in letters:
+            go(k + 1, a, b, score + toxicity.REPEAT, text)
+        elif not own:
+            go(k + 1, a, b, score + (toxicity.UNMASK if c == toxicity.MASK else toxicity.SEPARATE if c in toxicity.SEPARATORS else toxicity.DROP), text)
+
+    go(0, 0, 0, 0.0, "")
+    return sorted(found, key=lambda x: -found[x])
+
+
+def test_best_readings_equal_brute_force(spark):
+    m = model(spark)
+    for word in ("1d1ot", "m0r0n", "b00k", "l*tter", "ww4lkk", "r1v3r", "s-t.u_p1d", "||", "7h3", "", "é1"):
+        want = every_reading(word, m)
+        assert toxicity.restorations(word, m)[:3] == want[: min(3, len(toxicity.restorations(word, m)))], word
 
 
 def test_viterbi_restores(spark):
@@ -23,7 +54,7 @@ def test_viterbi_restores(spark):
     assert toxicity.restore("1d1ot", m) == "idiot"
     assert toxicity.restore("m0r0n", m) == "moron"
     assert toxicity.restore("i.d.i.o.t", m) == "idiot"
-    assert toxicity.spaced("you s t u p i d one", m) == ["stupid"]
+    assert toxicity.spaced("you s t u p i d one", m)[0] == "stupid"
     assert "idiot" in toxicity.readings("idiooooot", m)
     assert toxicity.readings("plain", m) == ["plain"]
 
@@ -73,3 +104,39 @@ def test_held_out_precision_and_recall(spark):
     rows = [(labels[r.doc_id], r.predicted) for r in op5_toxicity(spark, at).collect() if r.held_out and r.doc_id in labels]
     right = sum(a == b == 1 for a, b in rows)
     assert right >= 0.9 * sum(a for a, _ in rows) and right >= 0.95 * sum(b for _, b in rows)
+
+
+def test_disguised_words_are_restored(spark):
+    """Of learned words disguised in each manner, nine in ten are found again, and far fewer without restoring."""
+    from siftwork.llm import queries
+
+    at = "/root/testdata/sf0.1"
+    docs = spark.read.parquet(f"{at}/documents.parquet").select("doc_id", "text", queries.held_out(5, 0).alias("held_out"))
+    m = toxicity.letter_model(toxicity.triple_counts(docs))
+    weights = toxicity.learn(toxicity.sample(docs.where("NOT held_out"), spark.read.parquet(f"{at}/labels.parquet")), m)
+    words = sorted(w for w in weights if w.isalpha() and w.isascii() and len(w) >= 5)
+    assert len(words) >= 10
+    rng = random.Random(12)
+    leet = {"o": "0", "i": "1", "e": "3", "a": "4", "s": "5", "t": "7", "l": "1", "g": "9", "b": "8"}
+
+    def swap(w):
+        at = [k for k, c in enumerate(w) if c in leet]
+        for k in rng.sample(at, min(2, len(at))):
+            w = w[:k] + leet[w[k]] + w[k + 1 :]
+        return w
+
+    def star(w):
+        at = [k for k, c in enumerate(w) if c in "aeiou" and k]
+        k = rng.choice(at) if at else 1
+        return w[:k] + "*" + w[k + 1 :]
+
+    def double(w):
+        k = rng.randrange(len(w))
+        return w[: k + 1] + w[k] + w[k + 1 :]
+
+    manners = {"leet": swap, "star": star, "double": double, "spaces": " ".join, "points": ".".join, "leet and double": lambda w: double(swap(w)), "stretched": lambda w: w[:2] + w[2] * 4 + w[3:]}
+    for name, disguise in manners.items():
+        tries = [(w, disguise(w)) for w in words for _ in range(5)]
+        read = lambda x: {f for w in toxicity.readings(x, m) + toxicity.spaced(x, m) for f in toxicity.features(w)}
+        hits = sum(w in read(x) for w, x in tries)
+        assert hits >= 0.9 * len(tries), (name, hits, len(tries))
