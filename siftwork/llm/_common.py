@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -34,17 +36,35 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or one of our own in local runs."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):  # executors of local-cluster have folders of their own
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         at = tempfile.mkdtemp(prefix="siftwork-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
 
 
+_written: list[tuple[SparkSession, str]] = []
+
+
+@atexit.register
+def sweep() -> None:
+    """Delete what `stash` wrote and nothing has deleted yet, as the application ends: results read it until then."""
+    for spark, at in _written:
+        if spark.sparkContext._jsc is not None and spark.sparkContext._jsc.sc() is not None and not spark.sparkContext._jsc.sc().isStopped():
+            _delete(spark, at)
+    _written.clear()
+
+
+def _delete(spark: SparkSession, at: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stash(df: DataFrame) -> DataFrame:
     """Write `df` to the shared folder and return a reader of it: lineage ends here and any executor can be lost."""
     spark = df.sparkSession
     at = f"{shared_dir(spark)}/siftwork-{uuid.uuid4().hex}"
+    _written.append((spark, at))
     df.write.option("compression", "zstd").parquet(at)
     out = spark.read.schema(df.schema).parquet(at)
     out._siftwork_path = at
@@ -53,9 +73,8 @@ def stash(df: DataFrame) -> DataFrame:
 
 def unstash(df: DataFrame) -> None:
     """Delete what `stash` wrote; only where nothing reads it any more."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df._siftwork_path)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _written.remove((df.sparkSession, df._siftwork_path))
+    _delete(df.sparkSession, df._siftwork_path)
 
 
 def fresh(df: DataFrame, name: str) -> str:

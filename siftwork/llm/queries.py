@@ -29,18 +29,22 @@ RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "b
 
 
 def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per page: host, path, the rule that fits best and its verdict; null urls have neither and are allowed."""
     return urls.judge(table(spark, sf_dir, "pages"), spark.createDataFrame(RULES, "rule string, verdict string"))
 
 
 def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per page: url, main text and its length; null html has an empty text."""
     return html.main_text(table(spark, sf_dir, "pages"))
 
 
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per row: its words, its source's words and target, and the words that the mix takes; null texts have none."""
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per row: held_out (false without an id), score and prediction; null and empty texts score `toxicity.BASE`."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce(held_out(5, 0), F.lit(False)).alias("held_out"))
     model = toxicity.letter_model(toxicity.triple_counts(docs))
     sample = toxicity.sample(docs.where("NOT held_out"), table(spark, sf_dir, "labels"))
@@ -48,24 +52,29 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per row: size of its shingle set, component and whether it stays; null and empty texts are alone."""
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), words=3, threshold=85)
 
 
 def op7_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per row: length, digest of its edited text, both fingerprints and likenesses; null texts are empty."""
     return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per row: held_out (false without an id), language and score; `und` where there is no letter."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", F.coalesce(held_out(4, 2), F.lit(False)).alias("held_out"))
     model = language.learn(docs.where("NOT held_out"), public_tokenizers.path("piece_bpe_32k.model"))
     return language.identify(docs, model, ("doc_id", "held_out"))
 
 
 def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of each twentieth vector; unusable vectors take no part."""
     return neighbours.nearest(table(spark, sf_dir, "embeddings"), every=20, k=20)
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per piece: its ids' digest and place; null texts are their closing id alone."""
     return packing.best_fit_packing(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 

@@ -13,10 +13,7 @@ def test_forward_sums_all_segmentations():
     model.p[model.ends] = rng.random((len(model.ends), 2)) / 5
 
     def p(piece, lang):
-        at = 1
-        for c in piece:
-            at = model.next[at, model.chars.get(c, 0)]
-        return model.p[at, lang]
+        return model.p[model.node(piece), lang]
 
     for word in ("ab", "abab", "cab", "aab", "abc", "zab", "a"):
         marked = "^" + word
@@ -33,6 +30,29 @@ def test_forward_sums_all_segmentations():
             assert np.isclose(np.exp(model.score([word])[0, lang]), total), word
 
 
+def test_long_words_are_summed_whole():
+    """Words far beyond the range of a double, against whole-number sums by exact fractions."""
+    from fractions import Fraction
+
+    model = language.Model(["^a", "a", "ab", "b", "^ab", "ba", "^"], ["x"])
+    model.p[model.ends] = np.random.default_rng(2).random((len(model.ends), 1)) / 1000
+    word = "ab" * 200 + "c" + "ba" * 150
+    marked = "^" + word
+    ways = [Fraction(1)] + [Fraction(0)] * len(marked)
+    for i in range(len(marked)):
+        for k in range(1, 4):
+            if i + k <= len(marked):
+                ways[i + k] += ways[i] * Fraction(float(model.p[model.node(marked[i : i + k]), 0])) if model.node(marked[i : i + k]) else 0
+    exponent = 12_000
+    value = ways[-1] * (1 << exponent)
+    digits = int(value).bit_length()
+    want = (digits - exponent) * np.log(2) + np.log(float(Fraction(int(value), 1 << digits)))
+    assert want < -1000 and np.isclose(model.score([word])[0, 0], want)
+    used = model.expect([word], np.array([3.0]), 0)
+    pieces = {model.node(p): len(p) for p in ("^a", "a", "ab", "b", "^ab", "ba", "^", "c")}
+    assert np.isclose(sum(used[node] * size for node, size in pieces.items()), 3 * len(marked))
+
+
 def test_expectation_maximisation_raises_likelihood():
     model = language.Model(language.vocabulary(VOCAB), ["en"])
     counts = {"the": 50, "then": 10, "other": 8, "rather": 5}
