@@ -17,6 +17,11 @@ SURE = 0.4
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The rows whose language is told, by what the labelled rows teach.
+
+    Rows whose text is null, empty or has no letter go, as do those less sure than SURE; repeated rows are judged alike; null
+    ids, languages and sources pass; an empty table, or one without any label, gives an empty result.
+    """
     _common.ship_code(spark)
     model = language.learn(docs, public_tokenizers.path("piece_bpe_32k.model"))
     named = _common.fresh(docs, "lang_pred"), _common.fresh(docs, "score")
@@ -25,10 +30,20 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows without the lines that repeat an earlier one, or nearly; rows of which nothing is left go.
+
+    Null and empty texts stay as they are; repeated rows (same doc_id and text) get the same result each; rows that share a
+    doc_id, or have none, are told by their text; n_chars follows the text; an empty table gives an empty result.
+    """
     return lines.dedup_lines(docs)
 
 
 def minhash_neardup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group of near copies: that with the smallest doc_id.
+
+    Null and empty texts are alone in their group; rows that share a doc_id are one group, of which the least text stays;
+    rows without a doc_id stay; an empty table gives an empty result.
+    """
     _common.ship_code(spark)
     gone = _common.stash(neardup.near_duplicates(docs, words=5, threshold=80).where("NOT kept").select("doc_id").distinct())
     known = F.broadcast(gone) if gone.count() <= neardup.MOST_BROADCAST else gone
@@ -46,10 +61,20 @@ def minhash_neardup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows as often as the mix takes them: never, once or twice.
+
+    Rows without words, null texts among them, stay once; null sources are a source; repeated rows are rows of their own;
+    an empty table gives an empty result.
+    """
     return mixing.mixed(docs)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each piece of each row, placed in a sequence.
+
+    Null texts are empty ones, which are their closing id alone; repeated rows are packed each; null ids stay null; an empty
+    table gives an empty result.
+    """
     _common.ship_code(spark)
     return packing.best_fit_packing(docs, public_tokenizers.path("word_bpe_49k.json"))
 
