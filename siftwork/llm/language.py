@@ -36,7 +36,7 @@ BEFOREHAND = 0.02
 #: Characters after which a forward or backward pass brings its numbers to scale again.
 RESCALE = 16
 #: Characters of words of one length that are passed over at once.
-AT_ONCE = 400_000
+AT_ONCE = 100_000
 LETTERS = re.compile(r"[^\W\d_]+")
 #: Words' worth of evidence that the reported score is tempered to.
 EVIDENCE = 8.0
@@ -274,7 +274,7 @@ def identify(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _common.slices(batches, "text", 6 << 20):
+        for batch in _common.slices(batches, "text", 2 << 20):
             names, scores = judge(batch.column("text").to_pylist(), held.value)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(c) for c in keep] + [pa.array(names, pa.string()), pa.array(scores, pa.float64())],

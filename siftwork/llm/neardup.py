@@ -43,7 +43,7 @@ MARGIN = 0.28
 #: Rounds of confirmation between the first and the last.
 ROUNDS = 1
 #: Turns of stars around the elements of prefixes.
-TURNS = 2
+TURNS = 1
 #: Words of 64 bits of a bitmap of a difference.
 WORDS = 16
 #: Ids are broadcast up to this many (8 MB), which is checked.
@@ -285,9 +285,13 @@ def _strays(prefixes: DataFrame, roots: DataFrame, threshold: int) -> DataFrame:
     out of the join.
     """
     c = (100 - threshold) / (100 + threshold)
+    rows = _with_roots(prefixes, roots)
+    # Elements that only nodes of one component have join nothing.
+    mixed = rows.groupBy("o", "range", "x").agg(F.min("r").alias("r"), F.max("r").alias("s")).where("r <> s").drop("r", "s")
+    rows = rows.join(mixed, ["o", "range", "x"], "left_semi")
     # A node's prefixes, in order, travel with their elements: so a pair meets at its first common element alone.
     own = F.struct("place", "x")
-    prefixes = _common.stash(_with_roots(prefixes, roots).groupBy("o", "range", "k", "r", "size", "nd").agg(
+    prefixes = _common.stash(rows.groupBy("o", "range", "k", "r", "size", "nd").agg(
         F.first("bits").alias("bits"), F.sort_array(F.collect_list(F.when(F.col("stray"), own))).alias("a"), F.sort_array(F.collect_list(F.when(F.col("partner"), own))).alias("b")
     ))
     side = lambda e: prefixes.select(
@@ -305,7 +309,7 @@ def _strays(prefixes: DataFrame, roots: DataFrame, threshold: int) -> DataFrame:
     tasks = int(prefixes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = lambda e: side(e).repartition(tasks, "o", "range", "x")
     met = dealt("a").join(dealt("b"), ["o", "range", "x"]).where("ra <> rb").where(near & room & one & close & first)
-    return met.select(F.least("ka", "kb").alias("ka"), F.greatest("ka", "kb").alias("kb")).distinct()
+    return met.select(F.least("ka", "kb").alias("ka"), F.greatest("ka", "kb").alias("kb"))
 
 
 def _leads(differ: DataFrame) -> DataFrame:
@@ -379,7 +383,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: int = 80) -> Dat
     roots = _common.stash(_common.components(links.toDF("a", "b")))
     # What hangs together is from here on a star around its root: later rounds add their links to that.
     star = lambda: roots.where("id <> root").select(F.col("id").alias("ka"), F.col("root").alias("kb"))
-    rest = judged.select("ka", "kb")
+    strays = None
     if differ is not None:
         prefixes = _prefixes(differ, threshold)
         for turn in range(TURNS):
@@ -388,16 +392,17 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: int = 80) -> Dat
                 break
             links = star().union(_confirm(some, docs, ids, words, threshold))
             roots = _common.stash(_common.components(links.toDF("a", "b")))
-        rest = rest.union(_strays(prefixes, roots, threshold)).distinct()
+        strays = _strays(prefixes, roots, threshold)
     links = star()
-    rest = _common.stash(_labelled(rest, roots))
+    rest = _labelled(judged.select("ka", "kb"), roots)
+    rest = _common.stash(rest if strays is None else rest.union(strays).distinct())
 
     # Then round by round one at random of what is not connected yet, and at last all that is left: a group's links are
     # not confirmed once it hangs together.
     for turn in range(ROUNDS + 1):
         if rest.isEmpty():
             break
-        last = turn == ROUNDS or rest.count() <= 2 * _ends(rest).select("k").distinct().count()
+        last = turn == ROUNDS or rest.count() <= 8 * _ends(rest).select("k").distinct().count()
         some = rest if last else _ends(rest).groupBy("k").agg(F.expr(f"min_by(struct(ka, kb), xxhash64(ka, kb, {turn}))").alias("p")).select("p.ka", "p.kb").distinct()
         some = _common.stash(some)
         links = links.union(_confirm(some, docs, ids, words, threshold))
