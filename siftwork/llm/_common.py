@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import re
 import tempfile
@@ -91,6 +92,14 @@ def n_words(text: Column | str) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def give_back() -> None:
+    """Return freed memory to the machine: a worker lives on between tasks, beside the executor's own memory."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that each holds about `most` bytes of `column` (one row at least)."""
     for batch in batches:
@@ -103,6 +112,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 21)
             total += int(size)
         if start < len(sizes):
             yield batch.slice(start)
+    give_back()
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:

@@ -42,6 +42,8 @@ HOT = 40
 MARGIN = 0.28
 #: Rounds of confirmation between the first and the last.
 ROUNDS = 1
+#: Bytes of text that are hashed at a time, unless a word is longer.
+BLOCK = 1 << 17
 #: Turns of stars around the elements of prefixes.
 TURNS = 1
 #: Words of 64 bits of a bitmap of a difference.
@@ -77,6 +79,22 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
+def _word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of the words [start, end) of `data`, block by block, so that long texts take no more memory than short ones."""
+    out = np.zeros(len(start), dtype=_U)
+    i = 0
+    while i < len(start):
+        base = start[i]
+        j = max(i + 1, int(np.searchsorted(end, base + BLOCK, side="right")))
+        own = data[base : end[j - 1]]
+        total = np.zeros(len(own) + 1, dtype=_U)
+        np.cumsum((own.astype(_U) + _U(1)) * _powers(_BASE, len(own))[: len(own)], out=total[1:])
+        a, b = start[i:j] - base, end[i:j] - base
+        out[i:j] = mix((total[b] - total[a]) * _powers(_INV, len(own))[a] + (b - a).astype(_U))
+        i = j
+    return out
+
+
 def shingle_sets(column: pa.Array, words: int) -> Iterator[np.ndarray]:
     """For each text of an Arrow string column, its distinct shingle hashes, sorted. Null gives none."""
     column = column.cast(pa.string())
@@ -98,9 +116,7 @@ def shingle_sets(column: pa.Array, words: int) -> Iterator[np.ndarray]:
         start = np.flatnonzero(word & (np.concatenate([[True], ~word[:-1]]) | first))
         cut = first[1:] | ~word[1:]  # a word ends where the next byte is space or another text's
         end = np.flatnonzero(word[:size] & cut) + 1
-        total = np.zeros(size + 1, dtype=_U)
-        np.cumsum((data.astype(_U) + _U(1)) * _powers(_BASE, size)[:size], out=total[1:])
-        h = mix((total[end] - total[start]) * _powers(_INV, size)[start] + (end - start).astype(_U))
+        h = _word_hashes(data, start, end)
         owner = np.searchsorted(start, at)
         rolled = h.copy()
         for k in range(1, words):
