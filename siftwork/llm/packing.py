@@ -79,22 +79,25 @@ class Encoder:
         self.at, self.n = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int32)
         self.arena, self.used = np.zeros(1 << 16, dtype=np.uint32), 0
 
-    def _ids(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.asarray(e.ids, dtype=np.uint32) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+    def _ids(self, texts: list[str], at_once: int) -> Iterator[np.ndarray]:
+        # The tokenizer's own results hold far more than the ids, so only a few are held at a time.
+        for a in range(0, len(texts), at_once):
+            for e in self.tok.encode_batch_fast(texts[a : a + at_once], add_special_tokens=False):
+                yield np.asarray(e.ids, dtype=np.uint32)
 
     def _tokenise(self, chunks: list[str]) -> list[np.ndarray]:
         out: list[np.ndarray] = [None] * len(chunks)
         alone = [k for k, c in enumerate(chunks) if not c.isalpha()]
         words = [k for k, c in enumerate(chunks) if c.isalpha()]
         groups = [words[i : i + self.TOGETHER] for i in range(0, len(words), self.TOGETHER)]
-        for group, ids in zip(groups, self._ids(["\n".join([chunks[k] for k in g]) for g in groups])):
+        for group, ids in zip(groups, self._ids(["\n".join([chunks[k] for k in g]) for g in groups], 16)):
             cut = np.flatnonzero(self.ends[ids]) + 1
             if len(cut) == len(group):  # else lower-casing has split a word
                 for k, own in zip(group, np.split(ids, cut[:-1])):
                     out[k] = own
             else:
                 alone += group
-        for k, own in zip(alone, self._ids([chunks[k] for k in alone])):
+        for k, own in zip(alone, self._ids([chunks[k] for k in alone], 16 * self.TOGETHER)):
             out[k] = own
         return out
 
@@ -164,7 +167,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
-        for batch in _common.slices(batches, "text", 1 << 22):
+        for batch in _common.slices(batches, "text"):
             out: list[tuple] = []
             every = enc.encode([t or "" for t in batch.column("text").to_pylist()])
             for doc, ids in zip(batch.column("doc_id").to_pylist(), every):
