@@ -25,8 +25,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of an Arrow batch, unless the session names a number of its own: whole texts travel in them.
+BATCH = "2000"
+
+
 def ship_code(spark: SparkSession) -> None:
-    """Let Python workers on this machine import the package; on a cluster it comes with --py-files."""
+    """Let Python workers on this machine import the package; on a cluster it comes with --py-files. Batches are kept small."""
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(rows) == "10000":
+        spark.conf.set(rows, BATCH)
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
