@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprint, html, language, lines, mixing, neardup, neighbours, packing, toxicity, urls
+from . import bpe, fingerprint, html, language, lines, manifest, mixing, neardup, neighbours, packing, periods, toxicity, urls
 from ._common import table
 
 
@@ -78,6 +78,21 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_packing(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per row: its tokens' number, and digests of the ids and of the bytes they decode to; null texts are empty."""
+    return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per row: its runs, the longest one, and digests of all runs and of the words that they leave; null texts have none."""
+    return periods.periodic_runs(table(spark, sf_dir, "documents"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per row: leaf, roots, its proof's digest, and the root that its leaf, or a tampered one, folds to."""
+    return manifest.manifest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_url_filters": op2_url_filters,
@@ -89,9 +104,58 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_nearest_neighbours": op9_nearest_neighbours,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op11_byte_bpe": op11_byte_bpe,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
+
+
+def _tree(name: str, levels: int = 6) -> str:
+    """CTEs from {name}0 (tree, i, n, digest) up: {name}1 and on, {name}root (tree, root), and {name}path (tree, i, proof, up) of the leaves."""
+    out = []
+    for k in range(levels):
+        out.append(
+            f"{name}{k + 1} AS (SELECT tree, i // 16 AS i, (max(n) + 15) // 16 AS n, sha256(string_agg(digest, '' ORDER BY i)) AS digest FROM {name}{k} WHERE n > 1 GROUP BY tree, i // 16),"
+            f" {name}s{k} AS (SELECT a.tree, a.i, coalesce(string_agg(b.digest, '' ORDER BY b.i) FILTER (b.i < a.i), '') AS before, coalesce(string_agg(b.digest, '' ORDER BY b.i) FILTER (b.i > a.i), '') AS after"
+            f" FROM {name}{k} a LEFT JOIN {name}{k} b ON b.tree = a.tree AND b.i // 16 = a.i // 16 AND b.i <> a.i WHERE a.n > 1 GROUP BY a.tree, a.i)"
+        )
+    out.append(f"{name}root AS (" + " UNION ALL ".join(f"SELECT tree, digest AS root FROM {name}{k} WHERE n = 1" for k in range(levels + 1)) + ")")
+    steps = ", ".join(f"{{'b': s{k}.before, 'a': s{k}.after}}" for k in range(levels))
+    joins = " ".join(f"LEFT JOIN {name}s{k} s{k} ON s{k}.tree = l.tree AND s{k}.i = l.i // {16**k}" for k in range(levels))
+    out.append(f"{name}path AS (SELECT l.tree, l.i, list_filter([{steps}], lambda x: x.b IS NOT NULL) AS up FROM {name}0 l {joins})")
+    return ", ".join(out)
+
+
+def _leaf(text: str) -> str:
+    columns = {"doc_id": "doc_id::VARCHAR", "source": "source", "lang": "lang", "n_chars": "n_chars::VARCHAR", "text": text}
+    return "sha256(" + " || ".join(f"coalesce(strlen({c})::VARCHAR || ':' || {c}, '-')" for c in columns.values()) + ")"
+
+
+#: CRC-32 of a decimal, byte by byte, for want of such a function.
+_CRC = (
+    "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, strlen(doc_id::VARCHAR) + 1), lambda k: ascii(substring(doc_id::VARCHAR, k, 1))::BIGINT)),"
+    " lambda c, b: list_reduce(list_prepend(xor(c, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda x, y: CASE WHEN x % 2 = 1 THEN xor(x >> 1, 3988292384::BIGINT) ELSE x >> 1 END)), 4294967295::BIGINT)"
+)
+
 ORACLE_SQL: dict[str, str] = {
+    "op13_merkle_manifest": f"""
+        WITH hashed AS (
+            SELECT doc_id, source, {_leaf("text")} AS leaf, CASE WHEN {_CRC} % 5 = 0 THEN {_leaf("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} END AS other FROM documents
+        ), rows_ AS (
+            SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY source) AS n,
+                   dense_rank() OVER (ORDER BY source IS NOT NULL, source) - 1 AS tree FROM hashed
+        ), t0 AS (SELECT tree, i, n, leaf AS digest FROM rows_), {_tree("t")},
+        u0 AS (SELECT 0 AS tree, tree AS i, count(*) OVER () AS n, root AS digest FROM troot), {_tree("u", 4)},
+        joined AS (
+            SELECT r.*, q.root AS subroot, (SELECT root FROM uroot) AS root, list_concat(p.up, w.up) AS up
+            FROM rows_ r JOIN tpath p ON p.tree = r.tree AND p.i = r.i JOIN troot q ON q.tree = r.tree JOIN upath w ON w.i = r.tree
+        ), folded AS (
+            SELECT *, sha256(array_to_string(list_transform(up, lambda x: x.b || x.a), '')) AS proof_sha256,
+                   list_reduce(list_prepend({{'b': coalesce(other, leaf), 'a': ''}}, up), lambda d, x: {{'b': sha256(x.b || d.b || x.a), 'a': ''}}).b AS folded_root
+            FROM joined
+        )
+        SELECT doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root AS verified FROM folded""",
     "op4_source_mixing": r"""
         WITH sized AS (
             SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
