@@ -35,8 +35,14 @@ SECTIONS, FEW, MOST_TURNS = 16, 1000, 40
 
 
 def seats_above(votes: str, most: str, line: str) -> str:
-    """SQL for the number of quotients votes / (2 k + 1) that are at least `line`, `most` at most."""
-    return f"if({votes} > 0 AND coalesce({line}, 0) > 0, least({most}, cast(floor(({votes} / {line} + 1) / 2) AS bigint)), 0L)"
+    """SQL for the number of quotients votes / (2 k + 1) that are at least `line`, `most` at most.
+
+    A division may round across the line, so the count is set right by the quotients beside it, which are compared as they
+    are ranked: a line that is itself a quotient counts it.
+    """
+    near = f"cast(floor(({votes} / {line} + 1) / 2) AS bigint)"
+    right = f"{near} + if({votes} / (2 * {near} + 1) >= {line}, 1L, 0L) - if({near} > 0 AND {votes} / (2 * {near} - 1) < {line}, 1L, 0L)"
+    return f"if({votes} > 0 AND coalesce({line}, 0) > 0, least({most}, {right}), 0L)"
 
 
 def sainte_lague(df: DataFrame, group: list[str], votes: str, seats: str, most: str) -> DataFrame:

@@ -93,6 +93,17 @@ def test_sainte_lague_is_exact_for_uneven_votes(spark, monkeypatch, few):
         assert got[g] == {k: sum(1 for _, s, _ in ranked if s == k) for k in range(len(votes))}, g
 
 
+def test_rows_that_fill_all_their_seats_lose_none(spark):
+    """Limits at which dividing a quotient into its votes rounds down: every seat is given."""
+    rng = random.Random(5)
+    votes = [15044.0, *[float(rng.randint(1, 10**6)) for _ in range(150)]]
+    most = [1880, *[rng.randint(1, 3000) for _ in votes[1:]]]
+    rows = [(k, 0, v, 10**9, m) for k, (v, m) in enumerate(zip(votes, most))] + [(-1, k, v, sum(most[:40]) - 1, m) for k, (v, m) in enumerate(zip(votes[:40], most))]
+    got = {(r.g, r.tie): r.quota for r in mixing.sainte_lague(spark.createDataFrame(rows, "g int, tie int, votes double, seats long, most long"), ["g"], "votes", "seats", "most").collect()}
+    assert [got[k, 0] for k in range(len(votes))] == most
+    assert sum(got[-1, k] for k in range(40)) == sum(most[:40]) - 1
+
+
 def test_mixed_rows(spark, odd):
     out = mixing.mixed(odd)
     assert out.columns == odd.columns
