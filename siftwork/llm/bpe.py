@@ -20,8 +20,9 @@ columns are ignored.
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from functools import cache
 from itertools import chain, islice
 
@@ -208,7 +209,7 @@ class Encoder(dict):
         self.machine, self.older = Transducer(ranks), {}
         exact, odd = exact or as_library(pattern)
         self.plain, self.exact = regex.compile(pattern), regex.compile(exact, regex.V1)
-        self.odd = frozenset(odd)
+        self.odd, self.first_odd = frozenset(odd), ord(min(odd, default=chr(0x10FFFF)))
 
     def __missing__(self, piece: str) -> list[int]:
         ids = self.older.get(piece)
@@ -223,7 +224,8 @@ class Encoder(dict):
 
     def blocks(self, text: str) -> Iterator[list[int]]:
         """Ids of a text, those of up to BLOCK pieces at a time."""
-        pattern = self.plain if text.isascii() or self.odd.isdisjoint(text) else self.exact
+        most = 0 if text.isascii() else int(np.frombuffer(text.encode("utf-32-le"), "<u4").max())
+        pattern = self.plain if most < self.first_odd or self.odd.isdisjoint(text) else self.exact
         if len(text) <= BLOCK:
             yield list(chain.from_iterable(map(self.__getitem__, pattern.findall(text))))
             return
@@ -294,10 +296,9 @@ class Decoder:
             at += 1
         return state
 
-    def feed(self, ids: Iterable[int]) -> str:
-        ids = np.asarray(ids, dtype=np.int64)
-        data = self.held + b"".join(map(self.tokens.__getitem__, ids.tolist()))
-        after = self._after(ids)
+    def feed(self, ids: list[int]) -> str:
+        data = self.held + b"".join(map(self.tokens.__getitem__, ids))
+        after = self._after(np.array(ids, dtype=np.int64))
         if after == MALFORMED:
             return self._mend(data)
         open_ = 0
@@ -345,6 +346,21 @@ def machines(ranks_path: str, pattern: str, exact: tuple[str, str]) -> tuple[Enc
 FIELDS = {"doc_id": pa.int64(), "n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()}
 
 
+def row_digests(batch: pa.RecordBatch, encoder: Encoder, decoder: Decoder, names: list[str]) -> pa.RecordBatch:
+    """FIELDS of each row: its text is encoded and decoded block by block."""
+    rows = []
+    for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
+        n, in_ids, in_bytes = 0, hashlib.sha256(), hashlib.sha256()
+        for ids in encoder.blocks(text.as_py() or ""):
+            if ids:
+                in_ids.update(("," * bool(n) + ",".join(map(names.__getitem__, ids))).encode())
+                in_bytes.update(decoder.feed(ids).encode())
+                n += len(ids)
+        in_bytes.update(decoder.finish().encode())
+        rows.append((doc_id, n, in_ids.hexdigest(), in_bytes.hexdigest()))
+    return pa.RecordBatch.from_arrays([pa.array(column, kind) for column, kind in zip(zip(*rows), FIELDS.values())], names=list(FIELDS))
+
+
 def round_trip(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of each row of `docs` (doc_id, text): no shuffle, texts in small batches.
 
@@ -353,18 +369,13 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     exact = as_library(pattern)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _common.slices(batches, "text"):
-            encoder, decoder, names = machines(ranks_path, pattern, exact)
-            rows = []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-                n, in_ids, in_bytes = 0, hashlib.sha256(), hashlib.sha256()
-                for ids in encoder.blocks(text.as_py() or ""):
-                    if ids:
-                        in_ids.update(("," * bool(n) + ",".join(map(names.__getitem__, ids))).encode())
-                        in_bytes.update(decoder.feed(ids).encode())
-                        n += len(ids)
-                in_bytes.update(decoder.finish().encode())
-                rows.append((doc_id, n, in_ids.hexdigest(), in_bytes.hexdigest()))
-            yield pa.RecordBatch.from_arrays([pa.array(column, kind) for column, kind in zip(zip(*rows), FIELDS.values())], names=list(FIELDS))
+        collects = gc.isenabled()
+        gc.disable()  # nothing here makes cycles, and moves and encodings are many
+        try:
+            for batch in _common.slices(batches, "text"):
+                yield row_digests(batch, *machines(ranks_path, pattern, exact))
+        finally:
+            if collects:
+                gc.enable()
 
     return docs.selectExpr("cast(doc_id AS bigint) AS doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
