@@ -1,8 +1,9 @@
 """Lines joined with rules: findings of literal and regular-expression patterns, and their contextual predicates.
 
-Two physical forms. `fused` puts every pattern into one projection as a constant, so that matching stays in the JVM with
-one compiled pattern each; it suits packs of up to about two hundred patterns. `arrow_matches` compiles a pack once in
-each Python worker and tests a literal that every match must hold first; it suits large packs. Both yield the same rows.
+Three physical forms. `fused` puts every pattern into one projection as a constant, so that matching stays in the JVM with
+one compiled pattern each; it suits small packs, as its cost grows with the pack. `patternindex.indexed` looks up the
+patterns that a line may match at all and verifies these alone; it suits packs of any size. `arrow_matches` matches in
+Python workers. All yield the same rows.
 """
 
 from __future__ import annotations
@@ -18,8 +19,9 @@ from pyspark.sql import functions as F
 from ..functions import regexes
 from ..functions.text import byte_column, fill, is_constant, window
 from ..sources.files import is_test_file
+from . import patternindex
 
-MOST_FUSED = 200
+MOST_FUSED = 50
 KEYS = "path string, line_no int, text string, k int, start int, stop int, metavars map<string,string>"
 
 
@@ -123,7 +125,7 @@ def described(spark, patterns: list[dict[str, Any]]) -> DataFrame:
 def findings(lines: DataFrame, rules: list[dict[str, Any]], phase: int = 0) -> DataFrame:
     """Findings of the line patterns of `rules`, with their pattern's clauses still to be checked (see `where`)."""
     patterns = plan(rules)
-    hits = fused(lines, patterns) if len(patterns) <= MOST_FUSED else arrow_matches(lines, patterns)
+    hits = fused(lines, patterns) if len(patterns) <= MOST_FUSED else patternindex.indexed(lines, patterns)
     # The pack is driver-side data: as many rows as it has patterns.
     known = F.broadcast(described(lines.sparkSession, patterns))
     out = hits.join(known, "k")

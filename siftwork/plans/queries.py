@@ -14,10 +14,10 @@ from pyspark.sql import functions as F
 
 from ..functions import text as fn
 from ..functions.regexes import glob
-from ..operators import blocks, compare, fixes, frameworks, gates, match, modules, refine, reports, scores, secrets, suppress, syntax, taint
+from ..operators import blocks, compare, fixes, frameworks, gates, match, modules, patternindex, refine, reports, scores, secrets, suppress, syntax, taint
 from ..sources import files as source
 from ..sources import rules as catalog
-from ..streaming import watch
+from ..streaming import replay, state, watch
 from . import scan as scanning
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -181,6 +181,42 @@ def match_regex_arrow(spark, sf_dir):
     return out.select(F.element_at(names, F.col("k") + 1).alias("rule_id"), F.col("path").alias("file"), F.col("line_no").cast("long").alias("line"), F.col("start").cast("long").alias("start"), F.col("stop").cast("long").alias("stop"))
 
 
+_STEMS = "ander ation chent derun einhe enten ereau hatin keitu reand schen tiono".split()
+_ENDINGS = "ing ed ion er en".split()
+_CALLS = "read write open close send load parse exec fetch delete update create query render sign hash copy move mount watch trace dump".split()
+_OBJECTS = "user token cookie session header secret password query path file socket shell page form image cache token config header key".split()
+
+
+def _pack() -> list[tuple[str, str]]:
+    """(id, pattern) of a large pack by rule: calls on objects, which texts hold rarely, and after every seventh of these a
+    stem that takes letters before an ending."""
+    calls = [(f"{c}-{o}-{n}", rf"(?i){c}_?{o}\s*\(") for n, o in enumerate(_OBJECTS) for c in _CALLS]
+    words = [(f"{s}-{e}", ("(^|[ (])" if k % 3 else "") + s + "[a-z]{0,4}" + e + ("([., ]|$)" if k % 2 else "")) for k, (e, s) in enumerate((e, s) for e in _ENDINGS for s in _STEMS)]
+    out = []
+    while calls or words:
+        out += calls[:7] + words[:1]
+        calls, words = calls[7:], words[1:]
+    return out
+
+
+def pack(size: int) -> list[dict]:
+    return [catalog.parse({"id": i, "confidence": "high", "patterns": [{"type": "regex", "pattern": p, "where": [{"not-test-file": False}]}]}, k) for k, (i, p) in enumerate(_pack()[:size])]
+
+
+def _pack_sql(size: int = 500) -> str:
+    each = ", ".join(f"CASE WHEN regexp_matches(text, {lit(p)}) THEN {{'id': '{i}', 'hit': regexp_extract(text, {lit(p)}, 0)}} END" for i, p in _pack()[:size])
+    return f"WITH {LINES}, m AS (SELECT path, line_no, text, unnest([{each}]) AS m FROM lines) SELECT m.id AS rule_id, path AS file, line_no::BIGINT AS line, (instr(text, m.hit) - 1)::BIGINT AS start, length(m.hit)::BIGINT AS size FROM m WHERE m IS NOT NULL"
+
+
+@query("match_pack", _pack_sql())
+def match_pack(spark, sf_dir, size=500):
+    """500 patterns at once, through the index of what they must hold."""
+    patterns = match.plan(pack(size))
+    names = F.array(*[F.lit(p["rule"]["id"]) for p in patterns])
+    out = patternindex.indexed(lines(spark, sf_dir), patterns)
+    return out.select(F.element_at(names, F.col("k") + 1).alias("rule_id"), F.col("path").alias("file"), F.col("line_no").cast("long").alias("line"), F.col("start").cast("long").alias("start"), (F.col("stop") - F.col("start")).cast("long").alias("size"))
+
+
 @query("match_literal", f"WITH {LINES} SELECT path, line_no::BIGINT AS line, (strlen(substring(text, 1, instr(text, ' the ') - 1)) + 1)::BIGINT AS col FROM lines WHERE contains(text, ' the ')")
 def match_literal(spark, sf_dir):
     rule = catalog.parse({"id": "the", "patterns": [{"type": "literal", "pattern": " the ", "where": [{"not-test-file": False}]}]})
@@ -909,3 +945,48 @@ def event_sessions(spark, sf_dir):
 def event_latest_versions(spark, sf_dir):
     rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("uri"), "ts", F.col("props").alias("text"))
     return watch.latest_versions(rows).select("uri", "ts")
+
+
+#: Milliseconds for which a path must be quiet, and how late rows may be, in both forms.
+QUIET_MS, LATE = 21_600_000, "1 second"
+
+
+@query(
+    "watch_changes",
+    "WITH s AS (SELECT 'user/' || user_id AS path, ts, md5(props) AS hash, event_id, lag(md5(props)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS old FROM events),"
+    " c AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY path ORDER BY ts, event_id) <= INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM s WHERE old IS NOT NULL AND hash <> old),"
+    " b AS (SELECT *, sum(fresh) OVER (PARTITION BY path ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS k FROM c),"
+    " g AS (SELECT path, k, min(ts) AS first, max(ts) AS last, count(*) AS n FROM b GROUP BY path, k)"
+    " SELECT path, first, last, n FROM g WHERE last + INTERVAL 6 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 SECOND OR k < (SELECT max(k) FROM g h WHERE h.path = g.path)",
+)
+def watch_changes(spark, sf_dir):
+    """Users' events as states of files: four parts of three files, the stream stopped halfway and started again."""
+    rows = table(spark, sf_dir, "events").select(F.concat(F.lit("user/"), "user_id").alias("path"), F.col("ts").alias("mtime"), F.md5("props").alias("hash"))
+    out = replay.replay(rows, replay.slices(rows, "mtime", 4), 4, lambda stream: state.changes(stream, QUIET_MS, LATE))
+    return out.select("path", F.col("first").cast("timestamp_ntz").alias("first"), F.col("last").cast("timestamp_ntz").alias("last"), "n")
+
+
+_VERSION = (
+    "event_type || chr(10) || props || chr(10) || CASE WHEN event_id % 3 = 0 THEN 'total ' || cast(user_id AS string) ELSE 'the end' END"
+    " || CASE WHEN event_id % 40 = 0 THEN repeat(chr(10), 1000) ELSE '' END"
+)
+_OP = "CASE WHEN event_id % 11 = 0 THEN 'close' WHEN event_id % 7 = 0 THEN 'open' ELSE 'change' END"
+#: (id, pattern).
+_FEED_RULES = (("seven", '"k": [0-9]*7'), ("total", "^total [0-9]+"), ("error", "^(error|click)$"), ("e", "e$"))
+
+
+@query(
+    "document_feed",
+    f"WITH v AS (SELECT 'doc/' || user_id AS uri, ts, event_id, {_OP} AS op, string_split({_VERSION}, chr(10)) AS ls FROM events),"
+    " k AS (SELECT uri, ts, event_id, CASE WHEN op = 'close' THEN [] ELSE list_concat("
+    + ", ".join(f"list_filter(list_transform(ls, (x, i) -> CASE WHEN regexp_matches(x, {lit(p)}) THEN '{i}:' || i END), x -> x IS NOT NULL)".replace("(x, i) ->", "lambda x, i:").replace("x -> x IS", "lambda x: x IS") for i, p in _FEED_RULES)
+    + ") END AS now FROM v WHERE NOT (op = 'change' AND len(ls) >= 1000)),"
+    " d AS (SELECT *, coalesce(lag(now) OVER (PARTITION BY uri ORDER BY ts, event_id), []) AS old FROM k)"
+    " SELECT uri, ts AS at, 'added' AS what, unnest(list_filter(now, lambda x: NOT list_contains(old, x))) AS finding FROM d"
+    " UNION ALL SELECT uri, ts, 'removed', unnest(list_filter(old, lambda x: NOT list_contains(now, x))) FROM d",
+)
+def document_feed(spark, sf_dir):
+    """Users' events as versions of documents: what each version brings and takes away, as a stream that is started twice."""
+    rows = table(spark, sf_dir, "events").select(F.concat(F.lit("doc/"), "user_id").alias("uri"), "ts", F.col("event_id").alias("seq"), F.expr(_OP).alias("op"), F.expr(_VERSION).alias("text"))
+    patterns = match.plan([catalog.parse({"id": i, "patterns": [{"type": "regex", "pattern": p}]}, k) for k, (i, p) in enumerate(_FEED_RULES)])
+    return replay.replay(rows, replay.slices(rows, "ts", 4), 4, lambda stream: state.feed(stream, patterns)).withColumn("at", F.col("at").cast("timestamp_ntz"))
