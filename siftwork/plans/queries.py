@@ -990,3 +990,37 @@ def document_feed(spark, sf_dir):
     rows = table(spark, sf_dir, "events").select(F.concat(F.lit("doc/"), "user_id").alias("uri"), "ts", F.col("event_id").alias("seq"), F.expr(_OP).alias("op"), F.expr(_VERSION).alias("text"))
     patterns = match.plan([catalog.parse({"id": i, "patterns": [{"type": "regex", "pattern": p}]}, k) for k, (i, p) in enumerate(_FEED_RULES)])
     return replay.replay(rows, replay.slices(rows, "ts", 4), 4, lambda stream: state.feed(stream, patterns)).withColumn("at", F.col("at").cast("timestamp_ntz"))
+
+
+#: Events come in five parts: by the day, every ninth a part later. Rows may be a day late, by what was there when the batch before began.
+_PART = "least(4, least(3, cast(floor((day(ts) - 1) / 8) AS int)) + CASE WHEN event_id % 9 = 0 THEN 1 ELSE 0 END)"
+_PARTS, _LATE = 5, "1 day"
+_ARRIVED = f"e AS (SELECT *, {_PART.replace('cast(floor((day(ts) - 1) / 8) AS int)', '(day(ts) - 1) // 8')} AS part FROM events), parts AS (SELECT DISTINCT part FROM e)"
+
+
+@query(
+    "event_join_stream",
+    f"WITH {_ARRIVED}, marks AS (SELECT part, date_trunc('milliseconds', least((SELECT max(ts) FROM e WHERE event_type = 'click' AND e.part < p.part - 1), (SELECT max(ts) FROM e WHERE event_type = 'error' AND e.part < p.part - 1))) - INTERVAL 1 DAY AS mark FROM parts p),"
+    " told AS (SELECT e.*, coalesce(ts <= mark, false) AS late FROM e JOIN marks USING (part) WHERE event_type IN ('click', 'error'))"
+    " SELECT a.user_id, a.event_id AS first_id, b.event_id AS second_id, (SELECT count(*) FROM told WHERE late) AS late FROM told a JOIN told b ON a.user_id = b.user_id AND a.event_type = 'click' AND b.event_type = 'error'"
+    " AND b.ts BETWEEN a.ts AND a.ts + INTERVAL 12 HOUR WHERE NOT a.late AND NOT b.late",
+)
+def event_join_stream(spark, sf_dir):
+    """Two streams joined by user and time; what comes too late is counted apart."""
+    late: list[int] = []
+    out = replay.replay(table(spark, sf_dir, "events"), F.expr(_PART), _PARTS, lambda stream: watch.joined(stream, "click", "error", "12 hours", _LATE), runs=1, late=late)
+    return out.withColumn("late", F.lit(sum(late)).cast("long"))
+
+
+@query(
+    "event_sliding_stream",
+    f"WITH {_ARRIVED}, marks AS (SELECT part, date_trunc('milliseconds', (SELECT max(ts) FROM e WHERE e.part < p.part - 1)) - INTERVAL 1 DAY AS mark FROM parts p),"
+    " w AS (SELECT e.*, mark, time_bucket(INTERVAL 2 HOUR, ts) - INTERVAL (2 * k) HOUR AS start FROM e JOIN marks USING (part), range(0, 3) t(k))"
+    " SELECT start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM w WHERE NOT coalesce(start + INTERVAL 6 HOUR <= mark, false)"
+    " AND start + INTERVAL 6 HOUR <= (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 1 DAY FROM events) GROUP BY start, event_type",
+)
+def event_sliding_stream(spark, sf_dir):
+    """Sliding windows of six hours over a stream with late rows: those that the watermark has closed, each once."""
+    timed = lambda stream: stream.withColumn("ts", F.col("ts").cast("timestamp"))
+    out = replay.replay(table(spark, sf_dir, "events"), F.expr(_PART), _PARTS, lambda stream: watch.windowed(timed(stream), "6 hours", "2 hours", _LATE), runs=1)
+    return out.withColumns({"start": F.col("start").cast("timestamp_ntz"), "total": F.round("total", 4)})

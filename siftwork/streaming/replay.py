@@ -24,11 +24,12 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{at.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
-def replay(rows: DataFrame, arrival: Column, parts: int, through: Callable[[DataFrame], DataFrame], files: int = 3, runs: int = 2) -> DataFrame:
+def replay(rows: DataFrame, arrival: Column, parts: int, through: Callable[[DataFrame], DataFrame], files: int = 3, runs: int = 2, late: list[int] | None = None) -> DataFrame:
     """What `through` makes of `rows` as a stream in which the rows of part `arrival` (from 0) come as `files` files, after the part before.
 
     The stream is started `runs` times, each time with more parts there, and goes on from its checkpoint; each batch is a part. All
-    data is in the shared folder, and the result is the table that the stream has written.
+    data is in the shared folder, and the result is the table that the stream has written. `late` gets the number of rows that each batch's
+    operators dropped behind the watermark.
     """
     spark = rows.sparkSession
     at = shared_folder(spark)
@@ -44,7 +45,10 @@ def replay(rows: DataFrame, arrival: Column, parts: int, through: Callable[[Data
             done = until
             stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(f"{at}/in")
             made = through(stream)
-            made.writeStream.format("parquet").option("checkpointLocation", f"{at}/checkpoint").option("path", f"{at}/out").trigger(availableNow=True).start().awaitTermination()
+            started = made.writeStream.format("parquet").option("checkpointLocation", f"{at}/checkpoint").option("path", f"{at}/out").trigger(availableNow=True).start()
+            started.awaitTermination()
+            if late is not None:
+                late += [o["numRowsDroppedByWatermark"] for p in started.recentProgress for o in p["stateOperators"]]
     finally:
         if before is None:
             spark.conf.unset(PROVIDER[0])

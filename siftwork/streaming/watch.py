@@ -41,6 +41,19 @@ def windowed(events: DataFrame, size: str, slide: str | None = None, late: str =
     return out.select(F.col("w.start").alias("start"), "event_type", "n", "total")
 
 
+def joined(events: DataFrame, first: str, second: str, within: str, late: str) -> DataFrame:
+    """Events of type `second` with those of type `first` that the same user had up to `within` before: user_id, first_id, second_id.
+
+    Both sides of a stream keep only rows that a partner may still come for: a row is let go once the watermarks of both have passed
+    what it can meet. Rows behind the watermark meet nothing; the stream's progress counts them. Null users meet nobody.
+    """
+    rows = events.withColumn("ts", F.col("ts").cast("timestamp"))
+    a = rows.where(F.col("event_type") == first).select(F.col("user_id").alias("_user"), F.col("event_id").alias("first_id"), F.col("ts").alias("_at")).withWatermark("_at", late)
+    b = rows.where(F.col("event_type") == second).select("user_id", F.col("event_id").alias("second_id"), "ts").withWatermark("ts", late)
+    near = F.expr(f"user_id = _user AND ts >= _at AND ts <= _at + INTERVAL {within}")
+    return a.join(b, near).select("user_id", "first_id", "second_id")
+
+
 def sessions(events: DataFrame, gap: str, late: str = "10 minutes") -> DataFrame:
     """Sessions of each user that end after a gap: user_id, start, end, n."""
     out = events.withWatermark("ts", late).groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count("*").alias("n"))
