@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as fn
 from ..functions.regexes import glob
-from ..operators import blocks, compare, fixes, frameworks, gates, match, modules, patternindex, refine, reports, scores, secrets, suppress, syntax, taint
+from ..operators import blocks, compare, fixes, frameworks, gates, match, modules, patternindex, refine, reports, scores, secrets, store, suppress, syntax, taint
 from ..sources import files as source
 from ..sources import rules as catalog
 from ..streaming import replay, state, watch
@@ -1024,3 +1024,40 @@ def event_sliding_stream(spark, sf_dir):
     timed = lambda stream: stream.withColumn("ts", F.col("ts").cast("timestamp"))
     out = replay.replay(table(spark, sf_dir, "events"), F.expr(_PART), _PARTS, lambda stream: watch.windowed(timed(stream), "6 hours", "2 hours", _LATE), runs=1)
     return out.withColumns({"start": F.col("start").cast("timestamp_ntz"), "total": F.round("total", 4)})
+
+
+#: The files of a second round: some changed, some gone, some new.
+_SECOND = (
+    f"SELECT {PATH} AS path, CASE WHEN doc_id % 17 = 0 THEN text || ' new@mail9.com ### ' ELSE text END AS content FROM documents WHERE text IS NOT NULL AND doc_id % 23 <> 0"
+    f" UNION ALL SELECT {PATH} || '.md', text || ' 1234567890123456' FROM documents WHERE text IS NOT NULL AND doc_id % 29 = 0"
+)
+_ROUND_TWO = LINES.replace(FILES, f"files AS ({_SECOND})") + ", " + found("email", "card", "shout")
+
+
+def _two_rounds(spark, sf_dir) -> store.Store:
+    """The cache after both rounds; only files of the second that the first hadn't are scanned in it."""
+    kept = store.Store(spark, replay.shared_folder(spark), buckets=64)
+    picked = rules(("email", "card", "shout"))
+    scan = lambda some: match.findings(source.lines(some), picked).select("file", "rule_id", "severity", "line")
+    kept.update(files(spark, sf_dir), "r1", scan)
+    text = F.when(F.col("doc_id") % 17 == 0, F.concat("text", F.lit(" new@mail9.com ### "))).otherwise(F.col("text"))
+    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL")
+    second = docs.where("doc_id % 23 <> 0").select(F.expr(PATH).alias("path"), text.alias("content"))
+    second = second.unionByName(docs.where("doc_id % 29 = 0").select(F.concat(F.expr(PATH), F.lit(".md")).alias("path"), F.concat("text", F.lit(" 1234567890123456")).alias("content")))
+    kept.update(second, "r1", scan)
+    return kept
+
+
+@query("cache_store", f"WITH {_ROUND_TWO} SELECT file, rule_id, severity, line::INTEGER AS line FROM findings")
+def cache_store(spark, sf_dir):
+    """Findings out of a store that two rounds of files have gone through."""
+    return _two_rounds(spark, sf_dir).findings()
+
+
+@query(
+    "cache_counts",
+    f"WITH {_ROUND_TWO}, c AS (SELECT rule_id, severity, file, count(*) AS n FROM findings GROUP BY ALL) SELECT rule_id, severity, sum(n)::BIGINT AS total, max(n) AS most FROM c GROUP BY ALL",
+)
+def cache_counts(spark, sf_dir):
+    """What noise limits ask of all findings, from the view that both rounds have corrected."""
+    return _two_rounds(spark, sf_dir).noise()
