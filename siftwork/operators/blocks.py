@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import any_of, has_any
+from . import ranges
 
 # What makes a branch sanitizing, and what ends a path.
 CLEANING = ("sanitize", "validate", "escape", "encode", "purify", "clean")
@@ -53,9 +54,9 @@ def dead(files: DataFrame, lines: DataFrame) -> DataFrame:
 
 
 def in_dead_code(findings: DataFrame, regions: DataFrame) -> DataFrame:
-    """Findings in a dead region: a semi-join by file with the range as the residual."""
+    """Findings in a dead region: a semi-join by file and blocks of lines, see `ranges`."""
     r = regions.select(F.col("path").alias("_path"), F.col("start").alias("_start"), F.col("end").alias("_end"))
-    return findings.join(r, (F.col("file") == F.col("_path")) & F.col("line").between(F.col("_start"), F.col("_end")), "left_semi")
+    return ranges.split(findings, r, ("file", "_path"), "line", "_start", "_end", [], None, "left_semi")
 
 
 def branches(lines: DataFrame) -> DataFrame:

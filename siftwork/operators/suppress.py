@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import ranges
+
 MARKER = "scan-ignore"
 # How a comment starts, by language; elsewhere with two slashes.
 COMMENT = {
@@ -92,8 +94,7 @@ def annotations(lines: DataFrame, marker: str = "#" + MARKER) -> DataFrame:
 
 
 def unannotated(findings: DataFrame, notes: DataFrame) -> DataFrame:
-    """Findings that no annotation covers: an anti-join by file, with the range and what is named as the residual."""
+    """Findings that no annotation covers: an anti-join by file and blocks of lines (see `ranges`), what is named being the residual."""
     a = notes.select(*[F.col(c).alias("_" + c) for c in notes.columns])
     named = F.array_contains("_rule_ids", F.col("rule_id")) | F.array_contains("_cwes", F.col("cwe")) | F.exists("_categories", lambda x: F.lower(x) == F.lower(F.col("category")))
-    covers = (F.col("file") == F.col("_path")) & F.col("line").between(F.col("_line_start"), F.col("_line_end")) & (F.col("_all_rules") | named)
-    return findings.join(a, covers, "left_anti")
+    return ranges.split(findings, a, ("file", "_path"), "line", "_line_start", "_line_end", ["rule_id", "cwe", "category"], F.col("_all_rules") | named, "left_anti")

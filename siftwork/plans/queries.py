@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as fn
 from ..functions.regexes import glob
-from ..operators import blocks, compare, fixes, frameworks, gates, match, modules, patternindex, refine, reports, scores, secrets, store, suppress, syntax, taint
+from ..operators import blocks, compare, fixes, frameworks, gates, match, modules, patternindex, ranges, refine, reports, scores, secrets, store, suppress, syntax, taint
 from ..sources import files as source
 from ..sources import rules as catalog
 from ..streaming import replay, state, watch
@@ -1061,3 +1061,19 @@ def cache_store(spark, sf_dir):
 def cache_counts(spark, sf_dir):
     """What noise limits ask of all findings, from the view that both rounds have corrected."""
     return _two_rounds(spark, sf_dir).noise()
+
+
+_SPANS = f"spans AS (SELECT {PATH} AS path, 1 + k * (doc_id % 7) AS a, 1 + k * (doc_id % 7) + (doc_id % 11) * (doc_id % 5) AS b, doc_id % 3 = 0 AS every FROM documents, (SELECT unnest([0, 1, 2, 3]) AS k) t)"
+
+
+@query(
+    "range_findings",
+    f"WITH {FOUND}, {_SPANS} SELECT rule_id, file, line::BIGINT AS line FROM findings f WHERE NOT EXISTS (SELECT 1 FROM spans s WHERE s.path = f.file AND f.line BETWEEN s.a AND s.b AND (every OR rule_id = 'email'))",
+)
+def range_findings(spark, sf_dir):
+    """Findings outside of four overlapping ranges of lines for each file, of which some take in one rule alone."""
+    spans = table(spark, sf_dir, "documents").select(F.expr(PATH).alias("_path"), "doc_id", F.explode(F.array(*map(F.lit, range(4)))).alias("_k"))
+    start = F.expr("1 + _k * (doc_id % 7)")
+    spans = spans.select("_path", start.alias("_a"), (start + F.expr("(doc_id % 11) * (doc_id % 5)")).alias("_b"), F.expr("doc_id % 3 = 0").alias("_every"))
+    out = ranges.split(findings(spark, sf_dir), spans, ("file", "_path"), "line", "_a", "_b", ["rule_id"], F.col("_every") | (F.col("rule_id") == "email"), "left_anti")
+    return out.select("rule_id", "file", F.col("line").cast("long").alias("line"))
