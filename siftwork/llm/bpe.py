@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from . import _common
 
 #: Moves of a transducer that are kept, encodings of pieces that are kept, and the longest of these pieces in characters.
-MOST_MOVES, MOST_PIECES, SHORT = 3 << 18, 1 << 17, 32
+MOST_MOVES, MOST_PIECES, SHORT = 1 << 20, 1 << 18, 32
 #: Pieces, and tokens, of a text that are worked on at a time.
 BLOCK = 1 << 16
 
