@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +15,8 @@ from . import ranges
 CLEANING = ("sanitize", "validate", "escape", "encode", "purify", "clean")
 LEAVING = ("return", "throw", "continue", "break")
 
+STARTS = r"^\s*if\s*\("
+
 
 def braces(text: Column) -> Column:
     """Opening less closing braces."""
@@ -59,25 +64,73 @@ def in_dead_code(findings: DataFrame, regions: DataFrame) -> DataFrame:
     return ranges.split(findings, r, ("file", "_path"), "line", "_start", "_end", [], None, "left_semi")
 
 
+def tree(lines: DataFrame) -> DataFrame:
+    """path, start, end, parent, nesting of every `if (` of each file: one ordered pass over a file's lines with a stack.
+
+    A block ends at the first later line whose depth of braces is at or below that before it, or with the file. An open block whose
+    depth is reached or passed by a line ends there; the others stay on the stack, so each line is looked at once, and what is kept
+    of a file is its open and closed blocks. `parent` is the start of the innermost block that is open at a block's start, null for
+    the outermost; `nesting` is how many are. A block that begins on the line that ends another isn't inside it. Null texts are
+    empty lines; a file without an `if` gives no row.
+    """
+    depth = F.sum(braces(F.col("text"))).over(Window.partitionBy("path").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0))
+    opens = F.coalesce(F.col("text").rlike(STARTS), F.lit(False))
+    rows = lines.withColumn("text", F.coalesce("text", F.lit(""))).select("path", "line_no", depth.alias("depth"), (depth - braces(F.col("text"))).alias("before"), opens.alias("opens"))
+    # After a line that opens nothing, one that isn't less deep ends nothing: the line before has ended all that it could.
+    per_file = Window.partitionBy("path").orderBy("line_no")
+    last = rows.groupBy("path").agg(F.max("line_no").alias("_last"))
+    idle = (F.col("depth") >= F.lag("depth").over(per_file)) & ~F.lag("opens").over(per_file)
+    matter = rows.withColumn("_idle", F.coalesce(idle, F.lit(False))).where("opens OR NOT _idle").drop("_idle")
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        path, stack, seen = None, [], False
+        out: list[tuple] = []
+
+        def close(name: str, end: int | None, level: float) -> None:
+            while stack and stack[-1][1] >= level:
+                start, _, parent, nesting = stack.pop()
+                out.append((name, start, end, parent, nesting))
+
+        for batch in batches:
+            for name, nr, deep, before, opening in zip(*(batch.column(c).to_pylist() for c in ("path", "line_no", "depth", "before", "opens"))):
+                if not seen or name != path:
+                    close(path, None, float("-inf"))
+                    path, seen = name, True
+                close(name, nr, deep)
+                if opening:
+                    stack.append((nr, before, stack[-1][0] if stack else None, len(stack)))
+            yield _blocks(out)
+            out.clear()
+        close(path, None, float("-inf"))
+        yield _blocks(out)
+
+    ordered = matter.repartition("path").sortWithinPartitions("path", "line_no")
+    found = ordered.mapInArrow(walk, "path string, start int, end int, parent int, nesting int")
+    return found.join(last, "path").select("path", "start", F.coalesce("end", "_last").alias("end"), "parent", "nesting")
+
+
+def _blocks(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32())
+    columns = zip(*rows) if rows else [[]] * len(kinds)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["path", "start", "end", "parent", "nesting"])
+
+
 def branches(lines: DataFrame) -> DataFrame:
     """path, start, end, condition, has_else, sanitizes of every `if (`.
 
-    Running depth of braces; a branch ends at the first later line at or below the depth before it, which only the last
-    such line of the file bounds. The join is by file, on branch starts (few) against lines.
+    Ends come from `tree`. Lines that say something (an else, a cleaning or leaving word) meet the branches around them by
+    blocks of lines (`ranges`), so that what is made is in proportion to what is inside of what.
     """
-    per_file = Window.partitionBy("path").orderBy("line_no")
-    depth = F.sum(braces(F.col("text"))).over(per_file.rowsBetween(Window.unboundedPreceding, 0))
-    rows = lines.withColumn("depth", depth).withColumn("before", F.col("depth") - braces(F.col("text")))
-    last = lines.groupBy("path").agg(F.max("line_no").alias("last"))
-    starts = rows.where(F.col("text").rlike(r"^\s*if\s*\(")).select("path", F.col("line_no").alias("start"), "before", F.trim("text").alias("condition"))
-    r = rows.select("path", "line_no", "depth", F.lower("text").alias("low"), F.trim("text").alias("t"))
-    ends = starts.join(r, "path").where("line_no > start AND depth <= before").groupBy("path", "start").agg(F.min("line_no").alias("end"))
-    found = starts.join(ends, ["path", "start"], "left").join(last, "path").withColumn("end", F.coalesce("end", "last"))
-    own = found.join(r, "path").where("line_no BETWEEN start AND end")
-    other = any_of([F.col("t").startswith("else"), F.col("t").startswith("} else")])
-    return own.groupBy("path", "start", "end", "condition").agg(
-        F.max(other).alias("has_else"), F.max(has_any(F.col("low"), CLEANING + LEAVING)).alias("sanitizes")
-    )
+    found = tree(lines).select("path", "start", "end")
+    named = lines.select(F.col("path").alias("_file"), F.col("line_no").alias("_nr"), F.trim("text").alias("condition"))
+    found = found.join(named, (F.col("path") == F.col("_file")) & (F.col("start") == F.col("_nr"))).select("path", "start", "end", "condition")
+    t, low = F.trim("text"), F.lower("text")
+    says = lines.select(F.col("path").alias("_path"), "line_no", any_of([t.startswith("else"), t.startswith("} else")]).alias("_else"), has_any(low, CLEANING + LEAVING).alias("_clean")).where("_else OR _clean")
+    inside = ranges.met(says, found.select("path", "start", "end"), ("_path", "path"), "line_no", "start", "end")
+    said = inside.groupBy("path", "start").agg(F.max("_else").alias("_has_else"), F.max("_clean").alias("_sanitizes"))
+    out = found.join(said, ["path", "start"], "left")
+    no = F.lit(False)
+    return out.select("path", "start", "end", "condition", F.coalesce("_has_else", no).alias("has_else"), F.coalesce("_sanitizes", no).alias("sanitizes"))
 
 
 def sanitized_paths(lines: DataFrame) -> DataFrame:

@@ -725,6 +725,27 @@ def branches(spark, sf_dir):
     return blocks.branches(source.lines(own)).select("path", F.col("start").cast("long").alias("first"), F.col("end").cast("long").alias("last"), "has_else", "sanitizes")
 
 
+_NESTED = (
+    "replace(replace(text, '{', ''), '}', '') || chr(10) || repeat('if (a) {' || chr(10) || 'x()' || chr(10), cast(doc_id % 5 + 1 AS int)) || repeat('}' || chr(10), cast(doc_id % 5 + 1 AS int))"
+    " || 'if (b)' || chr(10) || 'y()' || chr(10) || 'if (c) {' || chr(10) || repeat('if (d) { if (e) }' || chr(10), cast(doc_id % 3 AS int))"
+)
+
+
+@query(
+    "block_tree",
+    f"WITH {LINES.replace(FILES, f'files AS (SELECT {PATH} AS path, {_NESTED} AS content FROM documents WHERE text IS NOT NULL)')},"
+    " deep AS (SELECT path, line_no, text, sum(length(replace(text, '}', '')) - length(replace(text, '{', ''))) OVER (PARTITION BY path ORDER BY line_no) AS depth FROM lines),"
+    " d AS (SELECT *, depth - (length(replace(text, '}', '')) - length(replace(text, '{', ''))) AS before, max(line_no) OVER (PARTITION BY path) AS final FROM deep),"
+    " s AS (SELECT path, line_no AS first, before, final FROM d WHERE regexp_matches(text, '^\\s*if\\s*\\(')),"
+    " e AS (SELECT s.path, s.first, s.final, min(d.line_no) AS stop FROM s LEFT JOIN d ON d.path = s.path AND d.line_no > s.first AND d.depth <= s.before GROUP BY ALL)"
+    " SELECT a.path, a.first::BIGINT AS first, coalesce(a.stop, a.final)::BIGINT AS last, max(o.first)::BIGINT AS parent, count(o.first) AS nesting FROM e a"
+    " LEFT JOIN e o ON o.path = a.path AND o.first < a.first AND (o.stop IS NULL OR o.stop > a.first) GROUP BY a.path, a.first, a.stop, a.final",
+)
+def block_tree(spark, sf_dir):
+    own = table(spark, sf_dir, "documents").where("text IS NOT NULL").select(F.expr(PATH).alias("path"), F.expr(_NESTED).alias("content"))
+    return blocks.tree(source.lines(own)).select("path", *[F.col(a).cast("long").alias(b) for a, b in (("start", "first"), ("end", "last"), ("parent", "parent"), ("nesting", "nesting"))])
+
+
 @query(
     "unreachable_code",
     f"WITH n AS (SELECT {PATH} AS path, len(string_split(text, chr(10))) AS k FROM documents WHERE text IS NOT NULL) SELECT path, (k + 3)::BIGINT AS first, (k + 4)::BIGINT AS last FROM n",
