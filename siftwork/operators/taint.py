@@ -16,33 +16,32 @@ from pyspark.sql import functions as F
 from ..sources.files import described
 from .syntax import OUT, Node, as_findings, deep, parse, text_of
 
-# Defaults for rules that name no sources or sinks, by language: sources, sinks, sanitizers. Those of
-# scanners of this kind, whole, and after them a few names of our own.
+# Defaults for rules that name no sources or sinks, by language: sources, sinks, sanitizers.
 DEFAULTS: dict[str, tuple[list[str], list[str], list[str]]] = {
     "javascript": (
         ["req.body", "req.params", "req.query", "req.headers", "req.cookies", "req.files", "process.argv", "window.location", "document.URL"],
-        [".query(", ".execute(", "eval(", "Function(", "setTimeout(", "setInterval(", ".innerHTML", ".outerHTML", "document.write", "document.writeln", "child_process.exec", "child_process.execSync", "child_process.spawn", "cp.exec", "cp.execSync", "cp.spawn", "fetch(", "exec"],
-        ["DOMPurify.sanitize", "escapeHtml", "htmlspecialchars", "encodeURIComponent", "he.encode", "validator.escape", "escape", "sanitize", "parseInt"],
+        [".query(", ".execute(", "eval(", "Function(", "setTimeout(", "setInterval(", ".innerHTML", ".outerHTML", "document.write", "document.writeln", "child_process.exec", "child_process.execSync", "child_process.spawn", "cp.exec", "cp.execSync", "cp.spawn", "fetch("],
+        ["DOMPurify.sanitize", "escapeHtml", "htmlspecialchars", "encodeURIComponent", "he.encode", "validator.escape"],
     ),
     "typescript": (
         ["req.body", "req.params", "req.query", "req.headers", "process.argv"],
         [".query", "eval", ".innerHTML", ".exec", "document.write"],
-        ["DOMPurify.sanitize", "escapeHtml", "escape", "sanitize", "encodeURIComponent", "parseInt"],
+        ["DOMPurify.sanitize", "escapeHtml"],
     ),
     "python": (
         ["request.args", "request.form", "request.json", "request.data", "request.headers", "request.cookies", "request.files", "sys.argv", "input", "input()"],
-        [".execute", ".executemany", "eval", "exec", "os.system", "subprocess.call", "subprocess.run", "subprocess.Popen", "render_template_string", "pickle.loads", "subprocess"],
-        ["bleach.clean", "html.escape", "urllib.parse.quote", "sqlalchemy.text", "escape", "shlex.quote", "int"],
+        [".execute", ".executemany", "eval", "exec", "os.system", "subprocess.call", "subprocess.run", "subprocess.Popen", "render_template_string", "pickle.loads"],
+        ["bleach.clean", "html.escape", "urllib.parse.quote", "sqlalchemy.text"],
     ),
     "go": (
         ["r.Body", "r.URL.Query", "r.FormValue", "r.PostFormValue", "r.Header.Get", "os.Args", "req.Body"],
         [".Query", ".Exec", ".QueryRow", ".QueryContext", ".ExecContext", "exec.Command", "os/exec.Command", "template.Parse", "template.Execute"],
-        ["html.EscapeString", "url.QueryEscape", "strconv.Quote", "strconv.Atoi"],
+        ["html.EscapeString", "url.QueryEscape", "strconv.Quote"],
     ),
     "java": (
-        ["request.getParameter", "req.getParameter", "request.getHeader", "request.getInputStream", "System.getenv", "args[", "getParameter", "getHeader"],
-        [".execute", ".executeQuery", ".executeUpdate", "Runtime.getRuntime().exec", "new ProcessBuilder", "readObject", ".eval(", "exec", "println"],
-        ["PreparedStatement", "ESAPI.encoder", "org.owasp.encoder", "encode", "escape"],
+        ["request.getParameter", "req.getParameter", "request.getHeader", "request.getInputStream", "System.getenv", "args["],
+        [".execute", ".executeQuery", ".executeUpdate", "Runtime.getRuntime().exec", "new ProcessBuilder", "readObject", ".eval("],
+        ["PreparedStatement", "ESAPI.encoder", "org.owasp.encoder"],
     ),
     "csharp": (
         ["Request.QueryString", "Request.Form", "Request.Params", "Request.Headers", "Request.Cookies", "Environment.GetEnvironmentVariable", "args["],
@@ -112,6 +111,16 @@ _FUNCTIONS = {"function_definition", "function_declaration", "method_declaration
 _MEMBERS = {"attribute", "member_expression", "selector_expression", "field_access", "subscript"}
 
 
+#: Names of our own beside the defaults, by language, in the same order. They are whole names of calls, or what follows their last point.
+OWN: dict[str, tuple[list[str], list[str], list[str]]] = {
+    "javascript": ([], ["exec"], ["escape", "sanitize", "parseInt"]),
+    "typescript": ([], [], ["escape", "sanitize", "encodeURIComponent", "parseInt"]),
+    "python": ([], ["subprocess.check_output", "subprocess.check_call"], ["escape", "shlex.quote", "int"]),
+    "go": ([], [], ["strconv.Atoi"]),
+    "java": (["getParameter", "getHeader"], ["exec", "println"], ["encode", "escape"]),
+}
+
+
 def register(language: str, sources: list[str], sinks: list[str], sanitizers: list[str]) -> None:
     """Defaults for one more language."""
     DEFAULTS[language] = (sources, sinks, sanitizers)
@@ -124,7 +133,8 @@ def child(node: Node, *names: str) -> Node | None:
 class Flow:
     """The analysis of one file for one set of sources, sinks and sanitizers."""
 
-    def __init__(self, tree: Node, raw: bytes, sources: list[str], sinks: list[str], sanitizers: list[str], seeds: set[str] = frozenset()):
+    def __init__(self, tree: Node, raw: bytes, sources: list[str], sinks: list[str], sanitizers: list[str], seeds: set[str] = frozenset(), own: tuple[list[str], list[str], list[str]] = ([], [], [])):
+        self.own = tuple(map(frozenset, own))
         clean = lambda words: [w.rstrip("(") for w in words]
         self.raw, self.sources, self.sinks, self.sanitizers = raw, clean(sources), clean(sinks), clean(sanitizers)
         self.found: list[Node] = []
@@ -135,6 +145,10 @@ class Flow:
         self.tainted: set[str] = set(seeds)
         self._walk(tree, report=True)
 
+    def _own(self, name: str, role: int) -> bool:
+        """Whether a call's whole name, or what follows its last point, is one of our own sources (0), sinks (1) or sanitizers (2)."""
+        return name in self.own[role] or name.rpartition(".")[2] in self.own[role]
+
     def text(self, n: Node) -> str:
         return text_of(n, self.raw)
 
@@ -167,12 +181,12 @@ class Flow:
         if n.kind in _CALLS:
             function = child(n, "function")
             name = self.text(function) if function else ""
-            if any(s in name for s in self.sources):
+            if any(s in name for s in self.sources) or self._own(name, 0):
                 return True
             own = self.summaries.get(name)
             if own and self._any(a for k, a in enumerate(self._args(n)) if k in own[1]):
                 return True
-            if name and any(s in name or name in s for s in self.sanitizers):
+            if name and (any(s in name or name in s for s in self.sanitizers) or self._own(name, 2)):
                 return False
             if function and function.kind in _MEMBERS and self.is_tainted(function):
                 return True
@@ -205,7 +219,7 @@ class Flow:
         function = child(n, "function")
         name = self.text(function) if function else ""
         args = self._args(n)
-        if any(s in name for s in self.sinks):
+        if any(s in name for s in self.sinks) or self._own(name, 1):
             checked = args[:1] if any(name.endswith(x) for x in FIRST_ARGUMENT) else args
             if any(self.is_tainted(a) for a in checked):
                 self.found.append(n)
@@ -221,9 +235,11 @@ def analyse(source: str, language: str, sources: list[str], sinks: list[str], sa
     if tree is None:
         return []
     raw = source.encode("utf-8", "surrogatepass")
-    default = DEFAULTS.get(language, ([], [], []))
+    none: tuple[list[str], list[str], list[str]] = ([], [], [])
+    default, own = DEFAULTS.get(language, none), OWN.get(language, none)
+    ours = ([] if sources else own[0], [] if sinks else own[1], [] if sanitizers or sources and sinks else own[2])
     with deep():
-        flow = Flow(tree, raw, sources or default[0], sinks or default[1], sanitizers or ([] if sources and sinks else default[2]), seeds)
+        flow = Flow(tree, raw, sources or default[0], sinks or default[1], sanitizers or ([] if sources and sinks else default[2]), seeds, ours)
     out = []
     for n in sorted({(n.start, n.end) for n in flow.found}):
         before = raw[: n[0]]

@@ -921,7 +921,7 @@ _CODE_FILES = {
 
 
 def _flow_rules() -> list[dict]:
-    return [catalog.parse({"id": f"flow-{lang}", "languages": [lang], "severity": "high", "message": "flow", "patterns": [{"type": "taint", "sources": s, "sinks": k, "sanitizers": z}]}, n) for n, (lang, (s, k, z)) in enumerate(taint.DEFAULTS.items())]
+    return [catalog.parse({"id": f"flow-{lang}", "languages": [lang], "severity": "high", "message": "flow", "patterns": [{"type": "taint"}]}, n) for n, lang in enumerate(taint.DEFAULTS)]
 
 
 @query("syntax_queries", "SELECT * FROM (VALUES ('a.py', 6::BIGINT, 'eval(x)')) AS t(file, line, snippet)")

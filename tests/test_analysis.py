@@ -50,6 +50,8 @@ def test_bad_queries_and_sources():
         ("javascript", "function id(v) { return v; }\nconst a = id(req.params.id);\neval(a);", [3]),
         ("python", "x = input()\nif x == 'a':\n    pass\nos.system(x)", [4]),
         ("python", "ok = input() == 'a'\nos.system(ok)", []),
+        ("python", "x = input()\ny = interpolate(x)\nos.system(y)", [3]),
+        ("python", "x = input()\ny = int(x)\nos.system(y)", []),
         ("go", "func f(r *http.Request) {\n a := r.FormValue(\"a\")\n exec.Command(a)\n}", [3]),
         ("java", "class E { void f() { String n = r.getParameter(\"n\"); s.executeQuery(\"a\" + n); } }", [1]),
     ],
