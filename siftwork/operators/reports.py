@@ -1,18 +1,21 @@
 """Findings as reports: JSON, SARIF, GitLab's format, HTML, text, diagnostics, and ignore files.
 
-Reports are documents for people and tools, so what is rendered on the driver is a report's rows, most severe first;
-`limit` bounds them where the caller gives one. Large relations are written by `write_json` on the executors.
+A report is a `Document`: its items are rendered by columns, most severe first, and written by the executors through `sink`; only head
+and tail (counts, rules) are made on the driver. `text` and the functions that return one are for consoles.
 """
 
 from __future__ import annotations
 
 import html
 import json
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import severity_rank
 from ..schemas import SEVERITIES
+from . import sink
 from .refine import ordered, summary, taxonomy
 
 # Names of weaknesses.
@@ -50,16 +53,40 @@ def sarif_results(findings: DataFrame) -> DataFrame:
     return findings.select("rule_id", "file", "line", "column", F.to_json(result).alias("result"))
 
 
-def sarif(findings: DataFrame, tool: str = "siftwork", limit: int | None = None) -> str:
-    """A SARIF 2.1.0 log with its rules and the weaknesses that they name."""
+@dataclass
+class Document:
+    """A report as a document: what it begins with, its items in order (column `value`), what stands between them, how it ends.
+
+    Head and tail hold what is known of the findings as a whole: counts, and the rules and weaknesses that occur, whose number is the pack's.
+    """
+
+    head: str
+    items: DataFrame
+    joint: str
+    tail: str
+
+    def text(self) -> str:
+        """The document on the driver, for a console: an item at a time."""
+        return self.head + self.joint.join(r["value"] for r in self.items.toLocalIterator() if r["value"] is not None) + self.tail
+
+    def write(self, path: str) -> None:
+        """The document as a file in a folder that executors share; they write it, see `sink`."""
+        sink.write(self.items, path, self.head, self.joint, self.tail)
+
+
+def _most_severe(findings: DataFrame, limit: int | None) -> DataFrame:
     rows = ordered(findings)
-    rows = rows.limit(limit) if limit else rows
+    return rows.limit(limit) if limit else rows
+
+
+def sarif_document(findings: DataFrame, tool: str = "siftwork", limit: int | None = None) -> Document:
+    """A SARIF 2.1.0 log with its rules and the weaknesses that they name; a result is a line."""
     rules = taxonomy(findings).withColumn("cwe_name", cwe_name("cwe")).orderBy("rule_id").collect()
-    results = [json.loads(r["result"]) for r in sarif_results(rows).collect()]
     taxa = sorted({(r["cwe"], r["cwe_name"]) for r in rules if r["cwe"]})
     driver = {"name": tool, "rules": [{"id": r["rule_id"], "name": r["rule_name"], "shortDescription": {"text": r["message"]}, "properties": {"severity": r["severity"], "cwe": r["cwe"]}} for r in rules]}
-    run = {"tool": {"driver": driver}, "results": results, "taxonomies": [{"name": "CWE", "taxa": [{"id": a, "name": b} for a, b in taxa]}]}
-    return json.dumps({"$schema": "https://json.schemastore.org/sarif-2.1.0.json", "version": "2.1.0", "runs": [run]}, indent=2)
+    more = {"tool": {"driver": driver}, "taxonomies": [{"name": "CWE", "taxa": [{"id": a, "name": b} for a, b in taxa]}]}
+    head = '{"$schema": "https://json.schemastore.org/sarif-2.1.0.json", "version": "2.1.0", "runs": [' + json.dumps(more)[:-1] + ', "results": [\n'
+    return Document(head, sarif_results(_most_severe(findings, limit)).select(F.col("result").alias("value")), ",\n", "\n]}]}\n")
 
 
 def gitlab_rows(findings: DataFrame) -> DataFrame:
@@ -75,17 +102,15 @@ def gitlab_rows(findings: DataFrame) -> DataFrame:
     return findings.select("rule_id", "file", "line", "column", F.to_json(row).alias("vulnerability"))
 
 
-def gitlab(findings: DataFrame) -> str:
-    rows = [json.loads(r["vulnerability"]) for r in gitlab_rows(ordered(findings)).collect()]
-    return json.dumps({"version": "15.0.0", "vulnerabilities": rows}, indent=2)
-
+def gitlab_document(findings: DataFrame, limit: int | None = None) -> Document:
+    return Document('{"version": "15.0.0", "vulnerabilities": [\n', gitlab_rows(_most_severe(findings, limit)).select(F.col("vulnerability").alias("value")), ",\n", "\n]}\n")
 
-def write_json(findings: DataFrame, path: str) -> None:
-    findings.write.mode("overwrite").json(path)
 
-
-def as_json(findings: DataFrame) -> str:
-    return json.dumps({"findings": [r.asDict(recursive=True) for r in ordered(findings).collect()], "summary": summary(findings).first().asDict()}, indent=2, default=str)
+def json_document(findings: DataFrame, limit: int | None = None) -> Document:
+    """All columns of findings, nulls included, and their summary."""
+    whole = F.to_json(F.struct(*findings.columns), {"ignoreNullFields": "false"})
+    head = '{"summary": ' + json.dumps(summary(findings).first().asDict()) + ', "findings": [\n'
+    return Document(head, _most_severe(findings, limit).select(whole.alias("value")), ",\n", "\n]}\n")
 
 
 def text_summary(findings: DataFrame) -> str:
@@ -93,39 +118,75 @@ def text_summary(findings: DataFrame) -> str:
     return "\n".join([f"{s['total']} findings", *[f"{x:>9}: {s[x]}" for x in SEVERITIES]])
 
 
-def pretty(findings: DataFrame, limit: int | None = None, code: bool = True) -> str:
-    rows = ordered(findings)
-    out, last = [text_summary(findings)], None
-    for r in (rows.limit(limit) if limit else rows).toLocalIterator():
-        if r["severity"] != last:
-            last = r["severity"]
-            out.append(f"\n{str(last).upper()}")
-        out.append(f"  {r['file']}:{r['line']}:{r['column']}  {r['rule_id']}  {r['message']}")
-        if code:
-            out += [f"      {x}" for x in str(r["snippet"]).split("\n")[:3]]
-    return "\n".join(out)
+def pretty_document(findings: DataFrame, limit: int | None = None, code: bool = True) -> Document:
+    """Findings as text, the first of each severity below its name; up to three lines of code each."""
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    row = F.concat(F.lit("  "), text("file"), F.lit(":"), text("line"), F.lit(":"), text("column"), F.lit("  "), text("rule_id"), F.lit("  "), text("message"))
+    shown = F.transform(F.slice(F.split(text("snippet"), "\n"), 1, 3), lambda x: F.concat(F.lit("\n      "), x))
+    row = F.concat(row, F.array_join(shown, "")) if code else row
+    # The first of each severity is told by its place: one row for each severity.
+    place = [text("file"), F.coalesce(F.col("line"), F.lit(-1)), F.coalesce(F.col("column"), F.lit(-1)), text("rule_id"), text("message"), text("snippet")]
+    key = F.xxhash64("severity", *place)
+    first = findings.groupBy("severity").agg(F.min_by(key, F.struct(*[p.alias(f"p{n}") for n, p in enumerate(place)])).alias("k")).collect()
+    titled = F.lit("")
+    for r in first:
+        titled = F.when(F.col("severity").eqNullSafe(F.lit(r["severity"])) & (key == r["k"]), F.lit(f"\n{str(r['severity']).upper()}\n")).otherwise(titled)
+    rows = findings.orderBy(severity_rank("severity").desc(), "severity", *place)
+    return Document(text_summary(findings) + "\n", (rows.limit(limit) if limit else rows).select(F.concat(titled, row).alias("value")), "\n", "")
 
 
-def as_html(findings: DataFrame, vulnerabilities: DataFrame | None = None, limit: int | None = None) -> str:
+def _escaped(c: Column) -> Column:
+    out = F.coalesce(c.cast("string"), F.lit(""))
+    for sign, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+        out = F.replace(out, F.lit(sign), F.lit(name))
+    return out
+
+
+def html_document(findings: DataFrame, vulnerabilities: DataFrame | None = None, limit: int | None = None) -> Document:
     e = lambda x: html.escape(str(x))
-    rows = ordered(findings)
-    cells = ["".join(f"<td>{e(r[c])}</td>" for c in ("severity", "rule_id", "file", "line", "message", "snippet")) for r in (rows.limit(limit) if limit else rows).toLocalIterator()]
+    cells = [x for c in ("severity", "rule_id", "file", "line", "message", "snippet") for x in (F.lit("<td>"), _escaped(F.col(c)), F.lit("</td>"))]
     known = vulnerabilities.limit(5).collect() if vulnerabilities is not None else []
     listed = "".join(f"<li>{e(v['id'])} {e(v['package'])}: {e(v['summary'])}</li>" for v in known)
-    body = "".join(f"<tr>{c}</tr>" for c in cells)
-    return f"<!DOCTYPE html><html><head><meta charset='utf-8'><title>Findings</title></head><body><pre>{e(text_summary(findings))}</pre><table>{body}</table><ul>{listed}</ul></body></html>"
+    head = f"<!DOCTYPE html><html><head><meta charset='utf-8'><title>Findings</title></head><body><pre>{e(text_summary(findings))}</pre><table>\n"
+    rows = _most_severe(findings, limit).select(F.concat(F.lit("<tr>"), *cells, F.lit("</tr>")).alias("value"))
+    return Document(head, rows, "\n", f"\n</table><ul>{listed}</ul></body></html>\n")
+
+
+def summary_document(findings: DataFrame, limit: int | None = None) -> Document:
+    nothing = findings.sparkSession.createDataFrame([], "value string")
+    return Document(text_summary(findings), nothing, "", "")
+
+
+def sarif(findings: DataFrame, tool: str = "siftwork", limit: int | None = None) -> str:
+    return sarif_document(findings, tool, limit).text()
+
+
+def gitlab(findings: DataFrame) -> str:
+    return gitlab_document(findings).text()
+
+
+def as_json(findings: DataFrame) -> str:
+    return json_document(findings).text()
+
+
+def pretty(findings: DataFrame, limit: int | None = None, code: bool = True) -> str:
+    return pretty_document(findings, limit, code).text()
+
+
+def as_html(findings: DataFrame, vulnerabilities: DataFrame | None = None, limit: int | None = None) -> str:
+    return html_document(findings, vulnerabilities, limit).text()
 
 
-FORMATS = {"json": as_json, "sarif": sarif, "gitlab": gitlab, "html": as_html, "summary": text_summary, "pretty": pretty}
+FORMATS = {"json": json_document, "sarif": sarif_document, "gitlab": gitlab_document, "html": html_document, "summary": summary_document, "pretty": pretty_document}
 
 
 def write_report(findings: DataFrame, kind: str, path: str | None = None) -> str:
-    """A report in one of FORMATS, `pretty` for others; written to `path` if given."""
-    text = FORMATS.get(kind, pretty)(findings)
-    if path:
-        with open(path, "w", encoding="utf-8") as f:
-            f.write(text)
-    return text
+    """A report in one of FORMATS, `pretty` for others: written to `path` by the executors, whose name is returned, or as a text."""
+    document = FORMATS.get(kind, pretty_document)(findings)
+    if path is None:
+        return document.text()
+    document.write(path)
+    return path
 
 
 def ignore_lines(findings: DataFrame) -> DataFrame:

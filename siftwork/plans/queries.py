@@ -6,6 +6,7 @@ expression that both sides use, and so are a few rules that fire on the corpus.
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Callable
 
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as fn
 from ..functions.regexes import glob
-from ..operators import blocks, compare, fixes, frameworks, gates, match, modules, patternindex, ranges, refine, reports, scores, secrets, store, suppress, syntax, taint
+from ..operators import blocks, compare, cubes, dependencies, fixes, frameworks, gates, match, modules, patternindex, ranges, refine, reports, scores, secrets, store, suppress, syntax, taint
 from ..sources import files as source
 from ..sources import rules as catalog
 from ..streaming import replay, state, watch
@@ -1098,3 +1099,91 @@ def range_findings(spark, sf_dir):
     spans = spans.select("_path", start.alias("_a"), (start + F.expr("(doc_id % 11) * (doc_id % 5)")).alias("_b"), F.expr("doc_id % 3 = 0").alias("_every"))
     out = ranges.split(findings(spark, sf_dir), spans, ("file", "_path"), "line", "_a", "_b", ["rule_id"], F.col("_every") | (F.col("rule_id") == "email"), "left_anti")
     return out.select("rule_id", "file", F.col("line").cast("long").alias("line"))
+
+
+#: A document as a pinned package: one of three ecosystems, a quarter of all rows one package, versions with every kind of stage. `{m}` is the major number.
+_STAGE = "doc_id % 5"
+_VERSION_OF = (
+    "cast({m} AS string) || '.' || cast(coalesce(length(text), 0) % 12 AS string) || CASE WHEN doc_id % 2 = 0 THEN '.' || cast(doc_id % 11 AS string) ELSE '' END"
+    f" || CASE WHEN doc_id % 3 = 0 THEN CASE {_STAGE} WHEN 1 THEN 'a' WHEN 2 THEN '.beta' WHEN 3 THEN '-rc' ELSE '' END || CASE WHEN {_STAGE} IN (1, 2, 3) THEN cast(doc_id % 13 AS string) ELSE '' END"
+    f" ELSE CASE {_STAGE} WHEN 1 THEN '-alpha.' || cast(doc_id % 13 AS string) WHEN 2 THEN '-beta.' || cast(doc_id % 13 AS string) WHEN 3 THEN '-rc.' || cast(doc_id % 13 AS string) ELSE '' END END"
+)
+_MAJOR = "cast(floor(doc_id / 100) AS int)"
+_NEXT = f"({_MAJOR} + 1)"
+_PACKAGE = "CASE WHEN doc_id % 4 = 0 THEN 'a.io/hot' ELSE 'a.io/p' || cast(cast(floor(doc_id / 60) AS int) AS string) END"
+_PINNED = {
+    "path": "'d' || cast(doc_id AS string) || CASE doc_id % 3 WHEN 0 THEN '/requirements.txt' WHEN 1 THEN '/package.json' ELSE '/go.mod' END",
+    "content": "CASE doc_id % 3 WHEN 0 THEN replace({p}, 'a.io/', '') || '==' || {v} WHEN 1 THEN '{{\"dependencies\": {{\"' || {p} || '\": \"^' || {v} || '\"}}}}' ELSE 'require ' || {p} || ' v' || {v} END",
+}
+_ADVISED = {
+    "ecosystem": "CASE doc_id % 3 WHEN 0 THEN 'pypi' WHEN 1 THEN 'npm' ELSE 'go' END", "package": f"CASE WHEN doc_id % 3 = 0 THEN replace({_PACKAGE}, 'a.io/', '') ELSE {_PACKAGE} END", "id": "'A' || cast(doc_id AS string)",
+    "introduced": f"CASE WHEN doc_id % 21 <> 0 OR doc_id % 4 = 0 THEN {_VERSION_OF.format(m=_MAJOR)} END", "fixed_version": f"CASE WHEN doc_id % 35 <> 0 OR doc_id % 4 = 0 THEN {_VERSION_OF.format(m=_NEXT)} END",
+}
+# What the text of a version stands for, as a number that compares as versions do.
+_ORDER_OF = f"((({{m}} * 12 + coalesce(length(text), 0) % 12) * 11 + CASE WHEN doc_id % 2 = 0 THEN doc_id % 11 ELSE 0 END) * 4 + CASE WHEN {_STAGE} IN (1, 2, 3) THEN {_STAGE} - 1 ELSE 3 END) * 13 + CASE WHEN {_STAGE} IN (1, 2, 3) THEN doc_id % 13 ELSE 0 END"
+
+
+@query(
+    "advisory_hits",
+    f"WITH p AS (SELECT {_PINNED['path']} AS path, {_ADVISED['ecosystem']} AS ecosystem, {_ADVISED['package']} AS package, {_VERSION_OF.format(m=_MAJOR)} AS version, {_ORDER_OF.format(m=_MAJOR)} AS spot FROM documents),"
+    f" a AS (SELECT {_ADVISED['ecosystem']} AS ecosystem, {_ADVISED['package']} AS package, {_ADVISED['id']} AS id, {_ADVISED['fixed_version']} AS fixed_version, CASE WHEN doc_id % 21 <> 0 OR doc_id % 4 = 0 THEN {_ORDER_OF.format(m=_MAJOR)} END AS low,"
+    f" CASE WHEN doc_id % 35 <> 0 OR doc_id % 4 = 0 THEN {_ORDER_OF.format(m=_NEXT)} END AS high FROM documents WHERE doc_id % 7 = 0)"
+    " SELECT id, package, version, fixed_version, path FROM p JOIN a USING (ecosystem, package) WHERE (low IS NULL OR spot >= low) AND (high IS NULL OR spot < high)",
+)
+def advisory_hits(spark, sf_dir):
+    """Packages pinned in manifests with the advisories whose range of versions holds theirs."""
+    docs = table(spark, sf_dir, "documents")
+    content = _PINNED["content"].format(p=_PACKAGE, v=_VERSION_OF.format(m=_MAJOR))
+    pinned = dependencies.packages(docs.select(F.expr(_PINNED["path"]).alias("path"), F.expr(content).alias("content")))
+    advised = docs.where("doc_id % 7 = 0").select(*[F.expr(e).alias(c) for c, e in _ADVISED.items()], F.lit("s").alias("summary"), F.lit("high").alias("severity"), F.array(F.lit("r")).alias("references"))
+    return dependencies.vulnerable(pinned, advised).select("id", "package", "version", "fixed_version", "path")
+
+
+_LANGUAGE = "CASE WHEN file LIKE '%.py' THEN 'python' WHEN file LIKE '%.js' THEN 'javascript' WHEN file LIKE '%.go' THEN 'go' WHEN file LIKE '%.java' THEN 'java' ELSE '' END"
+_CUBE = (
+    f"WITH {FOUND}, d AS (SELECT *, {_LANGUAGE} AS language, string_split(file, '/')[1] AS source FROM findings),"
+    " c AS (SELECT severity, category, language, source, GROUPING(severity, category, language, source)::INTEGER AS level, count(*) AS n, count(DISTINCT file) AS files, min(line)::BIGINT AS first_line, max(line)::BIGINT AS last_line"
+    " FROM d GROUP BY CUBE (severity, category, language, source)) SELECT {columns} FROM c"
+)
+
+
+@query("findings_cube", _CUBE.replace("{columns}", "severity, category, language, source, level, n, files"))
+def findings_cube(spark, sf_dir):
+    return cubes.exact(cubes.dimensioned(findings(spark, sf_dir)))
+
+
+@query("findings_sketches", _CUBE.replace("{columns}", "severity, category, language, source, level, n, first_line, last_line, true AS files_near, true AS lines_near"))
+def findings_sketches(spark, sf_dir):
+    """The cube out of the stored cells of two scans, each of a part of the files; estimates are held against exact values."""
+    found = cubes.dimensioned(findings(spark, sf_dir))
+    at, part = replay.shared_folder(spark), F.pmod(F.xxhash64("file"), F.lit(2)) == 0
+    for n, some in enumerate((found.where(part), found.where(~part))):
+        cubes.cells(some).write.parquet(f"{at}/cells{n}")
+    rolled = cubes.rank_errors(cubes.rolled(*[spark.read.parquet(f"{at}/cells{n}") for n in range(2)]), found)
+    true = cubes.exact(found).select(F.col("level").alias("_level"), F.col("files").alias("_files"), *[F.col(d).alias(f"_{d}") for d in cubes.DIMENSIONS])
+    both = rolled.join(true, [F.col("level") == F.col("_level"), *[F.col(d).eqNullSafe(F.col(f"_{d}")) for d in cubes.DIMENSIONS]])
+    near = F.abs(F.col("files") - F.col("_files")) <= F.greatest(F.lit(1.0), 4 * cubes.standard_error() * F.col("_files"))
+    ranked = F.greatest("rank_error_50", "rank_error_90") <= 2 * cubes.RANK_ERROR
+    return both.select(*cubes.DIMENSIONS, "level", "n", "first_line", "last_line", near.alias("files_near"), ranked.alias("lines_near"))
+
+
+@query("report_sink", f"WITH {FOUND}, k AS (SELECT unnest(['sarif', 'gitlab', 'json']) AS kind) SELECT kind, rule_id, file, line::BIGINT AS line, message, count(*) AS n FROM findings, k GROUP BY ALL")
+def report_sink(spark, sf_dir):
+    """Three reports of all findings written as documents, and their items read back from them."""
+    found, at = findings(spark, sf_dir), replay.shared_folder(spark).removeprefix("file:")
+    os.makedirs(at)
+    item = F.from_json(F.regexp_replace("value", ",$", ""), "ruleId string, message string, locations string, name string, location struct<file string, start_line long>, identifiers array<struct<name string>>, rule_id string, file string, line long")
+    place = F.from_json("i.locations", "array<struct<physicalLocation struct<artifactLocation struct<uri string>, region struct<startLine long>>>>")[0]["physicalLocation"]
+    kinds = {
+        "sarif": (F.col("i.ruleId"), place["artifactLocation"]["uri"], place["region"]["startLine"], F.get_json_object("i.message", "$.text")),
+        "gitlab": (F.col("i.identifiers")[0]["name"], F.col("i.location.file"), F.col("i.location.start_line"), F.col("i.message")),
+        "json": (F.col("i.rule_id"), F.col("i.file"), F.col("i.line"), F.col("i.message")),
+    }
+    out = None
+    for kind, columns in kinds.items():
+        reports.write_report(found, kind, f"{at}/report.{kind}")
+        # An item is a line; the first and the last are head and tail.
+        rows = spark.read.text(f"{at}/report.{kind}").where(~F.col("value").rlike(r'^(\]|\{"(\$schema|version|summary)")')).select(item.alias("i"))
+        rows = rows.select(F.lit(kind).alias("kind"), *[c.alias(n) for c, n in zip(columns, ("rule_id", "file", "line", "message"))])
+        out = rows if out is None else out.unionByName(rows)
+    return out.groupBy("kind", "rule_id", "file", "line", "message").agg(F.count("*").alias("n"))

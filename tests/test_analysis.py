@@ -96,7 +96,8 @@ def test_incremental(spark):
 
 def test_reports(spark, tmp_path):
     found = scan.scan(source.from_strings(spark, APP)).findings.cache()
-    log = json.loads(reports.write_report(found, "sarif", str(tmp_path / "a.sarif")))
+    log = json.loads(reports.write_report(found, "sarif"))
+    assert reports.write_report(found, "sarif", str(tmp_path / "a.sarif")) == str(tmp_path / "a.sarif")
     assert log["version"] == "2.1.0" and {r["ruleId"] for r in log["runs"][0]["results"]} == {"py-shell", "js-eval"}
     assert json.loads((tmp_path / "a.sarif").read_text()) == log
     assert {t["id"] for t in log["runs"][0]["taxonomies"][0]["taxa"]} == {"CWE-78", "CWE-95"}
