@@ -18,6 +18,7 @@ from ..functions.regexes import glob
 from ..operators import blocks, compare, cubes, dependencies, fixes, frameworks, gates, match, modules, patternindex, ranges, refine, reports, scores, secrets, store, suppress, syntax, taint
 from ..sources import files as source
 from ..sources import rules as catalog
+from ..sources import walk
 from ..streaming import replay, state, watch
 from . import scan as scanning
 
@@ -817,103 +818,152 @@ def fix_cache_key(spark, sf_dir):
 # ---- rules ----
 
 
-def _values() -> str:
-    q = lambda xs: "[" + ", ".join(map(lit, xs)) + "]::VARCHAR[]"
-    rows = [f"({lit(r['id'])}, {lit(r['name'])}, {lit(r['category'])}, {lit(r['severity'])}, {lit(r['confidence'])}, {q(r['languages'])}, {q(r['frameworks'])}, {q([p[0] for p in r['patterns']])})" for r in catalog.load()]
-    return "rules(id, name, category, severity, confidence, languages, frameworks, types) AS (VALUES " + ", ".join(rows) + ")"
+#: A document as a rule: (column, expression of both forms).
+_RULE_COLUMNS = {
+    "id": "'r' || cast(doc_id AS string)", "name": "CASE doc_id % 9 WHEN 0 THEN 'Card number' WHEN 4 THEN 'A Shell' ELSE coalesce(source, '-') END", "category": "'c' || cast(cast(floor(doc_id / 10) AS int) AS string)",
+    "severity": "CASE doc_id % 5 WHEN 0 THEN 'critical' WHEN 1 THEN 'high' WHEN 2 THEN 'medium' WHEN 3 THEN 'low' ELSE 'info' END", "confidence": "CASE doc_id % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END",
+}
+#: (languages, frameworks, types of patterns), the one whose place is the remainder of the number of the document.
+_SPOKEN = ((), ("*",), ("python",), ("go", "java"))
+_FRAMED = ((), ("flask",), ("Django", "Flask"), (), ("gin",))
+_TYPED = (("regex",), ("literal", "regex"), ("ast-query",), ("taint",), (), ("ast", "other"))
+
+
+def _lists_sql(options: tuple) -> str:
+    return f"CASE {' '.join(f'WHEN doc_id % {len(options)} = {n} THEN [' + ', '.join(map(lit, o)) + ']::VARCHAR[]' for n, o in enumerate(options))} END"
+
+
+_RULE_ROWS = "rules AS (SELECT " + ", ".join(f"{e} AS {c}" for c, e in _RULE_COLUMNS.items()) + f", {_lists_sql(_SPOKEN)} AS languages, {_lists_sql(_FRAMED)} AS frameworks, {_lists_sql(_TYPED)} AS types FROM documents)"
+
+
+def _catalog(spark, sf_dir) -> DataFrame:
+    """A rule for each document."""
+    pick = lambda options: F.element_at(F.array(*[F.array(*map(F.lit, o)).cast("array<string>") for o in options]), (F.col("doc_id") % len(options)).cast("int") + 1)
+    out = table(spark, sf_dir, "documents").select(*[F.expr(e).alias(c) for c, e in _RULE_COLUMNS.items()], pick(_SPOKEN).alias("languages"), pick(_FRAMED).alias("frameworks"), pick(_TYPED).alias("_types"))
+    return out.withColumn("patterns", F.transform("_types", lambda t: F.struct(t.alias("type")))).withColumn("description", F.lit("")).drop("_types")
 
 
 @query(
     "rule_quality",
-    f"WITH {_values()} SELECT id, (50 + list_sum(list_transform(types, t -> CASE WHEN t IN ('ast', 'ast-query') THEN 20 WHEN t = 'taint' THEN 15 WHEN t = 'regex' THEN 5 WHEN t = 'literal' THEN 8 ELSE 0 END))"
+    f"WITH {_RULE_ROWS} SELECT id, (50 + coalesce(list_sum(list_transform(types, t -> CASE WHEN t IN ('ast', 'ast-query') THEN 20 WHEN t = 'taint' THEN 15 WHEN t = 'regex' THEN 5 WHEN t = 'literal' THEN 8 ELSE 0 END)), 0)"
     " + CASE confidence WHEN 'high' THEN 10 WHEN 'medium' THEN 5 WHEN 'low' THEN -10 ELSE 0 END + CASE WHEN len(frameworks) > 0 THEN 10 ELSE 0 END + CASE WHEN len(languages) > 0 AND NOT list_contains(languages, '*') THEN 5 ELSE 0 END)::BIGINT AS quality FROM rules",
 )
 def rule_quality(spark, sf_dir):
-    return catalog.quality(catalog.catalog(spark, catalog.load())).select("id", F.col("quality_score").cast("long").alias("quality"))
+    return catalog.quality(_catalog(spark, sf_dir)).select("id", F.col("quality_score").cast("long").alias("quality"))
 
 
-@query("rule_search", f"WITH {_values()} SELECT id FROM rules WHERE contains(lower(id || ' ' || name || ' ' || category), 'card') OR contains(lower(id || ' ' || name || ' ' || category), 'shell')")
+@query("rule_search", f"WITH {_RULE_ROWS} SELECT id FROM rules WHERE contains(lower(name), 'card') OR contains(lower(name), 'shell') OR list_contains(languages, 'java')")
 def rule_search(spark, sf_dir):
-    every = catalog.catalog(spark, catalog.load())
-    return catalog.search(every, "card").union(catalog.search(every, "SHELL")).select("id").distinct()
+    every = _catalog(spark, sf_dir)
+    return catalog.search(every, "card").union(catalog.search(every, "SHELL")).union(catalog.search(every, "java")).select("id").distinct()
 
 
-@query("rule_categories", f"WITH {_values()} SELECT category, count(*) AS n, string_agg(id, ',' ORDER BY id) AS ids FROM rules GROUP BY category")
+@query("rule_categories", f"WITH {_RULE_ROWS} SELECT category, count(*) AS n, string_agg(id, ',' ORDER BY id) AS ids FROM rules GROUP BY category")
 def rule_categories(spark, sf_dir):
-    return catalog.by_category(catalog.catalog(spark, catalog.load())).select("category", "n", F.array_join("ids", ",").alias("ids"))
+    return catalog.by_category(_catalog(spark, sf_dir)).select("category", "n", F.array_join("ids", ",").alias("ids"))
 
 
-@query("rule_pruning", f"WITH {_values()} SELECT id FROM rules WHERE confidence = 'high' AND severity IN ('critical', 'high', 'medium', 'low') AND (len(frameworks) = 0 OR list_contains(frameworks, 'flask'))")
+@query("rule_pruning", f"WITH {_RULE_ROWS} SELECT id FROM rules WHERE confidence = 'high' AND severity IN ('critical', 'high', 'medium', 'low') AND (len(frameworks) = 0 OR len(list_filter(frameworks, f -> lower(f) = 'flask')) > 0)")
 def rule_pruning(spark, sf_dir):
-    return catalog.pruned(catalog.catalog(spark, catalog.load()), frameworks=("Flask",)).select("id")
+    return catalog.pruned(_catalog(spark, sf_dir), frameworks=("Flask",)).select("id")
+
+
+@query("rule_listing", f"WITH {_RULE_ROWS} SELECT id, severity FROM rules WHERE list_contains(languages, 'python') AND severity IN ('critical', 'high', 'medium')")
+def rule_listing(spark, sf_dir):
+    return catalog.listed(_catalog(spark, sf_dir), "Python", "medium").select("id", "severity")
 
 
 # ---- modules, frameworks, trees ----
 
 _MODULES = {
-    "src/app.js": "import { input, other } from './lib/source'\nconst db = require('./db')\nimport x from 'react'\nrun(input)\n",
-    "src/lib/source.js": "export const input = req.body.name\nexport function other() {}\n",
+    "src/app.js": "import { input§, other } from './lib/source'\nconst db = require('./db')\nimport x from 'react'\nrun(input§)\n",
+    "src/lib/source.js": "export const input§ = req.body.name\nexport function other() {}\n",
     "src/db/index.js": "module.exports = {\n  query,\n  close: end\n}\n",
-    "src/use.py": "from .helpers import clean, load\nimport os, sys\n",
+    "src/use.py": "from .helpers import clean§, load\nimport os, sys\n",
     "src/helpers.py": "def load():\n    return request.args\n\ndef _hidden():\n    pass\n",
-    "src/main.go": 'package main\nimport (\n  "fmt"\n  "net/http"\n)\nfunc Serve() {}\nfunc hidden() {}\n',
-    "src/A.java": "import java.util.List;\npublic class A {\n  public static void run(String a) {}\n}\n",
+    "src/main.go": 'package main\nimport (\n  "fmt"\n  "net/http"\n)\nfunc Serve§() {}\nfunc hidden() {}\n',
+    "src/A.java": "import java.util.List;\npublic class A {\n  public static void run§(String a) {}\n}\n",
     "src/B.cs": "using System.Text;\npublic class B {\n  public Task Run() {}\n}\n",
 }
-_MODULE_ROWS = "m(path, line, source, names) AS (VALUES ('src/app.js', 1, './lib/source', 'input+other'), ('src/app.js', 2, './db', 'db'), ('src/app.js', 3, 'react', 'x'), ('src/use.py', 1, '.helpers', 'clean+load'), ('src/use.py', 2, 'os', 'os+sys'), ('src/main.go', NULL, 'fmt', ''), ('src/main.go', NULL, 'net/http', ''), ('src/A.java', 1, 'java.util.List', ''), ('src/B.cs', 1, 'System.Text', ''))"
+#: A document as a project: of the files given, those for which its number and theirs don't add up to a multiple of four, below a folder of its own; § is its number.
+_HAS = "(doc_id + {k}) % 4 <> 0"
+_IN = "'d' || doc_id || '/' ||"
+
+
+def _project(spark, sf_dir, texts: dict[str, str]) -> DataFrame:
+    each = F.posexplode(F.array(*[F.struct(F.lit(p).alias("path"), F.lit(c).alias("content")) for p, c in texts.items()])).alias("k", "f")
+    number = F.col("doc_id").cast("string")
+    rows = table(spark, sf_dir, "documents").select("doc_id", each).where(F.expr(_HAS.format(k="k")))
+    return rows.select(F.concat(F.lit("d"), number, F.lit("/"), "f.path").alias("path"), F.replace("f.content", F.lit("§"), number).alias("content"))
+
 
+def _project_sql(columns: str, rows: list[tuple], names: str) -> str:
+    """`columns` of documents with `rows` (names), of which k is the file's number and t another's that must be there too."""
+    values = ", ".join("(" + ", ".join("NULL" if v is None else lit(v) if isinstance(v, str) else str(v) for v in r) + ")" for r in rows)
+    there = _HAS.format(k="k") + (" AND " + _HAS.format(k="t") if " t" in names else "")
+    return f"SELECT {columns} FROM (SELECT doc_id FROM documents) AS d, (VALUES {values}) AS v({names}) WHERE {there}"
 
-def _modules(spark):
-    own = source.from_strings(spark, _MODULES)
+
+def _modules(spark, sf_dir):
+    own = _project(spark, sf_dir, _MODULES)
     return own, source.lines(own)
 
 
-@query("module_imports", f"WITH {_MODULE_ROWS} SELECT path, line::BIGINT AS line, source, names FROM m")
+@query("module_imports", _project_sql(f"{_IN} path AS path, line::BIGINT AS line, source, replace(names, '§', doc_id::VARCHAR) AS names", [
+    (0, "src/app.js", 1, "./lib/source", "input§+other"), (0, "src/app.js", 2, "./db", "db"), (0, "src/app.js", 3, "react", "x"), (3, "src/use.py", 1, ".helpers", "clean§+load"), (3, "src/use.py", 2, "os", "os+sys"),
+    (5, "src/main.go", None, "fmt", ""), (5, "src/main.go", None, "net/http", ""), (6, "src/A.java", 1, "java.util.List", ""), (7, "src/B.cs", 1, "System.Text", "")], "k, path, line, source, names"))
 def module_imports(spark, sf_dir):
-    own, ls = _modules(spark)
+    own, ls = _modules(spark, sf_dir)
     return modules.imports(ls, own).select("path", F.col("line_no").cast("long").alias("line"), "source", F.array_join("names", "+").alias("names"))
 
 
-@query(
-    "module_exports",
-    "SELECT * FROM (VALUES ('src/lib/source.js', 1::BIGINT, 'input'), ('src/lib/source.js', 2, 'other'), ('src/db/index.js', 1, 'query'), ('src/db/index.js', 1, 'close'), ('src/helpers.py', 1, 'load'), ('src/main.go', 6, 'Serve'), ('src/A.java', 3, 'run'), ('src/B.cs', 3, 'Run')) AS t(path, line, name)",
-)
+@query("module_exports", _project_sql(f"{_IN} path AS path, line::BIGINT AS line, replace(name, '§', doc_id::VARCHAR) AS name", [
+    (1, "src/lib/source.js", 1, "input§"), (1, "src/lib/source.js", 2, "other"), (2, "src/db/index.js", 1, "query"), (2, "src/db/index.js", 1, "close"), (4, "src/helpers.py", 1, "load"),
+    (5, "src/main.go", 6, "Serve§"), (6, "src/A.java", 3, "run§"), (7, "src/B.cs", 3, "Run")], "k, path, line, name"))
 def module_exports(spark, sf_dir):
-    own, ls = _modules(spark)
+    own, ls = _modules(spark, sf_dir)
     return modules.exports(ls, own).select("path", F.col("line_no").cast("long").alias("line"), "name")
 
 
-@query("module_resolution", "SELECT * FROM (VALUES ('src/app.js', './lib/source', 'src/lib/source.js'), ('src/app.js', './db', 'src/db/index.js')) AS t(path, source, target)")
+@query("module_resolution", _project_sql(f"{_IN} 'src/app.js' AS path, source, {_IN} target AS target", [(0, 1, "./lib/source", "src/lib/source.js"), (0, 2, "./db", "src/db/index.js")], "k, t, source, target"))
 def module_resolution(spark, sf_dir):
-    own, ls = _modules(spark)
+    own, ls = _modules(spark, sf_dir)
     return modules.resolved(modules.imports(ls, own), own).select("path", "source", "target")
 
 
-@query("module_tainted_names", "SELECT * FROM (VALUES ('src/app.js', 'input', 'src/lib/source.js'), ('src/app.js', 'source.input', 'src/lib/source.js'), ('src/app.js', 'other', 'src/lib/source.js'), ('src/app.js', 'source.other', 'src/lib/source.js')) AS t(path, name, module)")
+@query("module_tainted_names", _project_sql(f"{_IN} 'src/app.js' AS path, replace(name, '§', doc_id::VARCHAR) AS name, {_IN} 'src/lib/source.js' AS module", [(0, 1, "input§"), (0, 1, "source.input§"), (0, 1, "other"), (0, 1, "source.other")], "k, t, name"))
 def module_tainted_names(spark, sf_dir):
-    own, ls = _modules(spark)
+    own, ls = _modules(spark, sf_dir)
     return modules.tainted_names(modules.imports(ls, own), own, modules.tainted_exports(modules.exports(ls, own), own))
 
 
 _MANIFESTS = {
-    "package.json": '{"dependencies": {"express": "^4.1", "react": "18"}, "devDependencies": {"react": "17"}}', "requirements.txt": "Flask==2.0\nrequests\n",
+    "package.json": '{"dependencies": {"express": "^4.§", "react": "18"}, "devDependencies": {"react": "17"}}', "requirements.txt": "Flask==2.0\nrequests\n",
     "go.mod": "require github.com/gin-gonic/gin v1.9", "composer.json": '{"require": {"laravel/framework": "10"}}', "Cargo.toml": 'axum = "0.7"', "app.py": "from flask import Flask\nCSRFProtect(app)\n",
 }
 
 
-@query("framework_detection", "SELECT * FROM (VALUES ('express', '^4.1'), ('react', '17'), ('flask', ''), ('gin', ''), ('laravel', '10'), ('axum', ''), ('flask', '')) AS t(name, version)")
+@query(
+    "framework_detection",
+    "WITH f AS ("
+    + _project_sql(f"{_IN} path AS path, name, replace(version, '§', doc_id::VARCHAR) AS version", [(0, "package.json", "express", "^4.§"), (0, "package.json", "react", "17"), (1, "requirements.txt", "flask", ""), (2, "go.mod", "gin", ""), (3, "composer.json", "laravel", "10"), (4, "Cargo.toml", "axum", "")], "k, path, name, version")
+    + "), s AS (" + _project_sql(f"{_IN} 'app.py' AS path, 'flask' AS name, '' AS version", [(5,)], "k") + " ORDER BY path LIMIT 20) SELECT * FROM f UNION ALL SELECT * FROM s",
+)
 def framework_detection(spark, sf_dir):
-    return frameworks.detect(source.from_strings(spark, _MANIFESTS)).select("name", "version")
+    return frameworks.detect(_project(spark, sf_dir, _MANIFESTS)).select("path", "name", "version")
 
 
-@query("framework_middleware", "SELECT * FROM (VALUES ('express', 'cors,helmet,rate-limit'), ('flask', 'Talisman'), ('gin', 'secure')) AS t(framework, missing)")
+@query(
+    "framework_middleware",
+    "SELECT framework, missing FROM (VALUES (0, 'express', 'cors,helmet,rate-limit'), (1, 'flask', 'Talisman'), (2, 'gin', 'secure')) AS v(k, framework, missing) WHERE EXISTS (SELECT 1 FROM documents WHERE (doc_id + k) % 4 <> 0)",
+)
 def framework_middleware(spark, sf_dir):
-    own = source.from_strings(spark, _MANIFESTS)
+    own = _project(spark, sf_dir, _MANIFESTS)
     return frameworks.missing_middleware(frameworks.detect(own), own).select("framework", F.array_join("missing", ",").alias("missing"))
 
 
 _CODE_FILES = {
-    "a.py": "import os\nx = request.args['q']\ny = shlex.quote(x)\nos.system(y)\nos.system('ls ' + x)\neval(x)\n",
+    "a.py": "import os\nx§ = request.args['q']\ny = shlex.quote(x§)\nos.system(y)\nos.system('ls ' + x§)\neval(x§)\n",
     "b.py": "def run(cmd):\n    os.system(cmd)\n\nrun(input())\n",
     "c.js": "const q = req.query.name;\nconst safe = escape(q);\ndb.query(`select ${q}`);\nel.innerHTML = safe;\neval(q);\n",
     "d.go": 'func h(r *http.Request) {\n  name := r.FormValue("name")\n  exec.Command(name)\n}\n',
@@ -925,15 +975,15 @@ def _flow_rules() -> list[dict]:
     return [catalog.parse({"id": f"flow-{lang}", "languages": [lang], "severity": "high", "message": "flow", "patterns": [{"type": "taint"}]}, n) for n, lang in enumerate(taint.DEFAULTS)]
 
 
-@query("syntax_queries", "SELECT * FROM (VALUES ('a.py', 6::BIGINT, 'eval(x)')) AS t(file, line, snippet)")
+@query("syntax_queries", _project_sql(f"{_IN} 'a.py' AS file, 6::BIGINT AS line, 'eval(x' || doc_id || ')' AS snippet", [(0,)], "k"))
 def syntax_queries(spark, sf_dir):
     own = [r for r in catalog.load() if r["id"] == "py-eval-call"]
-    return syntax.findings(source.from_strings(spark, _CODE_FILES), own).select("file", F.col("line").cast("long").alias("line"), "snippet")
+    return syntax.findings(_project(spark, sf_dir, _CODE_FILES), own).select("file", F.col("line").cast("long").alias("line"), "snippet")
 
 
-@query("taint_flows", "SELECT * FROM (VALUES ('a.py', 5::BIGINT), ('a.py', 6), ('b.py', 4), ('c.js', 3), ('c.js', 5), ('d.go', 3), ('E.java', 1)) AS t(file, line)")
+@query("taint_flows", _project_sql(f"{_IN} file AS file, line::BIGINT AS line", [(0, "a.py", 5), (0, "a.py", 6), (1, "b.py", 4), (2, "c.js", 3), (2, "c.js", 5), (3, "d.go", 3), (4, "E.java", 1)], "k, file, line"))
 def taint_flows(spark, sf_dir):
-    return taint.findings(source.from_strings(spark, _CODE_FILES), _flow_rules()).select("file", F.col("line").cast("long").alias("line"))
+    return taint.findings(_project(spark, sf_dir, _CODE_FILES), _flow_rules()).select("file", F.col("line").cast("long").alias("line"))
 
 
 # ---- the whole scan, and time ----
@@ -1187,3 +1237,26 @@ def report_sink(spark, sf_dir):
         rows = rows.select(F.lit(kind).alias("kind"), *[c.alias(n) for c, n in zip(columns, ("rule_id", "file", "line", "message"))])
         out = rows if out is None else out.unionByName(rows)
     return out.groupBy("kind", "rule_id", "file", "line", "message").agg(F.count("*").alias("n"))
+
+
+_PAGE_PATH = "CASE page_id % 6 WHEN 0 THEN 'site/node_modules/' WHEN 1 THEN 'site/a/b/' WHEN 2 THEN 'own/' ELSE 'site/' || cast(page_id % 40 AS string) || '/' END || 'p' || cast(page_id AS string) || CASE page_id % 4 WHEN 0 THEN '.min.js' WHEN 1 THEN '.JS' ELSE '.html' END"
+
+
+def _written(batches):
+    """Files of (path, content), written where the path says."""
+    for pdf in batches:
+        for path, content in zip(pdf["path"], pdf["content"]):
+            os.makedirs(os.path.dirname(path), exist_ok=True)
+            with open(path, "wb") as f:
+                f.write(content)
+        yield pdf[["path"]]
+
+
+@query("source_tree", f"WITH f AS (SELECT {_PAGE_PATH} AS path, encode(html) AS content FROM pages WHERE html IS NOT NULL) SELECT path, octet_length(content) AS size, md5(content) AS digest FROM f WHERE path LIKE 'site/%' AND path NOT LIKE '%/node_modules/%' AND path LIKE '%.html' AND octet_length(content) > 2000")
+def source_tree(spark, sf_dir):
+    """Pages written as files and read by the walk; folder, ending and size are asked of the source, which opens nothing else."""
+    at = replay.shared_folder(spark).removeprefix("file:")
+    pages = table(spark, sf_dir, "pages").where("html IS NOT NULL").select(F.concat(F.lit(at + "/"), F.expr(_PAGE_PATH)).alias("path"), F.col("html").cast("binary").alias("content"))
+    pages.mapInPandas(_written, "path string").count()
+    found = walk.tree(spark, at).where((F.col("extension") == ".html") & F.col("path").startswith(at + "/site/") & (F.col("size") > 2000))
+    return found.select(F.substring("path", len(at) + 2, 1 << 20).alias("path"), "size", F.md5(F.col("content").cast("binary")).alias("digest"))
