@@ -76,6 +76,16 @@ def truncate(c: Column | str, most: int) -> Column:
     return F.when(F.length(c) > most, F.concat(F.substring(c, 1, most), F.lit("..."))).otherwise(c)
 
 
+def wrapped(c: Column | str, width: int = 70, indent: str = "  ") -> Column:
+    """Words filled into lines of at most `width` bytes, all but the first behind `indent`; a text that fits stays as it is, a longer word has a line."""
+    c = column(c)
+    words = F.filter(F.split(c, r"\s+"), lambda x: x != "")
+    filled = F.aggregate(words, F.array().cast("array<string>"), lambda lines, w: F.when(
+        (F.size(lines) == 0) | (F.octet_length(F.coalesce(F.try_element_at(lines, F.lit(-1)), F.lit(""))) + F.octet_length(w) + 1 > width), F.concat(lines, F.array(w)),
+    ).otherwise(F.concat(F.slice(lines, 1, F.size(lines) - 1), F.array(F.concat_ws(" ", F.try_element_at(lines, F.lit(-1)), w)))))
+    return F.when(F.octet_length(c) > width, F.array_join(filled, "\n" + indent)).otherwise(c)
+
+
 def first_lines(c: Column | str, n: int = 3) -> Column:
     """The first `n` lines, and dots if there are more."""
     lines = F.split(column(c), "\n")

@@ -1260,3 +1260,31 @@ def source_tree(spark, sf_dir):
     pages.mapInPandas(_written, "path string").count()
     found = walk.tree(spark, at).where((F.col("extension") == ".html") & F.col("path").startswith(at + "/site/") & (F.col("size") > 2000))
     return found.select(F.substring("path", len(at) + 2, 1 << 20).alias("path"), "size", F.md5(F.col("content").cast("binary")).alias("digest"))
+
+
+@query(
+    "secret_findings",
+    f"WITH {_SECRET_LINES}, s AS ({_secret_sql()}), v AS (SELECT *, CASE WHEN v IS NOT NULL AND v <> '' THEN v ELSE whole END AS m FROM s),"
+    f" q AS (SELECT path, line_no, text, unnest(regexp_extract_all(text, {lit(secrets.QUOTED)}, 1)) AS m FROM lines), e AS (SELECT *, {_ENTROPY} AS entropy FROM q),"
+    f" u AS (SELECT path, line_no, text, type, severity, whole AS hit FROM v WHERE NOT ({_DUMMY}) UNION ALL SELECT path, line_no, text, 'entropy', 'medium', m FROM e"
+    f" WHERE length(m) BETWEEN 16 AND 128 AND entropy >= 4.2 AND NOT ({_DUMMY}) AND NOT ({' OR '.join('regexp_matches(m, ' + lit(p) + ')' for *_, p in secrets.SECRETS)}))"
+    " SELECT 'secret-' || type AS rule_id, severity, path AS file, line_no::BIGINT AS line, (strlen(substring(text, 1, instr(text, hit) - 1)) + 1)::BIGINT AS col FROM u WHERE regexp_matches(path, '\\.(py|js|java|go)$')",
+)
+def secret_findings(spark, sf_dir):
+    """Both kinds of secrets as findings, of the files that are searched for them."""
+    rows = _secret_lines(spark, sf_dir)
+    out = secrets.as_findings(secrets.detect(rows.where(secrets.takes(F.col("path")))))
+    return out.select("rule_id", "severity", "file", F.col("line").cast("long").alias("line"), F.col("column").cast("long").alias("col"))
+
+
+_LAST = "regexp_extract(acc, '[^\n]*$')"
+
+
+@query(
+    "text_wrapping",
+    f"WITH {FOUND}, w AS (SELECT rule_id, file, line, trim(snippet) AS t, list_filter(regexp_split_to_array(snippet, '\s+'), x -> x <> '') AS words FROM findings)"
+    f" SELECT rule_id, file, line::BIGINT AS line, md5(CASE WHEN strlen(t) <= 70 THEN t ELSE list_reduce(words, lambda acc, x: acc || CASE WHEN strlen({_LAST}) - CASE WHEN contains(acc, chr(10)) THEN 2 ELSE 0 END + strlen(x) + 1 > 70 THEN chr(10) || '  ' ELSE ' ' END || x) END) AS digest FROM w",
+)
+def text_wrapping(spark, sf_dir):
+    """Snippets of findings in lines of 70 bytes."""
+    return findings(spark, sf_dir).select("rule_id", "file", F.col("line").cast("long").alias("line"), F.md5(fn.wrapped(F.trim("snippet")).cast("binary")).alias("digest"))
