@@ -1282,7 +1282,7 @@ _LAST = "regexp_extract(acc, '[^\n]*$')"
 
 @query(
     "text_wrapping",
-    f"WITH {FOUND}, w AS (SELECT rule_id, file, line, trim(snippet) AS t, list_filter(regexp_split_to_array(snippet, '\s+'), x -> x <> '') AS words FROM findings)"
+    f"WITH {FOUND}, w AS (SELECT rule_id, file, line, trim(snippet) AS t, list_filter(regexp_split_to_array(snippet, '\\s+'), x -> x <> '') AS words FROM findings)"
     f" SELECT rule_id, file, line::BIGINT AS line, md5(CASE WHEN strlen(t) <= 70 THEN t ELSE list_reduce(words, lambda acc, x: acc || CASE WHEN strlen({_LAST}) - CASE WHEN contains(acc, chr(10)) THEN 2 ELSE 0 END + strlen(x) + 1 > 70 THEN chr(10) || '  ' ELSE ' ' END || x) END) AS digest FROM w",
 )
 def text_wrapping(spark, sf_dir):
