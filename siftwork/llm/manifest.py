@@ -63,8 +63,11 @@ def numbered(rows: DataFrame, tree: str, order: list[str]) -> DataFrame:
 
 
 def levels(leaves: DataFrame) -> list[DataFrame]:
-    """Node tables (tree, i, n, digest) from the leaves up, each written; a tree that has one node left is in no more of them."""
-    out = [_common.stash(leaves.select("tree", "i", "n", "digest"))]
+    """Node tables (tree, i, n, digest) from the leaves up, each written; a tree that has one node left is in no more of them.
+
+    Leaves keep their other columns.
+    """
+    out = [_common.stash(leaves)]
     while not out[-1].where("n > 1").isEmpty():
         below = out[-1].where("n > 1").withColumn("g", F.floor(F.col("i") / GROUP))
         up = below.groupBy("tree", "g").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("i", "digest"))).alias("run"))
@@ -82,33 +85,37 @@ def roots(tables: list[DataFrame]) -> DataFrame:
     return out
 
 
-def siblings(nodes: DataFrame) -> DataFrame:
+def siblings(nodes: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """(tree, g, i, before, after): of each node that isn't alone in its tree, the digests of its group's others to its left
-    and right, concatenated."""
+    and right, concatenated. Columns `keep`, which a node's place determines, come along."""
     table = nodes.where("n > 1").withColumns({"g": F.floor(F.col("i") / GROUP), "k": (F.col("i") % GROUP).cast("int")}).repartition("tree", "g")
     size = F.least(F.lit(GROUP), F.col("n") - F.col("g") * GROUP).cast("int")
     others = F.filter(F.sequence(F.lit(0), size - 1), lambda x: x != F.col("k"))
-    asked = table.select("tree", "g", "i", "k", F.explode_outer(others).alias("sibling"))
-    there = table.select(F.col("tree").alias("_tree"), F.col("g").alias("_g"), F.col("k").alias("_k"), "digest")
+    asked = table.select("tree", "g", "i", "k", *keep, F.explode_outer(others).alias("sibling"))
+    there = table.select(F.col("tree").alias("_tree"), F.col("g").alias("_g"), F.col("k").alias("_k"), F.col("digest").alias("_digest"))
     # As a difference, the place isn't a key of the join: both sides stay dealt by group. A lone node of a group asks for none.
     met = asked.join(there, (F.col("tree") == F.col("_tree")) & (F.col("g") == F.col("_g")) & (F.col("sibling") - F.col("_k") == 0), "left")
-    found = F.sort_array(F.collect_list(F.when(F.col("_k").isNotNull(), F.struct("_k", "k", "digest"))))
+    found = F.sort_array(F.collect_list(F.when(F.col("_k").isNotNull(), F.struct("_k", "k", F.col("_digest").alias("digest")))))
     side = lambda left: F.array_join(F.transform(F.filter("found", lambda x: (x["_k"] < x["k"]) == F.lit(left)), lambda x: x["digest"]), "")
-    return met.groupBy("tree", "g", "i").agg(found.alias("found")).select("tree", "g", "i", side(True).alias("before"), side(False).alias("after"))
+    return met.groupBy("tree", "g", "i", *keep).agg(found.alias("found")).select("tree", "g", "i", *keep, side(True).alias("before"), side(False).alias("after"))
+
 
+def paths(tables: list[DataFrame], keep: tuple[str, ...] = ()) -> DataFrame:
+    """(tree, i, path) of every leaf: the siblings at each level from its own up, as (before, after).
 
-def paths(tables: list[DataFrame]) -> DataFrame:
-    """(tree, i, path) of every leaf: the siblings at each level from its own up, as (before, after)."""
+    The leaves' columns `keep` come along, so that nobody has to join paths, which are long, with leaves again.
+    """
     above = None
     for k in reversed(range(len(tables))):
-        alone = tables[k].where("n = 1").select("tree", "i", F.expr("cast(array() AS array<struct<before: string, after: string>>)").alias("path"))
+        own_keep = keep if k == 0 else ()
+        alone = tables[k].where("n = 1").select("tree", "i", *own_keep, F.expr("cast(array() AS array<struct<before: string, after: string>>)").alias("path"))
         if above is None:
             above = alone
             continue
         up = above.select(F.col("tree").alias("_tree"), F.col("i").alias("_g"), F.col("path").alias("_path"))
-        own = siblings(tables[k])
+        own = siblings(tables[k], own_keep)
         met = own.join(up, (F.col("tree") == F.col("_tree")) & (F.col("g") == F.col("_g")))
-        above = met.select("tree", "i", F.concat(F.array(F.struct("before", "after")), "_path").alias("path")).unionByName(alone)
+        above = met.select("tree", "i", *own_keep, F.concat(F.array(F.struct("before", "after")), "_path").alias("path")).unionByName(alone)
         if k:
             above = _common.stash(above)
     return above
@@ -128,8 +135,7 @@ def manifest(docs: DataFrame) -> DataFrame:
     # Trees have numbers: the places of their sources.
     sources = numbered(leaves.select("source").distinct().withColumn("all", F.lit(0)), "all", ["source"])
     known = leaves.join(sources.select(F.col("source").alias("_source"), F.col("i").alias("tree")), F.col("source").eqNullSafe(F.col("_source")))
-    known = _common.stash(known.select("doc_id", "leaf", "other", "tree", "i", "n"))
-    tables = levels(known.withColumnRenamed("leaf", "digest"))
+    tables = levels(known.select("tree", "i", "n", F.col("leaf").alias("digest"), "doc_id", "other"))
     subroots = _common.stash(roots(tables))
     top = sources.select(F.lit(0).alias("tree"), "i", "n").join(subroots.select(F.col("tree").alias("i"), F.col("root").alias("digest")), "i")
     top_tables = levels(top.select("tree", "i", "n", "digest"))
@@ -137,7 +143,7 @@ def manifest(docs: DataFrame) -> DataFrame:
     ends = subroots.withColumnRenamed("root", "subroot").join(paths(top_tables).select(F.col("i").alias("tree"), F.col("path").alias("rest")), "tree")
     # One row, the root, meets the row of each source.
     ends = _common.stash(ends.withColumn("one", F.lit(1)).join(root.withColumn("one", F.lit(1)), "one").drop("one"))
-    met = known.join(paths(tables), ["tree", "i"]).join(ends, "tree").withColumn("path", F.concat("path", "rest"))
+    met = paths(tables, ("doc_id", "digest", "other")).withColumnRenamed("digest", "leaf").join(ends, "tree").withColumn("path", F.concat("path", "rest"))
     folded = fold(F.coalesce("other", "leaf"), F.col("path"))
     proof = F.sha2(F.array_join(F.transform("path", lambda x: F.concat(x["before"], x["after"])), ""), 256)
     out = met.select("doc_id", "leaf", "subroot", "root", proof.alias("proof_sha256"), folded.alias("folded_root"))

@@ -1,4 +1,5 @@
 import hashlib
+import re
 import zlib
 
 import duckdb
@@ -78,3 +79,17 @@ def test_equals_sql(spark):
     found = c.sql(queries.ORACLE_SQL["op13_merkle_manifest"])
     assert found.columns == got.columns
     assert sorted(map(tuple, got.collect())) == sorted(found.fetchall())
+
+
+def test_paths_are_not_dealt_again(spark, odd, monkeypatch):
+    monkeypatch.setattr(manifest, "GROUP", 2)
+    threshold = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(threshold)
+    spark.conf.set(threshold, "-1")
+    try:
+        plan = manifest.manifest(odd)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(threshold, before)
+    # Leaves, nodes and paths from above are dealt by group; the leaves' own paths never by their place.
+    assert "hashpartitioning(tree" in plan
+    assert not re.search(r"hashpartitioning\(tree#\d+L?, i#", plan)
