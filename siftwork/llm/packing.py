@@ -256,11 +256,15 @@ def first_individual(size: list[int], capacity: int, rng: random.Random, exact:
 def evolve(size: list[int], capacity: int, seed: int, elites: list[list[list[int]]] = (), exact: bool = True) -> list[list[int]]:
     """The best individual once PATIENCE generations have brought nothing better, or the lower bound is met.
 
-    Begins with `elites`, without any with best-fit decreasing (if `exact`), and with blurred individuals.
+    Begins with `elites`, without any with best-fit decreasing (if `exact`), and with blurred individuals. Where best-fit
+    decreasing meets the bound, no individual has fewer bins, and every island has it at once.
     """
     rng = random.Random(seed)
     bound = -(-sum(size) // capacity)
-    people = [list(x) for x in elites] or ([first_individual(size, capacity, rng, True)] if exact else [])
+    people = [list(x) for x in elites]
+    if not people:
+        plain = first_individual(size, capacity, rng, True)
+        people = [plain] if exact or len(plain) <= bound else []
     if not people or min(map(len, people)) > bound:
         people += [first_individual(size, capacity, rng, False) for _ in range(max(1, POPULATION - len(people)))]
     scored = sorted(((fitness(p, size, capacity), p) for p in people), key=lambda x: x[0], reverse=True)

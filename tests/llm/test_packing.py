@@ -75,3 +75,16 @@ def test_crossover_keeps_items():
     child = packing.cross(a, b, size, 1000, rng)
     assert sorted(i for x in child for i in x) == list(range(200))
     assert all(sum(size[i] for i in x) <= 1000 for x in child)
+
+
+def test_no_island_searches_what_best_fit_has_solved(monkeypatch):
+    rng = np.random.default_rng(5)
+    size = [int(x) for x in rng.integers(1, 400, 3000)]
+    plain = packing.first_individual(size, 2048, random.Random(0), True)
+    assert len(plain) == -(-sum(size) // 2048)
+    blurred = []
+    own = packing.first_individual
+    monkeypatch.setattr(packing, "first_individual", lambda size, capacity, rng, exact: (exact or blurred.append(1), own(size, capacity, rng, exact))[1])
+    best = packing.evolve(size, 2048, 1, exact=False)
+    assert len(best) == len(plain) and sorted(i for b in best for i in b) == list(range(len(size)))
+    assert not blurred
