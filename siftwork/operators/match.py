@@ -9,7 +9,7 @@ Python workers. All yield the same rows.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import Any
 
 import pyarrow as pa
@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 
 from ..functions import regexes
 from ..functions.text import byte_column, fill, is_constant, window
-from ..sources.files import is_test_file
+from ..sources.files import is_test_file, lines_near, with_lines
+from ..sources.files import lines as lines_of
 from . import patternindex
 
 MOST_FUSED = 50
@@ -52,9 +53,9 @@ def _applies(p: dict[str, Any]) -> Column:
     return spoken & (F.lit(True) if p["in_tests"] else ~F.col("is_test_file"))
 
 
-def fused(lines: DataFrame, patterns: list[dict[str, Any]]) -> DataFrame:
-    """KEYS of the first match of each pattern in each line."""
-    if not patterns:
+def fused(lines: DataFrame, patterns: list[dict[str, Any]], keep: tuple[str, ...] = ()) -> DataFrame:
+    """KEYS of the first match of each pattern in each line, and the line's columns `keep`."""
+    if not patterns and not keep:
         return lines.sparkSession.createDataFrame([], KEYS)
     tests = []
     for p in patterns:
@@ -68,8 +69,9 @@ def fused(lines: DataFrame, patterns: list[dict[str, Any]]) -> DataFrame:
         variables = F.create_map(*[x for name, n in p["regex"].groups for x in (F.lit(name), F.regexp_extract("text", java, n))]) if p["regex"].groups else F.create_map().cast("map<string,string>")
         hit = F.struct(F.lit(p["k"]).alias("k"), (start - 1).cast("int").alias("start"), (start - 1 + size).cast("int").alias("stop"), variables.alias("metavars"))
         tests.append(F.when(_applies(p) & test, hit))
-    hits = lines.select("path", "line_no", "text", F.explode(F.array_compact(F.array(*tests))).alias("m"))
-    return hits.select("path", "line_no", "text", "m.k", "m.start", "m.stop", "m.metavars")
+    none = F.array().cast("array<struct<k:int,start:int,stop:int,metavars:map<string,string>>>")
+    hits = lines.select("path", "line_no", "text", *keep, F.explode(F.array_compact(F.array(*tests)) if tests else none).alias("m"))
+    return hits.select("path", "line_no", "text", "m.k", "m.start", "m.stop", "m.metavars", *keep)
 
 
 def arrow_matches(lines: DataFrame, patterns: list[dict[str, Any]]) -> DataFrame:
@@ -122,10 +124,10 @@ def described(spark, patterns: list[dict[str, Any]]) -> DataFrame:
     )
 
 
-def findings(lines: DataFrame, rules: list[dict[str, Any]], phase: int = 0) -> DataFrame:
-    """Findings of the line patterns of `rules`, with their pattern's clauses still to be checked (see `where`)."""
+def findings(lines: DataFrame, rules: list[dict[str, Any]], phase: int = 0, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Findings of the line patterns of `rules`, with their pattern's clauses still to be checked (see `where`), and the line's columns `keep`."""
     patterns = plan(rules)
-    hits = fused(lines, patterns) if len(patterns) <= MOST_FUSED else patternindex.indexed(lines, patterns)
+    hits = fused(lines, patterns, keep) if keep or len(patterns) <= MOST_FUSED else patternindex.indexed(lines, patterns)
     # The pack is driver-side data: as many rows as it has patterns.
     known = F.broadcast(described(lines.sparkSession, patterns))
     out = hits.join(known, "k")
@@ -136,10 +138,25 @@ def findings(lines: DataFrame, rules: list[dict[str, Any]], phase: int = 0) -> D
         F.col("path").alias("file"), F.col("line_no").alias("line"), byte_column(F.col("text"), F.col("start") + 1).cast("int").alias("column"),
         window(F.col("text"), F.col("start"), F.col("stop")).alias("snippet"), fix.alias("fix"), F.col("fix_template").isNotNull().alias("fix_available"),
         "references", "confidence", F.lit(0.0).alias("confidence_score"), "quality_score", "metavars", F.lit(phase).alias("phase"), "rule_ord", "pattern_ord",
-        "where", "inside_type", "inside_pattern", "not_inside_type", "not_inside_pattern", "pattern_type",
+        "where", "inside_type", "inside_pattern", "not_inside_type", "not_inside_pattern", "pattern_type", *keep,
     )
 
 
+def findings_near(files: DataFrame, rules: list[dict[str, Any]], reach: int, mark: Callable[[Column], Column] = lambda x: x) -> DataFrame:
+    """Findings of `files` with `lines`, the `mark` of each line up to `reach` around, and `at`, the own line's place in them.
+
+    A file's lines are at hand where it is taken apart, so that no array of a whole file is joined to each of its findings. Only
+    files that share a path, or have none, are looked up by it as `with_lines` does; paths are counted for that first.
+    """
+    again = files.groupBy("path").agg(F.count("*").alias("n")).where("n > 1 OR path IS NULL").select(F.col("path").alias("_again"))
+    if again.isEmpty():
+        return findings(lines_near(files, reach, mark), rules, keep=("lines", "at"))
+    shared = F.col("path").eqNullSafe(F.col("_again"))
+    lone, few = files.join(again, shared, "left_anti"), files.join(again, shared, "left_semi")
+    joined = with_lines(findings(lines_of(few), rules), few).withColumns({"lines": F.transform("lines", mark), "at": F.col("line")})
+    return findings(lines_near(lone, reach, mark), rules, keep=("lines", "at")).unionByName(joined)
+
+
 def span(lines: Column, first: Column, last: Column) -> Column:
     """Lines `first` to `last` (from 1, both included) of an array, as far as there are any."""
     a, b = F.greatest(first, F.lit(1)), F.least(last, F.size(lines))

@@ -625,9 +625,8 @@ def _coded(spark, sf_dir):
     return table(spark, sf_dir, "documents").where("text IS NOT NULL").select(F.expr(PATH).alias("path"), F.expr(_CODE).alias("content"))
 
 
-def _near(spark, sf_dir):
-    own = _coded(spark, sf_dir)
-    return source.with_lines(match.findings(source.lines(own), rules()), own)
+def _near(spark, sf_dir, mark):
+    return match.findings_near(_coded(spark, sf_dir), rules(), scores.REACH, mark)
 
 
 @query(
@@ -638,7 +637,7 @@ def _near(spark, sf_dir):
     " - CASE WHEN contains(file, '_test.') OR contains(file, '_spec.') THEN 0.15 ELSE 0 END, 0), 1), 6) AS score FROM near",
 )
 def score_confidence(spark, sf_dir):
-    return scores.confidence(_near(spark, sf_dir)).select("rule_id", "file", F.col("line").cast("long").alias("line"), F.round("confidence_score", 6).alias("score"))
+    return scores.confidence(_near(spark, sf_dir, scores.confidence_mark)).select("rule_id", "file", F.col("line").cast("long").alias("line"), F.round("confidence_score", 6).alias("score"))
 
 
 def _first_sql(a: str, b: str, words) -> str:
@@ -663,7 +662,7 @@ _FP = {
 
 @query("score_false_positive", f"WITH {_NEAR} SELECT rule_id, file, line::BIGINT AS line, round({' + '.join(f'({v}) * {scores.WEIGHTS[k]}' for k, v in _FP.items())}, 6) AS score FROM near")
 def score_false_positive(spark, sf_dir):
-    return scores.false_positive(_near(spark, sf_dir)).select("rule_id", "file", F.col("line").cast("long").alias("line"), F.round("fp_score", 6).alias("score"))
+    return scores.false_positive(_near(spark, sf_dir, scores.false_positive_mark)).select("rule_id", "file", F.col("line").cast("long").alias("line"), F.round("fp_score", 6).alias("score"))
 
 
 @query(
