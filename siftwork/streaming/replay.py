@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 from .state import PROVIDER
 
 
+#: Rows of a file of the stream, about: a part of more rows comes as more files, so that its tasks grow with it.
+FILE_ROWS = 1 << 17
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A new folder under spark.checkpoint.dir, which driver and executors share; in local runs without it one of our own."""
     at = spark.conf.get("spark.checkpoint.dir", None)
@@ -25,7 +29,8 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def replay(rows: DataFrame, arrival: Column, parts: int, through: Callable[[DataFrame], DataFrame], files: int = 3, runs: int = 2, late: list[int] | None = None) -> DataFrame:
-    """What `through` makes of `rows` as a stream in which the rows of part `arrival` (from 0) come as `files` files, after the part before.
+    """What `through` makes of `rows` as a stream in which the rows of part `arrival` (from 0) come as `files` files, after the part before;
+    as more, alike for all parts, where they would be larger than FILE_ROWS rows on average.
 
     The stream is started `runs` times, each time with more parts there, and goes on from its checkpoint; each batch is a part. All
     data is in the shared folder, and the result is the table that the stream has written. `late` gets the number of rows that each batch's
@@ -33,6 +38,7 @@ def replay(rows: DataFrame, arrival: Column, parts: int, through: Callable[[Data
     """
     spark = rows.sparkSession
     at = shared_folder(spark)
+    files = max(files, -(-rows.count() // (parts * FILE_ROWS)))
     before = spark.conf.get(PROVIDER[0], None)
     spark.conf.set(*PROVIDER)
     try:

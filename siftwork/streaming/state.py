@@ -23,8 +23,10 @@ FEED = "uri string, at long, what string, finding string"
 MOST_LINES = 1000
 
 
-def _ordered(rows: Iterator[pd.DataFrame], by: list[str]) -> pd.DataFrame:
-    return pd.concat(list(rows), ignore_index=True).sort_values(by, kind="stable")
+def _ordered(rows: Iterator[pd.DataFrame], columns: list[str]) -> list[tuple]:
+    """A key's rows by their first two columns, nulls of the second last. Most keys have few rows: plain tuples, as frames cost more than the rows."""
+    every = [row for df in rows for row in zip(*(df[c].tolist() for c in columns))]
+    return sorted(every, key=lambda r: (r[0], r[1] is None, "" if r[1] is None else r[1]))
 
 
 class Changes(StatefulProcessor):
@@ -47,7 +49,7 @@ class Changes(StatefulProcessor):
         seen = known[:2] if known else None
         before = waiting = known[2:] if known and known[2] is not None else None
         out = []
-        for mtime, digest in _ordered(rows, ["mtime", "hash"])[["mtime", "hash"]].itertuples(index=False):
+        for mtime, digest in _ordered(rows, ["mtime", "hash"]):
             mtime = int(mtime)
             if seen is not None and mtime <= seen[0]:
                 continue  # an older state of the file
@@ -60,7 +62,8 @@ class Changes(StatefulProcessor):
         self.known.update((*seen, *(waiting or (None, None, None))))
         if waiting is not None and waiting != before:
             self.handle.registerTimer(self._due(waiting[1]))
-        yield pd.DataFrame(out, columns=["path", "first", "last", "n", "hash"])
+        if out:
+            yield pd.DataFrame(out, columns=["path", "first", "last", "n", "hash"])
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
         known = self.known.get()
@@ -95,8 +98,7 @@ class Findings(StatefulProcessor):
         at, seq, have = self.now.get() or (None, None, "[]")
         have = set(json.loads(have))
         out = []
-        columns = ["at", "seq", "op", "n_lines", "findings"]
-        for when, number, op, n_lines, findings in _ordered(rows, ["at", "seq"])[columns].itertuples(index=False):
+        for when, number, op, n_lines, findings in _ordered(rows, ["at", "seq", "op", "n_lines", "findings"]):
             when, number = int(when), int(number)
             if at is not None and (when, number) <= (at, seq) or op == "change" and n_lines >= MOST_LINES:
                 continue
@@ -105,7 +107,8 @@ class Findings(StatefulProcessor):
             at, seq, have = when, number, now
         if at is not None:
             self.now.update((at, seq, json.dumps(sorted(have))))
-        yield pd.DataFrame(out, columns=["uri", "at", "what", "finding"])
+        if out:
+            yield pd.DataFrame(out, columns=["uri", "at", "what", "finding"])
 
     def close(self) -> None:
         pass

@@ -2,6 +2,7 @@ import random
 
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 from siftwork.streaming import state
 
 
@@ -91,3 +92,19 @@ def test_findings_come_and_go():
     assert give((8, 4, "change", state.MOST_LINES, [])) == []  # too long to be scanned
     assert give((9, 5, "close", 1, ["c:1"])) == [(9, "removed", "c:1")]
     assert give((9, 6, "open", state.MOST_LINES, ["d:1"])) == [(9, "added", "d:1")]
+
+
+def test_large_parts_come_as_more_files(spark, monkeypatch):
+    from siftwork.streaming import replay as own
+
+    monkeypatch.setattr(own, "FILE_ROWS", 100)
+    rows = spark.range(1200).selectExpr("id", "cast(id % 2 AS int) AS part")
+    seen = []
+
+    def through(stream):
+        seen.append(stream)
+        return stream
+
+    out = own.replay(rows, F.col("part"), 2, through, runs=1)
+    assert sorted(r.id for r in out.collect()) == list(range(1200))
+    assert len(seen[0].sparkSession.read.parquet(out.inputFiles()[0].rsplit("/", 2)[0] + "/in").inputFiles()) == 2 * 6
