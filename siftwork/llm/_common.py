@@ -85,6 +85,15 @@ def unstash(df: DataFrame) -> None:
     _delete(df.sparkSession, df._siftwork_path)
 
 
+#: Rows of two numbers are broadcast up to this many (4 MB), which is counted.
+MOST_SMALL = 250_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """`df`, which `stash` wrote, of two numbers a row: broadcast where it has few rows, so that what it is joined with stays in place."""
+    return F.broadcast(df) if df.count() <= MOST_SMALL else df
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """`name`, with underscores before it until no column of `df` has it."""
     taken = {c.lower() for c in df.columns}
@@ -126,8 +135,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """Connected components of `edges` (a, b): (id, root), root being the smallest id reachable.
 
     Alternating large-star and small-star steps, each a join of edges with the least neighbour of a node;
-    rounds are written to the shared folder. No node's neighbours are ever gathered. Self links and repeated
-    links are allowed; null ends are dropped.
+    rounds are written to the shared folder. No node's neighbours are ever gathered. While the edges are few, least
+    neighbours are broadcast and edges stay in place. Self links and repeated links are allowed; null ends are dropped.
     """
     e = stash(
         edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b")
@@ -139,13 +148,16 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         ends = e.select(F.col("u").alias("x"), F.lit(1).alias("from"), F.lit(0).alias("to")).union(e.select("v", F.lit(0), F.lit(1)))
         if ends.groupBy("x").agg(F.sum("from").alias("from"), F.max("to").alias("to")).where("from > 1 OR from = 1 AND to = 1").isEmpty():
             break
+        few = e.count() <= MOST_SMALL
+        known = F.broadcast if few else lambda df: df
         both = e.select("u", "v").union(e.select("v", "u")).toDF("x", "y")
         least = both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m"))
-        large = both.join(least, "x").where("y > x AND y <> m").select(F.col("y").alias("u"), F.col("m").alias("v"))
-        large = large.groupBy("u", "v").agg(F.count("*").alias("n")).drop("n")
+        large = both.join(known(least), "x").where("y > x AND y <> m").select(F.col("y").alias("u"), F.col("m").alias("v"))
+        if not few:  # there are no more of these than edges
+            large = large.groupBy("u", "v").agg(F.count("*").alias("n")).drop("n")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = stash(small.union(least.select("u", "m")).distinct())
+        down = large.join(known(least), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        now = stash(down.union(least.select("u", "m")).distinct())
         unstash(e)
         e = now
     else:

@@ -180,10 +180,17 @@ def _full_sets(need: DataFrame, docs: DataFrame, words: int) -> DataFrame:
     return full
 
 
+def _of_ends(ids: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Rows of `ids` (k, id) of the nodes in `pairs`, which `stash` wrote; broadcast where they are few."""
+    ends = pairs.select(F.col("ka").alias("k")).union(pairs.select("kb"))
+    if 2 * pairs.count() <= _common.MOST_SMALL:
+        return ids.join(F.broadcast(ends), "k", "left_semi").select("k", "id")
+    return ends.distinct().join(ids, "k").select("k", "id")
+
+
 def _confirm(pairs: DataFrame, docs: DataFrame, ids: DataFrame, words: int, threshold: int) -> DataFrame:
-    """Those of `pairs` (ka, kb) with 100 * intersection >= threshold * union over full sets; `ids` has (k, id) of nodes."""
-    need = pairs.select(F.col("ka").alias("k")).union(pairs.select("kb")).distinct().join(ids, "k").select("k", "id")
-    full = _full_sets(need, docs, words)
+    """Those of `pairs` (ka, kb) with 100 * intersection >= threshold * union over full sets; `ids` has (k, id) of nodes. `stash` wrote `pairs`."""
+    full = _full_sets(_of_ends(ids, pairs), docs, words)
     both = pairs.join(full.toDF("ka", "sa"), "ka").join(full.toDF("kb", "sb"), "kb").select("ka", "kb", "sa", "sb")
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,18 +267,20 @@ def _prefixes(found: DataFrame, threshold: int) -> DataFrame:
     found = found.withColumn("nd", F.size("d"))
     strays = _common.stash(found.where("NOT linked").select("o", "range").distinct())
     taken = found.join(strays, ["o", "range"], "left_semi").withColumn("stray", ~F.col("linked"))
-    # Nodes of one leader lie together; dealt anew, tasks open about as many elements each.
-    rows = taken.repartition("k", "o").select("o", "range", "k", "size", "osize", "stray", "nd", "bits", F.explode("d").alias("x"))
+    # Nodes of one leader lie together; dealt anew, tasks open about as many elements each. Bitmaps don't travel with elements.
+    rows = taken.repartition("k", "o").select("o", "range", "k", "size", "osize", "stray", "nd", F.explode("d").alias("x"))
     ranked = rows.withColumn("df", F.count("*").over(Window.partitionBy("o", "range", "x")))
     ranked = ranked.withColumn("place", F.row_number().over(Window.partitionBy("o", "range", "k").orderBy("df", "x")))
     least = F.greatest(F.lit(1), F.ceil(F.col("nd") - F.col("size") * (1 - theta) / theta - 1e-9))
     to_stray = F.floor((F.col("nd") + c * (F.col("osize") - F.col("size"))) / 2 - 1e-9) + 1
     ranked = ranked.withColumns({"most": F.col("nd") - least + 1, "partner": F.col("place") <= F.col("nd") - F.greatest(least, to_stray) + 1})
-    return _common.stash(ranked.where("df > 1 AND place <= most AND (stray OR partner)").drop("df", "osize", "most"))
+    ranked = ranked.where("df > 1 AND place <= most AND (stray OR partner)").drop("df", "osize", "most")
+    return _common.stash(ranked.join(found.select("o", "range", "k", "bits"), ["o", "range", "k"]))
 
 
 def _with_roots(rows: DataFrame, roots: DataFrame) -> DataFrame:
-    return rows.join(roots.select(F.col("id").alias("k"), F.col("root").alias("r")), "k", "left").withColumn("r", F.coalesce("r", "k"))
+    own = _common.small(roots).select(F.col("id").alias("k"), F.col("root").alias("r"))
+    return rows.join(own, "k", "left").withColumn("r", F.coalesce("r", "k"))
 
 
 def _apart(a: str, b: str, sizes: str, threshold: int) -> tuple[F.Column, F.Column]:
@@ -346,7 +355,7 @@ def _ends(pairs: DataFrame) -> DataFrame:
 
 def _labelled(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     """Those of `pairs` whose nodes are in different components."""
-    own = roots.select("id", "root")
+    own = _common.small(roots)
     return (
         pairs.join(own.toDF("ka", "ra"), "ka", "left").join(own.toDF("kb", "rb"), "kb", "left")
         .where(F.coalesce("ra", "ka") != F.coalesce("rb", "kb")).select("ka", "kb")
@@ -370,7 +379,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: int = 80) -> Dat
     if hot.isEmpty():
         marked = nodes.withColumn("hot", F.expr("cast(array() as array<bigint>)"))
     else:
-        own = spread.join(hot, "v").groupBy("k").agg(F.sort_array(F.collect_list("v")).alias("hot"))
+        own = spread.join(_common.small(hot), "v").groupBy("k").agg(F.sort_array(F.collect_list("v")).alias("hot"))
         marked = nodes.join(own, "k", "left").withColumn("hot", F.coalesce("hot", F.expr("cast(array() as array<bigint>)")))
         marked = _common.stash(marked)
 
@@ -389,7 +398,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: int = 80) -> Dat
     best = _ends(judged).groupBy("k").agg(
         F.expr("array(max_by(struct(ka, kb), struct(est, xxhash64(ka, kb))), min_by(struct(ka, kb), xxhash64(ka, kb)))").alias("p")
     )
-    best = best.select(F.explode("p").alias("p")).select("p.ka", "p.kb").distinct()
+    best = _common.stash(best.select(F.explode("p").alias("p")).select("p.ka", "p.kb").distinct())
     links = _confirm(best, docs, ids, words, threshold)
     differ = None
     if not hot.isEmpty():
@@ -429,12 +438,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: int = 80) -> Dat
         rest = _common.stash(_labelled(rest.join(some, ["ka", "kb"], "left_anti"), roots))
 
     # Components of documents: nodes by their least doc_id, and doc_ids with several texts.
-    id_of = lambda c, to: ids.toDF(c, to)
+    links = _common.stash(links)
+    named = _common.small(_common.stash(_of_ends(ids, links)))
+    id_of = lambda c, to: named.toDF(c, to)
     links = links.join(id_of("ka", "a"), "ka").join(id_of("kb", "b"), "kb").select("a", "b")
-    members = found.where("doc_id IS NOT NULL").join(ids, "k", "left").select("doc_id", "n", F.coalesce("id", "doc_id").alias("node"))
+    members = _common.stash(found.where("doc_id IS NOT NULL").join(ids, "k", "left").select("doc_id", "n", F.coalesce("id", "doc_id").alias("node")))
     twice = members.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select("doc_id")
     links = links.union(members.join(twice, "doc_id").where("node <> doc_id").select("doc_id", "node"))
-    roots = _common.components(links)
+    roots = _common.small(_common.stash(_common.components(links)))
     out = members.join(roots.toDF("node", "root"), "node", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "node").alias("component_id")
     )

@@ -114,3 +114,22 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 103), (103, 101), (7, 7), (None, 3), (100, 103)]
     got = {r.id: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100, 103: 100}
+
+
+def test_few_edges_stay_in_place(spark, monkeypatch):
+    """A round over few edges deals out least neighbours and the result, not edges; the same components with and without."""
+    from siftwork.llm import _common
+
+    edges = [(k, k + 1) for k in range(0, 40, 1) if k % 10 != 9] + [(100, k) for k in range(50, 90)] + [(7, 7), (3, 4)]
+    deals, write = [], _common.stash
+
+    def seen(df):
+        deals.append(df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning"))
+        return write(df)
+
+    monkeypatch.setattr(_common, "stash", seen)
+    rows = lambda: sorted(map(tuple, _common.components(spark.createDataFrame(edges, "a long, b long")).collect()))
+    few, in_place = rows(), max(deals)
+    monkeypatch.setattr(_common, "MOST_SMALL", 0)
+    assert rows() == few and dict(few)[37] == 30 and dict(few)[100] == 50
+    assert in_place < max(deals)
