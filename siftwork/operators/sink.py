@@ -20,8 +20,9 @@ import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
 CHUNK = 1 << 30
 
@@ -44,7 +45,7 @@ class Document(DataSource):
     def schema(self) -> str:
         return "value string"
 
-    def writer(self, schema, overwrite: bool) -> DataSourceWriter:
+    def writer(self, schema, overwrite: bool) -> DataSourceArrowWriter:
         if not overwrite:
             raise ValueError("a document is written whole: use mode('overwrite')")
         if [f.name for f in schema.fields] != ["value"]:
@@ -53,23 +54,25 @@ class Document(DataSource):
         return _Writer(o["path"].removeprefix("file:"), o.get("head", ""), o.get("joint", ""), o.get("tail", ""))
 
 
-class _Writer(DataSourceWriter):
+class _Writer(DataSourceArrowWriter):
     def __init__(self, path: str, head: str, joint: str, tail: str):
         self.path, self.head, self.joint, self.tail = path, head, joint, tail
         self.folder = os.path.join(os.path.dirname(os.path.abspath(path)), f".{os.path.basename(path)}.{uuid.uuid4().hex}")
         os.makedirs(self.folder)
 
-    def write(self, rows: Iterator) -> Fragment:
+    def write(self, batches: Iterator[pa.RecordBatch]) -> Fragment:
         from pyspark import TaskContext
 
         task = TaskContext.get()
         name = f"{task.partitionId()}-{task.attemptNumber()}-{uuid.uuid4().hex}"
         items = size = 0
         with open(os.path.join(self.folder, name), "wb") as out:
-            for (value,) in rows:
-                if value is not None:
-                    size += out.write(((self.joint if items else "") + value).encode("utf-8", "surrogatepass"))
-                    items += 1
+            joint = self.joint.encode()
+            for batch in batches:
+                values = [v.as_buffer().to_pybytes() for v in batch.column(0).drop_null().cast(pa.binary())]
+                if values:
+                    size += out.write((joint if items else b"") + joint.join(values))
+                    items += len(values)
             out.flush()
             os.fsync(out.fileno())
         return Fragment(task.partitionId(), name, items, size)

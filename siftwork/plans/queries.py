@@ -1219,8 +1219,12 @@ def findings_sketches(spark, sf_dir):
 @query("report_sink", f"WITH {FOUND}, k AS (SELECT unnest(['sarif', 'gitlab', 'json']) AS kind) SELECT kind, rule_id, file, line::BIGINT AS line, message, count(*) AS n FROM findings, k GROUP BY ALL")
 def report_sink(spark, sf_dir):
     """Three reports of all findings written as documents, and their items read back from them."""
-    found, at = findings(spark, sf_dir), replay.shared_folder(spark).removeprefix("file:")
+    at = replay.shared_folder(spark).removeprefix("file:")
     os.makedirs(at)
+    # Lines are searched once: the reports, their heads and the sort's sample read the findings from the shared folder.
+    found = findings(spark, sf_dir)
+    found.write.parquet(f"{at}/findings")
+    found = spark.read.schema(found.schema).parquet(f"{at}/findings")
     item = F.from_json(F.regexp_replace("value", ",$", ""), "ruleId string, message string, locations string, name string, location struct<file string, start_line long>, identifiers array<struct<name string>>, rule_id string, file string, line long")
     place = F.from_json("i.locations", "array<struct<physicalLocation struct<artifactLocation struct<uri string>, region struct<startLine long>>>>")[0]["physicalLocation"]
     kinds = {

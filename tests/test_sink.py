@@ -25,3 +25,20 @@ def test_failed_write_leaves_the_old_document(spark, tmp_path):
     assert open(at).read() == "old" and os.listdir(tmp_path) == ["a.txt"]
     with pytest.raises(Exception):  # noqa: B017
         spark.range(1).select(F.lit("x").alias("value")).write.format("document").mode("append").save(at)
+
+
+def test_reports_read_stored_findings(spark, monkeypatch):
+    """What report_sink reports was searched before: its plan splits no lines."""
+    from siftwork.operators import reports
+    from siftwork.plans import queries
+
+    class Seen(Exception):
+        pass
+
+    def seen(found, *_):
+        assert found.count() > 0 and "Generate" not in found._jdf.queryExecution().optimizedPlan().toString()
+        raise Seen
+
+    monkeypatch.setattr(reports, "write_report", seen)
+    with pytest.raises(Seen):
+        queries.QUERIES["report_sink"](spark, "/root/testdata/sf0.001")
