@@ -50,7 +50,8 @@ def sainte_lague(df: DataFrame, group: list[str], votes: str, seats: str, most:
 
     A row gets at most `most` seats; a group's rows need a column `tie` to break ties. Quotients are not enumerated: the
     line that parts those that win from the others is closed in on from both sides, a sum over a group's rows for each of
-    SECTIONS lines at a time, until few quotients are left between (`FEW`, or only equal ones), and only those are ranked.
+    SECTIONS + 1 lines at a time, until few quotients are left between (`FEW`, or only equal ones), and only those are ranked.
+    Two of these lines are told by the votes alone and mostly leave no more than twice as many quotients as a group has rows.
     """
     rows = _common.stash(df)
     named = [f"_g{k}" for k in range(len(group))]
@@ -60,25 +61,27 @@ def sainte_lague(df: DataFrame, group: list[str], votes: str, seats: str, most:
     state = rows.groupBy(*group).agg(
         F.max(F.greatest(F.col(seats), F.lit(0))).alias("_seats"), F.sum(F.when(wins, F.col(most)).otherwise(0)).alias("_from_low"),
         F.min(F.when(wins & (F.col(most) > 0), F.col(votes) / (2 * F.col(most) - 1))).alias("_low"), (2 * F.max(F.when(wins, F.col(votes)))).alias("_high"),
+        F.sum(F.when(wins, F.col(votes))).alias("_votes"), F.count(F.when(wins, 1)).alias("_rows"),
     ).withColumnsRenamed(dict(zip(group, named))).withColumn("_from_high", F.lit(0).cast("long"))
     state = state.withColumn("_seats", F.least("_seats", "_from_low"))
+    kept = state.columns
     for _ in range(MOST_TURNS):
         state = _common.stash(state)
         # Lines at equal ratios, or at equal distances once they are near; none where no number lies between.
         line = lambda k: F.expr(f"if(_high > 2 * _low, _low * pow(_high / _low, {k / SECTIONS}D), _low + (_high - _low) * {k / SECTIONS}D)")
-        lines = F.filter(F.array(*map(line, range(1, SECTIONS))), lambda t: (t > F.col("_low")) & (t < F.col("_high")))
-        open_ = state.where(f"_from_low - _from_high > {FEW} AND _from_high < _seats").withColumn("_t", lines)
-        open_ = _common.stash(open_.where("size(_t) > 0"))
+        # Without `most`, a row passes a line within half a quotient of votes / (2 line) times, so the seats lie between these two.
+        near = [F.expr(f"if({seats_} > 0, _votes / ({seats_}), null)") for seats_ in ("2 * _seats + _rows + 1", "2 * _seats - _rows - 1")]
+        lines = F.filter(F.array(*map(line, range(1, SECTIONS)), *near), lambda t: (t > F.col("_low")) & (t < F.col("_high")))
+        open_ = state.where(f"_from_low - _from_high > {FEW} AND _from_high < _seats").select(*named, lines.alias("_t")).where("size(_t) > 0")
         if open_.isEmpty():
             break
-        passed = [F.sum(F.expr(seats_above(votes, most, f"get(_t, {k})"))) for k in range(SECTIONS - 1)]
-        sums = rows.join(open_, same(rows, open_)).groupBy(*named).agg(F.array(*passed).alias("_c"))
-        met = open_.join(sums.withColumnsRenamed({n: f"_c{n}" for n in named}), [open_[n].eqNullSafe(F.col(f"_c{n}")) for n in named])
-        tried = F.zip_with("_t", "_c", lambda t, c: F.struct(t.alias("t"), c.alias("c")))
-        met = met.withColumns({"_b": F.array_max(F.filter(tried, lambda x: x["t"].isNotNull() & (x["c"] >= F.col("_seats")))), "_a": F.array_min(F.filter(tried, lambda x: x["t"].isNotNull() & (x["c"] <= F.col("_seats"))))})
-        met = met.select(*named, "_seats", F.coalesce("_b.c", "_from_low").alias("_from_low"), F.coalesce("_b.t", "_low").alias("_low"), F.coalesce("_a.t", "_high").alias("_high"), F.coalesce("_a.c", "_from_high").alias("_from_high"))
-        done = state.join(open_.select(*[F.col(n).alias(f"_o{n}") for n in named]), [state[n].eqNullSafe(F.col(f"_o{n}")) for n in named], "left_anti")
-        state = done.unionByName(met)
+        passed = [F.sum(F.expr(seats_above(votes, most, f"get(_t, {k})"))) for k in range(SECTIONS + 1)]
+        tried = F.zip_with(F.first("_t"), F.array(*passed), lambda t, c: F.struct(t.alias("t"), c.alias("c")))
+        sums = rows.join(open_, same(rows, open_)).groupBy(*named).agg(tried.alias("_tried")).withColumnsRenamed({n: f"_c{n}" for n in named})
+        met = state.join(sums, [state[n].eqNullSafe(sums[f"_c{n}"]) for n in named], "left")
+        met = met.withColumns({"_b": F.array_max(F.filter("_tried", lambda x: x["t"].isNotNull() & (x["c"] >= F.col("_seats")))), "_a": F.array_min(F.filter("_tried", lambda x: x["t"].isNotNull() & (x["c"] <= F.col("_seats"))))})
+        closer = {"_from_low": F.coalesce("_b.c", "_from_low"), "_low": F.coalesce("_b.t", "_low"), "_high": F.coalesce("_a.t", "_high"), "_from_high": F.coalesce("_a.c", "_from_high")}
+        state = met.select(*[closer[c].alias(c) if c in closer else state[c] for c in kept])
     else:
         raise RuntimeError("apportionment did not close in")
     both = rows.join(state, same(rows, state)).withColumns({"_base": F.expr(seats_above(votes, most, "_high")), "_top": F.expr(seats_above(votes, most, "_low"))})

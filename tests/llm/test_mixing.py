@@ -104,6 +104,23 @@ def test_rows_that_fill_all_their_seats_lose_none(spark):
     assert sum(got[-1, k] for k in range(40)) == sum(most[:40]) - 1
 
 
+def test_many_seats_take_one_turn(spark, monkeypatch):
+    """Each turn is a plan and jobs of the driver's: votes alone tell nearly where the line is, however many seats there are."""
+    stash, written = mixing._common.stash, []
+    monkeypatch.setattr(mixing._common, "stash", lambda df: written.append(df) or stash(df))
+    rng = random.Random(8)
+    votes = [float(rng.randint(1, 10**6)) for _ in range(60)]
+    seats = int(sum(votes)) // 16
+    df = spark.createDataFrame([(k % 3, k, v, seats // 4, int(v) // 8) for k, v in enumerate(votes)], "g int, tie int, votes double, seats long, most long")
+    got = {r.tie: r.quota for r in mixing.sainte_lague(df, ["g"], "votes", "seats", "most").collect()}
+    for g in range(3):
+        own = range(g, 60, 3)
+        assert sum(got[k] for k in own) == min(seats // 4, sum(int(votes[k]) // 8 for k in own))
+        # No seat would be better placed: the least quotient that won is no less than the largest that did not.
+        assert min(votes[k] / (2 * got[k] - 1) for k in own if got[k]) >= max(votes[k] / (2 * got[k] + 1) for k in own if got[k] < int(votes[k]) // 8)
+    assert len(written) <= 3
+
+
 def test_mixed_rows(spark, odd):
     out = mixing.mixed(odd)
     assert out.columns == odd.columns
