@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import operator
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,6 +35,11 @@ def _of(df: DataFrame, kind: str) -> DataFrame:
     return df.where(extension(F.col("path")).isin(*KINDS[kind]))
 
 
+def _read(lines: DataFrame, text: Column, read: Callable[[Column], Column], name: str) -> DataFrame:
+    """`lines` with `name`, which `read` makes of `text`, where it is not null; both are evaluated once a line."""
+    return lines.withColumn(name, F.explode_outer(F.transform(F.array(text), read))).where(F.col(name).isNotNull())
+
+
 def _tokens(text: Column) -> Column:
     """A line's quoted strings, words and single signs."""
     return F.regexp_extract_all(text, F.lit(r"""'[^']*'|"[^"]*"|\w+|\S"""), F.lit(0))
@@ -98,10 +107,14 @@ def _dotted_import(text: Column, word: str) -> Column:
 def imports(lines: DataFrame, files: DataFrame) -> DataFrame:
     """path, line_no (null for Go), source, names of every import. Lines are read by their tokens, the first statement of each."""
     text = F.col("text")
-    by_kind = {"js": _js_import(_tokens(text)), "py": _py_import(text), "java": _dotted_import(text, "import"), "cs": _dotted_import(text, "using")}
+    # Only lines that hold the word that each form needs are taken apart.
+    by_kind = {
+        "js": (F.contains(text, F.lit("import")) | F.contains(text, F.lit("require")), _tokens(text), _js_import), "py": (F.contains(text, F.lit("import")), text, _py_import),
+        "java": (text.startswith("import"), text, lambda x: _dotted_import(x, "import")), "cs": (text.startswith("using"), text, lambda x: _dotted_import(x, "using")),
+    }
     out = None
-    for kind, value in by_kind.items():
-        found = _of(lines, kind).select("path", "line_no", value.alias("i")).where("i IS NOT NULL").select("path", "line_no", "i.source", "i.names")
+    for kind, (may, value, read) in by_kind.items():
+        found = _read(_of(lines, kind).where(may), value, read, "i").select("path", "line_no", "i.source", "i.names")
         out = found if out is None else out.unionByName(found)
     # Go's first block: of what its quotes part, every other piece.
     block = F.substring_index(F.get(F.split("content", r"import\s+\("), F.lit(1)), ")", 1)
@@ -141,11 +154,15 @@ def exports(lines: DataFrame, files: DataFrame) -> DataFrame:
     """path, line_no, name of every export."""
     text, name = F.col("text"), F.col("name")
     out = None
-    for kind, value, keep in (
-        ("js", _js_export(_tokens(text)), F.lit(True)), ("go", _declared(text, GO_DECLARES), F.substring(name, 1, 1).between("A", "Z")), ("py", _declared(text, PY_DECLARES), ~name.startswith("_")),
-        ("java", _member(text, TYPES["java"], "<>,[]"), F.lit(True)), ("cs", _member(text, TYPES["cs"], "<>,[]?"), F.lit(True)),
+    begins = lambda words: reduce(operator.or_, [text.startswith(w) for w in words])
+    for kind, may, value, read, keep in (
+        ("js", F.contains(text, F.lit("export")), _tokens(text), _js_export, F.lit(True)),
+        ("go", begins(GO_DECLARES), text, lambda x: _declared(x, GO_DECLARES), F.substring(name, 1, 1).between("A", "Z")),
+        ("py", begins(PY_DECLARES), text, lambda x: _declared(x, PY_DECLARES), ~name.startswith("_")),
+        ("java", F.contains(text, F.lit("public")), text, lambda x: _member(x, TYPES["java"], "<>,[]"), F.lit(True)),
+        ("cs", F.contains(text, F.lit("public")), text, lambda x: _member(x, TYPES["cs"], "<>,[]?"), F.lit(True)),
     ):
-        found = _of(lines, kind).select("path", "line_no", value.alias("name")).where("name IS NOT NULL AND name <> ''").where(keep)
+        found = _read(_of(lines, kind).where(may), value, read, "name").select("path", "line_no", "name").where("name <> ''").where(keep)
         out = found if out is None else out.unionByName(found)
     # An object that is exported whole may span lines; its names stand where it is first mentioned.
     pieces = F.split("content", r"module\.exports")
@@ -168,17 +185,24 @@ def resolved(found: DataFrame, modules: DataFrame) -> DataFrame:
     """Relative imports with `target`, the module they name: as it stands, with an ending, or as an index file."""
     folder = F.regexp_replace("path", r"/?[^/]*$", "")
     base = joined(folder, F.col("source"))
-    tries = [base, *[F.concat(base, F.lit(e)) for e in EXTENSIONS], *[F.concat(base, F.lit("/index" + e)) for e in INDEX]]
-    asked = found.where(F.col("source").startswith(".")).select("*", F.posexplode(F.array(*tries)).alias("_nth", "target"))
-    hits = asked.join(modules.select(F.col("path").alias("target")).distinct(), "target")
+    asked = found.where(F.col("source").startswith(".")).withColumn("_base", base)
+    # A module under every name that it may be asked by: its own, without its ending, without its index file.
+    target = F.col("target")
+    cut = lambda e, n: F.when(target.endswith(e), F.struct(F.substring(target, F.lit(1), F.length(target) - len(e)).alias("_base"), F.lit(n).alias("_nth")))
+    short = F.coalesce(*[cut(e, n) for n, e in enumerate(EXTENSIONS, 1)])
+    index = F.coalesce(*[cut("/index" + e, n) for n, e in enumerate(INDEX, len(EXTENSIONS) + 1)])
+    names = F.array_compact(F.array(F.struct(target.alias("_base"), F.lit(0).alias("_nth")), short, index))
+    hits = asked.join(modules.select(F.col("path").alias("target")).select("target", F.inline(names)), "_base")
     order = Window.partitionBy("path", "source", "line_no").orderBy("_nth")
     return hits.withColumn("_n", F.row_number().over(order)).where("_n = 1").select(*found.columns, "target")
 
 
 def tainted_exports(found: DataFrame, files: DataFrame) -> DataFrame:
     """Exports with an input source in the five lines up to theirs or the five after."""
-    near = found.join(files.select("path", F.split("content", "\n").alias("lines")), "path")
     pattern = "|".join(f"(?:{s})" for s in SOURCES)
+    # No pattern spans lines or is tied to a line's ends, so files without a match have no line with one.
+    some = files.where(F.col("content").rlike(pattern))
+    near = found.join(some.select("path", F.split("content", "\n").alias("lines")), "path")
     return near.where(F.exists(span(F.col("lines"), F.col("line_no") - 4, F.col("line_no") + 5), lambda x: x.rlike(pattern))).drop("lines")
 
 

@@ -25,3 +25,26 @@ def test_statements(spark):
         ("b.ts", 1, "one"), ("b.ts", 2, "two"), ("b.ts", 3, "default"), ("b.ts", 4, "four"), ("b.ts", 5, "five"), ("b.ts", 5, "six"), ("b.ts", 9, "x"),
         ("c.py", 5, "go"), ("c.py", 8, "Seen"), ("d.go", 6, "Serve"), ("d.go", 9, "Kind"), ("E.java", 5, "main"), ("E.java", 7, "all"), ("E.java", 8, "X"), ("F.cs", 5, "Run"), ("F.cs", 6, "Size"),
     ])
+
+
+def test_lines_are_taken_apart_once(spark):
+    own = source.from_strings(spark, FILES)
+    lines = source.lines(own)
+    for found in (modules.imports(lines, own), modules.exports(lines, own)):
+        assert found._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all(") == 1
+
+
+def test_resolution_takes_the_first_that_is_there(spark):
+    """Every ending and index file against trying one after the other; an import is one row of the join, not one for each try."""
+    ends = ["", *modules.EXTENSIONS, *["/index" + e for e in modules.INDEX]]
+    there = {f"p/m{k}{e}" for k in range(len(ends)) for e in ends[k:]} | {"p/odd.js.js", "p/index.js", "p/odd.rb", "q.js"}
+    asked = [("p/a.js", n, s, ["x"]) for n, s in enumerate([*[f"./m{k}" for k in range(len(ends) + 1)], "./odd", "./odd.js", "./odd.rb", ".", "../q", "../p/m3", "./m1.js", "react"])]
+    found = spark.createDataFrame(asked, "path string, line_no int, source string, names array<string>")
+    out = modules.resolved(found, spark.createDataFrame([(p,) for p in sorted(there)] * 2, "path string"))
+    clean = {".": "p", "../q": "q", "../p/m3": "p/m3"}
+    want = []
+    for _, n, s, _ in asked:
+        hits = [t for t in (clean.get(s, "p" + s[1:]) + e for e in ends) if s.startswith(".") and t in there]
+        want += [(n, s, hits[0])] if hits else []
+    assert sorted((r.line_no, r.source, r.target) for r in out.collect()) == want
+    assert "posexplode" not in out._jdf.queryExecution().optimizedPlan().toString()
