@@ -155,7 +155,6 @@ def mix(docs: DataFrame, keep: list[str] = ()) -> DataFrame:
     })
     by_source = by_source.withColumn("blocks", F.round(F.sum("open").over(Window.partitionBy("all")) / BLOCK).cast("long"))
     quota = sainte_lague(by_source, ["all"], "open", "blocks", "most").select("source", "source_size", "target", "capped", F.col("quota").alias("seats"))
-    quota = _common.stash(quota)
     a = per_shard.alias("a")
     b = quota.withColumnRenamed("source", "_s")
     split = a.join(b, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
