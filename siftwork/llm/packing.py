@@ -22,7 +22,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -31,6 +30,8 @@ from pyspark.sql import functions as F
 from . import _common
 
 CAPACITY = 2048
+#: Bytes of text that are encoded at a time, unless a text is longer: a call takes some 20 times as much.
+AT_ONCE = 1 << 20
 #: Pieces in a bucket, on average. Bounds the memory of a task.
 BUCKET = 4096
 ISLANDS = 3
@@ -57,11 +58,12 @@ class Encoder:
     other punctuation stands beside it; texts where that may be so take their chunks whole.
 
     The distinct chunks of a call are looked up in a sorted table of 64-bit hashes with a check sum, whose entries point
-    into one array of ids: some 50 bytes for a chunk, up to `MOST` chunks, after which the table starts anew. Unknown
+    into one array of ids: some 40 bytes for a chunk. Before a call, a table of over `MOST` chunks or `MOST_IDS` ids goes on
+    with those chunks that were met again since it was last cut down, or starts anew if these are over half as many. Unknown
     chunks of letters alone are tokenised many at once: each is one word, which its last id ends.
     """
 
-    MOST = 1 << 21
+    MOST, MOST_IDS = 3 << 18, 1 << 22
     TOGETHER = 256
     BLOCK = 1 << 18
 
@@ -76,9 +78,30 @@ class Encoder:
 
     def _clear(self) -> None:
         self.keys, self.checks = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.uint32)
-        self.at, self.n = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int32)
+        self.at, self.n, self.again = np.zeros(0, dtype=np.uint32), np.zeros(0, dtype=np.int32), np.zeros(0, dtype=bool)
         self.arena, self.used = np.zeros(1 << 16, dtype=np.uint32), 0
 
+    def _cut_down(self) -> None:
+        """Keep the chunks that were met again, if they are few enough."""
+        kept = np.flatnonzero(self.again)
+        size = self.n[kept]
+        end = np.cumsum(size, dtype=np.int64)
+        if not len(kept) or 2 * len(kept) > self.MOST or 2 * end[-1] > self.MOST_IDS:
+            return self._clear()
+        self.arena = self.arena[np.repeat(self.at[kept] - (end - size), size) + np.arange(end[-1])]
+        self.keys, self.checks, self.n, self.used = self.keys[kept], self.checks[kept], size, len(self.arena)
+        self.at, self.again = (end - size).astype(np.uint32), np.zeros(len(kept), dtype=bool)
+
+    def _insert(self, into: np.ndarray, **columns: np.ndarray) -> None:
+        """Put entries before those at `into`, column by column, so that one column at a time is held twice."""
+        new = into + np.arange(len(into))
+        old = np.ones(len(self.keys) + len(into), dtype=bool)
+        old[new] = False
+        for name, values in columns.items():
+            both = np.empty(len(old), dtype=getattr(self, name).dtype)
+            both[old], both[new] = getattr(self, name), values
+            setattr(self, name, both)
+
     def _ids(self, texts: list[str], at_once: int) -> Iterator[np.ndarray]:
         # The tokenizer's own results hold far more than the ids, so only a few are held at a time.
         for a in range(0, len(texts), at_once):
@@ -110,26 +133,26 @@ class Encoder:
         if len(self.keys):
             k = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
             known = (self.keys[k] == key) & (self.checks[k] == check)
-            at, n = np.where(known, self.at[k], 0), np.where(known, self.n[k], 0).astype(np.int32)
+            k = k[known]
+            at[known], n[known], self.again[k] = self.at[k], self.n[k], True
         new = np.flatnonzero(~known)
         if len(new):
             found = self._tokenise([chunks[k] for k in new])
             size = np.fromiter(map(len, found), np.int32, len(found))
             end = self.used + int(size.sum())
             if end > len(self.arena):
-                self.arena = np.concatenate([self.arena, np.zeros(max(end - len(self.arena), len(self.arena) // 2), dtype=np.uint32)])
+                self.arena = np.concatenate([self.arena, np.zeros(max(end - len(self.arena), len(self.arena) // 4), dtype=np.uint32)])
             self.arena[self.used : end] = np.concatenate(found)
             at[new], n[new] = self.used + np.cumsum(size) - size, size
             self.used = end
             new = new[np.argsort(key[new], kind="stable")]
             into = np.searchsorted(self.keys, key[new])
-            self.keys, self.checks = np.insert(self.keys, into, key[new]), np.insert(self.checks, into, check[new])
-            self.at, self.n = np.insert(self.at, into, at[new]), np.insert(self.n, into, n[new])
+            self._insert(into, checks=check[new], at=at[new], n=n[new], again=np.zeros(len(new), dtype=bool), keys=key[new])
         return at, n
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.keys) > self.MOST:
-            self._clear()
+        if len(self.keys) > self.MOST or self.used > self.MOST_IDS:
+            self._cut_down()
         ready = []
         for t in texts:
             # Lower-casing here is the tokenizer's own up to U+00FF, and such letters are their own NFC form.
@@ -167,7 +190,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
-        for batch in _common.slices(batches, "text"):
+        for batch in _common.slices(batches, "text", AT_ONCE):
             out: list[tuple] = []
             every = enc.encode([t or "" for t in batch.column("text").to_pylist()])
             for doc, ids in zip(batch.column("doc_id").to_pylist(), every):
@@ -299,14 +322,16 @@ def _solved(sizes: DataFrame, tasks: int, capacity: int, islands: int) -> DataFr
     """(bucket, bins): the best bin number of each item of every row of `sizes` (bucket, lengths)."""
 
     def turn(last: bool):
-        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for df in frames:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
                 out = []
-                for bucket, island, lengths, elites in zip(df["bucket"], df["island"], df["lengths"], df["elites"]):
-                    own = [int(x) for x in lengths]
-                    best = evolve(own, capacity, 1000 * int(island) + int(bucket) % 997 + 7 * len(elites), [_bins(e) for e in elites], island == 0)
+                for bucket, island, lengths, elites in zip(*(batch.column(c) for c in ("bucket", "island", "lengths", "elites"))):
+                    own, bucket, island = lengths.as_py(), bucket.as_py(), island.as_py()
+                    best = evolve(own, capacity, 1000 * island + bucket % 997 + 7 * len(elites), [_bins(e.values.to_numpy()) for e in elites.values], island == 0)
                     out.append(_numbers(best, len(own)))
-                yield df[["bucket", "island", "lengths"]].assign(bins=out)
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch.column(c) for c in ("bucket", "island", "lengths")), pa.array(out, pa.list_(pa.int32()))], names=["bucket", "island", "lengths", "bins"]
+                )
 
         return run
 
@@ -314,7 +339,7 @@ def _solved(sizes: DataFrame, tasks: int, capacity: int, islands: int) -> DataFr
     # Few bytes but long work: as many tasks as there are islands to run, up to what is asked for.
     deal = lambda df: df.repartition(tasks, "bucket", "island")
     state = sizes.withColumn("island", F.explode(F.array(*map(F.lit, range(islands))))).withColumn("elites", F.expr("cast(array() AS array<array<int>>)"))
-    state = deal(state).mapInPandas(turn(False), schema)
+    state = deal(state).mapInArrow(turn(False), schema)
     for last in [False] * MIGRATIONS + [True]:
         met = state.groupBy("bucket").agg(F.first("lengths").alias("lengths"), F.sort_array(F.collect_list(F.struct("island", "bins"))).alias("all"))
         if last:
@@ -322,7 +347,7 @@ def _solved(sizes: DataFrame, tasks: int, capacity: int, islands: int) -> DataFr
         else:  # an island keeps its elite and gets its neighbour's
             met = met.withColumn("island", F.explode(F.array(*map(F.lit, range(islands)))))
             met = met.withColumn("elites", F.array(F.get("all", F.col("island"))["bins"], F.get("all", (F.col("island") + 1) % islands)["bins"]))
-        state = deal(met.select("bucket", "island", "lengths", "elites")).mapInPandas(turn(last), schema)
+        state = deal(met.select("bucket", "island", "lengths", "elites")).mapInArrow(turn(last), schema)
     return state.select("bucket", "bins")
 
 

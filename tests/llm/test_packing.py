@@ -23,6 +23,26 @@ def test_encoder_equals_the_tokenizer():
         assert np.frombuffer(raw, "<u4").tolist() == ids_of(text)[:-1], text
 
 
+def test_encoder_stays_small(monkeypatch):
+    monkeypatch.setattr(packing.Encoder, "MOST", 400)
+    monkeypatch.setattr(packing.Encoder, "MOST_IDS", 2000, raising=False)
+    encoder = packing.Encoder(PATH)
+    rng = random.Random(9)
+    for k in range(60):  # among them chunks of many ids each
+        long = "".join(rng.choices("abcdefgh", k=3000))
+        texts = [" ".join(["the", "same", "words", *("".join(rng.choices("abcdefgh", k=6)) for _ in range(60))]), long, f"{k} {k}"]
+        for text, ids in zip(texts, encoder.encode(texts)):
+            assert ids.tolist() == ids_of(text)[:-1], text
+        assert len(encoder.keys) <= 400 + 70 and len(encoder.keys) == len(encoder.at) == len(encoder.n)
+        assert encoder.arena.nbytes <= 4 * (2000 + 4000) * 5 // 4 + 4 * (1 << 16)
+        assert encoder.used <= 2000 + 4000
+    # What is met again stays, with its ids.
+    encoder._cut_down()
+    assert 0 < len(encoder.keys) < 10 and (np.diff(encoder.keys.astype(object)) > 0).all()
+    used = encoder.used
+    assert encoder.encode(["the same words"])[0].tolist() == ids_of("the same words")[:-1] and encoder.used == used
+
+
 def check(rows, texts, capacity):
     """Pieces in order, exact ids, gapless sequences of at most the capacity."""
     want = sorted((d, k, k * capacity, len(p), zlib.crc32(np.asarray(p, "<u4").tobytes())) for d, t in texts for ids in [ids_of(t)] for k, p in enumerate([ids[i : i + capacity] for i in range(0, len(ids), capacity)]))
